@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, simhash
+from . import exact_dedup, mixing, packing, simhash, tokencounts
 from .common import shared_dir
 
 
@@ -16,6 +16,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document."""
+    return tokencounts.token_counts(_table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate group of each document."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -35,6 +40,11 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d
 """
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of each piece of each document."""
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
     documents, pieces = mixing.mix(_table(spark, sf_dir, "documents"))
@@ -43,7 +53,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_simhash": op6_simhash, "op7_exact_dedup": op7_exact_dedup, "op10_mixing": op10_mixing}
+    return {
+        "op5_token_counts": op5_token_counts,
+        "op6_simhash": op6_simhash,
+        "op7_exact_dedup": op7_exact_dedup,
+        "op8_packing": op8_packing,
+        "op10_mixing": op10_mixing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
