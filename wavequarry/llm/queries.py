@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, simhash, tokencounts
+from . import exact_dedup, langid, mixing, packing, quality, simhash, tokencounts
 from .common import shared_dir
 
 
@@ -16,6 +16,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule statistics and verdict of each document."""
+    return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document."""
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each document."""
     return tokencounts.token_counts(_table(spark, sf_dir, "documents"))
@@ -54,6 +64,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": op1_quality,
+        "op3_langid": op3_langid,
         "op5_token_counts": op5_token_counts,
         "op6_simhash": op6_simhash,
         "op7_exact_dedup": op7_exact_dedup,
