@@ -1,10 +1,12 @@
 """Quality rules: an isolation forest over rule statistics.
 
 Every text gives a handful of rule statistics. An isolation forest is grown on
-those of labelled good documents: each tree cuts a small sample at random
-values of random statistics until every row stands alone, and rows that stand
-alone after few cuts are unlike the sample. The score at which a document is
-rejected is set from all labelled rows.
+those of labelled good documents: each tree cuts the box that holds all
+labelled rows at random values of random statistics, until each of its sample
+rows stands alone, and rows that stand alone after few cuts are unlike the
+sample. Cutting the whole box rather than the sample's range matters, as many
+statistics are nearly constant in good documents. The score at which a document
+is rejected is set from all labelled rows.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ SPACES = " \t\n\r\x0b\x0c"
 CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WINDOW = 8
 #: Statistics that the forest sees, all ratios or logarithms so that length alone does not make a document odd.
-FEATURES = ["word_len", "symbol_rate", "dup_line_rate", "repeat_rate", "adjacent_rate", "distinct_rate", "capital_rate", "mark_rate", "log_words"]
+FEATURES = ["word_len", "symbol_root", "adjacent_root", "distinct_rate", "capital_root", "mark_root", "log_words"]
 _BARE_LINE = re.compile(r"[\x20\x09-\x0D]*\Z")
 
 
@@ -60,19 +62,18 @@ def statistics(text: str | None) -> tuple[int | float, ...]:
     chars = len(text) - sum(text.count(c) for c in SPACES)
     symbols = sum(text.count(c) for c in SYMBOLS)
     seen: set[str] = set()
-    lines = dups = 0
+    dups = 0
     for line in text.split("\n"):
         if not _BARE_LINE.match(line):
-            lines += 1
             dups += line in seen
             seen.add(line)
     repeated = repeated_words(ids)
     capitals = len(raw) - len(raw.translate(None, CAPITALS))
     marks = sum(text.count(c) for c in "!?|")
     adjacent = int((ids[1:] == ids[:-1]).sum())
-    # In long texts words come again anyway: distinct words are compared with what n words of a text would give.
-    distinct = np.log1p(len(number)) / np.log1p(n)
-    return (n, chars, symbols, dups, repeated, chars / n, symbols / n, dups / lines, repeated / n, adjacent / n, distinct, capitals / chars, marks / n, float(np.log1p(n)))
+    # Roots spread out the small rates, in which good and odd documents differ.
+    rates = [chars / n, (symbols / n) ** 0.5, (adjacent / n) ** 0.5, float(np.log1p(len(number)) / np.log1p(n)), (capitals / chars) ** 0.5, (marks / n) ** 0.5, float(np.log1p(n))]
+    return (n, chars, symbols, dups, repeated, *rates)
 
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -104,37 +105,30 @@ class IsolationForest:
         """Mean path length of an unsuccessful search among n rows."""
         return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n
 
-    def fit(self, rows: np.ndarray) -> IsolationForest:
-        """Each tree takes its own part of the rows (up to ``sample``), or draws from them where there are too few."""
+    def fit(self, rows: np.ndarray, low: np.ndarray, high: np.ndarray, deepest: int = 16) -> IsolationForest:
+        """Each tree draws ``sample`` of the rows and cuts the box from low to high."""
         rng = np.random.default_rng(self.seed)
-        deepest = int(np.ceil(np.log2(max(2, self.sample))))
-        self.norm = max(self._expected(min(self.sample, len(rows))), 1e-9)
-        for k in range(self.trees):
-            part = rows[k * self.sample : (k + 1) * self.sample]
-            if len(part) < self.sample:
-                part = rows[rng.choice(len(rows), min(self.sample, len(rows)), replace=False)]
+        n = min(self.sample, len(rows))
+        self.norm = max(self._expected(n), 1.0)
+        for _ in range(self.trees):
             feature, value, left, path = [0], [0.0], [0], [0.0]
-            todo = [(0, part, 0)]
+            todo = [(0, rows[rng.choice(len(rows), n, replace=False)], low, high, 0)]
             while todo:
-                node, here, depth = todo.pop()
-                low, high = here.min(0), here.max(0)
-                open_ = np.flatnonzero(high > low)
-                if depth >= deepest or len(here) < 2 or not len(open_):
+                node, here, low_, high_, depth = todo.pop()
+                open_ = np.flatnonzero(high_ > low_)
+                if len(here) < 2 or depth >= deepest or not len(open_):
                     path[node] = depth + self._expected(len(here))
                     continue
                 f = int(rng.choice(open_))
-                v = float(rng.uniform(low[f], high[f]))
+                v = float(rng.uniform(low_[f], high_[f]))
                 feature[node], value[node], left[node] = f, v, len(left)
-                for side in (here[:, f] <= v, here[:, f] > v):
-                    todo.append((len(left), here[side], depth + 1))
-                    for column in (feature, left):
-                        column.append(0)
-                    for column in (value, path):
-                        column.append(0.0)
-                    if not side.any():  # a cut at the largest value leaves an empty side
-                        path[-1] = depth + 1
-                        todo.pop()
-            self.grown.append((np.array(feature), np.array(value), np.array(left), np.array(path)))
+                below, above = high_.copy(), low_.copy()
+                below[f] = above[f] = v
+                todo.append((len(left), here[here[:, f] <= v], low_, below, depth + 1))
+                todo.append((len(left) + 1, here[here[:, f] > v], above, high_, depth + 1))
+                for column in (feature, value, left, path):
+                    column += [0, 0]
+            self.grown.append(tuple(map(np.array, (feature, value, left, path))))
         return self
 
     def score(self, rows: np.ndarray) -> np.ndarray:
@@ -156,8 +150,7 @@ def reject_above(bins: pd.DataFrame, most_lost: float = 0.002) -> float:
     """Score above which documents are rejected, from rows (bin in thousandths, good 0/1, n).
 
     Of the scores that lose at most ``most_lost`` of the good rows, the one
-    that rejects most bad rows; the highest of those that reject as many, since
-    a score that rejects nothing more than another only endangers good rows.
+    that rejects most bad rows; where several reject as many, their middle.
     Without bad rows nothing is rejected.
     """
     n = np.zeros((2, 1002))
@@ -168,7 +161,7 @@ def reject_above(bins: pd.DataFrame, most_lost: float = 0.002) -> float:
     above = n[:, ::-1].cumsum(1)[:, ::-1]  # rows in this bin and above
     allowed = above[1] <= most_lost * n[1].sum()
     best = np.where(allowed, above[0], -1)
-    return float(np.flatnonzero(best == best.max()).max()) / 1000
+    return float(np.flatnonzero(best == best.max())[[0, -1]].mean()) / 1000
 
 
 def judge(
@@ -201,7 +194,8 @@ def judge(
     if first.empty:
         return stats.select(*columns, (~failed).alias("kept"), F.lit(0.0).alias("score"))
     rows = first.to_numpy(float)
-    forest = IsolationForest(trees, sample).fit(rows[np.random.default_rng(1).permutation(len(rows))])
+    box = labelled.agg(*[F.min(c) for c in FEATURES], *[F.max(c) for c in FEATURES]).first()
+    forest = IsolationForest(trees, sample).fit(rows, np.array(box[: len(FEATURES)]), np.array(box[len(FEATURES) :]))
     model = docs.sparkSession.sparkContext.broadcast(forest)
 
     def score_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
