@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, packing, quality, simhash, tokencounts
+from . import exact_dedup, langid, mixing, packing, quality, simhash, tokencounts, toxicity
 from .common import shared_dir
 
 
@@ -55,6 +55,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of each document."""
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
     documents, pieces = mixing.mix(_table(spark, sf_dir, "documents"))
@@ -70,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_simhash": op6_simhash,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_packing": op8_packing,
+        "op9_toxicity": op9_toxicity,
         "op10_mixing": op10_mixing,
     }
 
