@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, packing, quality, simhash, tokencounts, toxicity
+from . import exact_dedup, langid, mixing, packing, quality, simhash, tokencounts, toxicity, urlfilter
 from .common import shared_dir
 
 
@@ -26,6 +26,22 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
+
+
+def op4_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of each page.
+
+    A page shows the document whose number is in its path, so its label is
+    that document's: bad if of low quality or toxic.
+    """
+    pages, labels = _table(spark, sf_dir, "pages").select("page_id", "url"), _table(spark, sf_dir, "labels")
+    bad = labels.groupBy("doc_id").agg(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    number = F.regexp_extract(urlfilter.path_of(F.col("url")), r"/(\d{1,18})(?:/|\.html)?$", 1)
+    shown = pages.withColumn("doc_id", F.when(number != "", number.cast("long")))
+    return urlfilter.judge(shown.join(bad, "doc_id", "left"), RULES, bad_col="bad")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each document."""
     return tokencounts.token_counts(_table(spark, sf_dir, "documents"))
@@ -71,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
         "op3_langid": op3_langid,
+        "op4_urlfilter": op4_urlfilter,
         "op5_token_counts": op5_token_counts,
         "op6_simhash": op6_simhash,
         "op7_exact_dedup": op7_exact_dedup,
