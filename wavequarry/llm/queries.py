@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, packing, quality, simhash, tokencounts, toxicity, urlfilter
+from . import exact_dedup, langid, licenses, mixing, packing, quality, simhash, tokencounts, toxicity, urlfilter
 from .common import shared_dir
 
 
@@ -21,6 +21,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of each document."""
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of each document."""
     return langid.identify(_table(spark, sf_dir, "documents"))
@@ -86,6 +91,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
+        "op2_licenses": op2_licenses,
         "op3_langid": op3_langid,
         "op4_urlfilter": op4_urlfilter,
         "op5_token_counts": op5_token_counts,
