@@ -85,13 +85,13 @@ def _fingerprint_arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
             prints = fingerprint_batch(part.column(1).to_pylist()).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints), part.column(2)], ["doc_id", "fp", "text_hash"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of each row; null and empty texts get 0."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_fingerprint_arrow, "doc_id long, fp long")
+    """doc_id, fp (the 64 bits as a signed long), text_hash of each row; null and empty texts get 0."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    return rows.mapInArrow(_fingerprint_arrow, "doc_id long, fp long, text_hash long")
 
 
 def cell_links(prints: np.ndarray, pivot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,7 +202,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id.
+    """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id, text_hash (xxhash64).
 
     component_id is the smallest id of the component. Null and empty texts
     have fingerprint 0 and are linked like any other; so are repeated rows.
@@ -215,4 +215,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = distinct.join(of, distinct["fp"] == of["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least_id")
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     ids = cut(rooted.join(least, "root").select("fp", "component_id"), "components")
-    return prints.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return prints.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "text_hash")

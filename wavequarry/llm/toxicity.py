@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, held_out
@@ -31,7 +31,7 @@ SAMPLE = 20_000
 #: Learned words and beginnings that are kept, at most.
 LEXICON = 20_000
 #: Letters of a learned word beginning.
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
 #: A word or beginning is learned if it has so many more toxic documents than its share, in standard deviations.
 LEAST_Z = 4.4
 #: The logistic model learns from clauses scored without what their own fold taught.
@@ -192,24 +192,24 @@ def learn_lexicons(sample: DataFrame) -> list[dict[str, float]]:
     return lexicons
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> np.ndarray:
-    """Bias and weights by Newton steps; the bias is not held down by ``ridge``."""
+#: Bias and weights of the features that the fit is drawn towards, used as they are without labels of both kinds.
+DEFAULT = np.array([-4.0, 3.0, 0.5, 1.0, 0.0])
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 3.0, steps: int = 50) -> np.ndarray:
+    """Bias and weights by Newton steps, drawn towards DEFAULT."""
     a = np.column_stack([np.ones(len(x)), x])
-    w = np.zeros(a.shape[1])
-    hold = np.diag([1e-6] + [ridge] * x.shape[1])
+    w = DEFAULT.copy()
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        change = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + hold, a.T @ (y - p) - hold @ w)
+        hessian = a.T @ (a * (p * (1 - p))[:, None]) + ridge * np.eye(len(w))
+        change = np.linalg.solve(hessian, a.T @ (y - p) - ridge * (w - DEFAULT))
         w += np.clip(change, -2, 2)
         if np.abs(change).max() < 1e-6:
             break
     return w
 
 
-#: Without labels of both kinds: bias and weights of the features.
-DEFAULT = np.array([-4.0, 3.0, 0.5, 1.0, 0.0])
-
-
 def _sketch_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the smallest hash of the text's word shingles, which copies share."""
     for batch in batches:
@@ -224,6 +224,47 @@ def training_sample(docs: DataFrame, labels: DataFrame, learn: Column, limit: in
     return cut(sketched.groupBy("sketch").agg(F.min_by(F.struct("text", "toxic"), F.struct("toxic", "text")).alias("r")).select("r.*", F.pmod(F.xxhash64("sketch"), F.lit(FOLDS)).cast("int").alias("fold")), "sample")
 
 
+class ToxicityModel:
+    """Lexicon and logistic weights; ``probability`` scores a text column."""
+
+    def __init__(self, lexicon: dict[str, float], weights: np.ndarray):
+        self.lexicon, self.weights = lexicon, weights
+
+    def score_batch(self, texts: pa.Array) -> np.ndarray:
+        x = np.array([features(t.as_py(), self.lexicon) for t in texts]).reshape(-1, 4)
+        return 1 / (1 + np.exp(-np.clip(self.weights[0] + x @ self.weights[1:], -30, 30)))
+
+    def probability(self, text: Column, spark: SparkSession) -> Column:
+        model = spark.sparkContext.broadcast(self)  # at most LEXICON words
+
+        @F.arrow_udf("double")
+        def toxic_probability(texts: pa.Array) -> pa.Array:
+            return pa.array(model.value.score_batch(texts))
+
+        return toxic_probability(text)
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", modulus: int = 3, remainder: int = 1, sample: int = SAMPLE) -> ToxicityModel:
+    """The model of the labelled rows; see ``score``."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    given = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("toxic in (0, 1)")
+    learn = F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), modulus, remainder)
+    known = training_sample(rows, given, learn, sample)
+    found = learn_lexicons(known)
+    lexicons = docs.sparkSession.sparkContext.broadcast(found)
+
+    def features_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [features(t.as_py(), lexicons.value[fold]) for t, fold in zip(batch.column(0), batch.column(2).to_pylist())]
+            if made:
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.float64()) for c in zip(*made)), batch.column(1)], ["full", "discounted", "matched", "dense", "toxic"])
+
+    schema = "full double, discounted double, matched double, dense double, toxic int"
+    table = known.select("text", "toxic", "fold").mapInArrow(features_task, schema).toPandas()  # at most sample rows
+    x, y = table.iloc[:, :4].to_numpy(float), table["toxic"].to_numpy(float)
+    return ToxicityModel(found[FOLDS], fit_logistic(x, y) if len(set(y)) == 2 else DEFAULT)
+
+
 def score(
     docs: DataFrame,
     labels: DataFrame,
@@ -243,27 +284,10 @@ def score(
     each for itself; whole texts are read, however long. Without labels of both
     kinds the seeds and fixed weights are used. An empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    given = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("toxic in (0, 1)")
-    learn = F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), modulus, remainder)
-    known = training_sample(rows, given, learn, sample)
-    lexicons = docs.sparkSession.sparkContext.broadcast(learn_lexicons(known))
-
-    def features_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [features(t.as_py(), lexicons.value[fold]) for t, fold in zip(batch.column(0), batch.column(2).to_pylist())]
-            if made:
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.float64()) for c in zip(*made)), batch.column(1)], ["full", "discounted", "matched", "dense", "toxic"])
-
-    table = known.select("text", "toxic", "fold").mapInArrow(features_task, "full double, discounted double, matched double, dense double, toxic int").toPandas()
-    x, y = table.iloc[:, :4].to_numpy(float), table["toxic"].to_numpy(float)
-    model = fit_logistic(x, y) if len(set(y)) == 2 else DEFAULT
-
-    def score_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array([features(t.as_py(), lexicons.value[FOLDS]) for t in batch.column(2)]).reshape(-1, 4)
-            p = 1 / (1 + np.exp(-np.clip(model[0] + x @ model[1:], -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
-
-    out = held_out(F.col("doc_id"), modulus, remainder)
-    return rows.select("doc_id", out.alias("held_out"), "text").mapInArrow(score_task, "doc_id long, held_out boolean, score double, predicted int")
+    model = fit(docs, labels, id_col, text_col, label_col, modulus, remainder, sample)
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        held_out(F.col(id_col).cast("long"), modulus, remainder).alias("held_out"),
+        model.probability(F.col(text_col), docs.sparkSession).alias("score"),
+    )
+    return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
