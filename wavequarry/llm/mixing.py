@@ -145,7 +145,8 @@ def mix(
         (F.least(end, (F.col("block") + 1) * block_words) - first).cast("int").alias("n"),
     )
     s = mix_slots(targets, block_words, shard_blocks, seed).withColumnsRenamed({"source": "s_source", "block": "s_block"})
-    joined = cells.join(s, cells["source"].eqNullSafe(s["s_source"]) & (cells["block"] == s["s_block"]) & (cells["at"] < s["words"]))
+    # Spark takes exploded rows for as few as they came from; a hint keeps it from broadcasting them.
+    joined = cells.hint("merge").join(s.hint("merge"), cells["source"].eqNullSafe(s["s_source"]) & (cells["block"] == s["s_block"]) & (cells["at"] < s["words"]))
     to_word = F.col("from_word") + F.least(F.col("n"), F.col("words") - F.col("at"))
     return documents, joined.select("source", "chunk", "nth", "shard", "slot", "pass_no", "from_word", to_word.alias("to_word"))
 
@@ -154,4 +155,4 @@ def by_document(documents: DataFrame, pieces: DataFrame, *values: Column) -> Dat
     """``documents`` with the aggregates ``values`` over each one's pieces (null where it has none)."""
     p = pieces.groupBy("source", "chunk", "nth").agg(*values).withColumnsRenamed({"source": "p_source", "chunk": "p_chunk", "nth": "p_nth"})
     same = documents["source"].eqNullSafe(p["p_source"]) & (documents["chunk"] == p["p_chunk"]) & (documents["nth"] == p["p_nth"])
-    return documents.join(p, same, "left").drop("p_source", "p_chunk", "p_nth")
+    return documents.join(p.hint("merge"), same, "left").drop("p_source", "p_chunk", "p_nth")
