@@ -2,10 +2,10 @@
 
 A tokenizer cuts a text into pre-tokens and each of those into pieces, so a
 text's count is the sum over its pre-tokens of frequency times pieces. Pieces
-are counted once per distinct pre-token of the corpus. The ``FREQUENT`` most
-frequent pre-tokens (a fixed number) are sent to the tasks, which settle them
-where the text is read; the rest, nearly all of them rare, are joined by
-pre-token. So no hot pre-token is shuffled, and no ids are made.
+are counted once per distinct pre-token of the corpus. The most frequent
+pre-tokens, at most ``FREQUENT``, are sent to the tasks, which settle them where
+the text is read; the rest, nearly all of them rare, are joined by pre-token.
+So no hot pre-token is shuffled, and no ids are made.
 """
 
 from __future__ import annotations
@@ -96,6 +96,19 @@ def vocabulary(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     return found.groupBy("pretoken").agg(F.sum("n").alias("n")).mapInArrow(_pieces_task(path), "pretoken string, n long, pieces long")
 
 
+def least_frequency(words: DataFrame, most: int) -> int:
+    """A frequency that at most ``most`` rows (n) reach, from their numbers in a few hundred classes of n."""
+    grade = F.floor(F.log2(F.col("n")) * 16).cast("int")
+    found = sorted(words.groupBy(grade.alias("g")).agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("least")).collect(), reverse=True)
+    least, total = 1 << 62, 0
+    for row in found:
+        total += row["rows"]
+        if total > most:
+            break
+        least = row["least"]
+    return least
+
+
 def _count_task(path: str, frequent):
     names = ["row", "doc_id", "n_bytes", "settled", "pretoken", "n"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32()]
@@ -148,7 +161,7 @@ def token_counts(docs: DataFrame, tokenizer: str = "word_bpe_49k", limit: int =
     """
     path = public_tokenizers.path(f"{tokenizer}.json")
     words = cut(vocabulary(docs, path, text_col), "vocabulary")
-    top = words.orderBy(F.desc("n"), "pretoken").limit(FREQUENT).select("pretoken", "pieces").toPandas()
+    top = words.where(F.col("n") >= least_frequency(words, FREQUENT)).select("pretoken", "pieces").toPandas()  # at most FREQUENT rows
     frequent = docs.sparkSession.sparkContext.broadcast(dict(zip(top["pretoken"], top["pieces"].tolist())))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.mapInArrow(_count_task(path, frequent), "row long, doc_id long, n_bytes long, settled long, pretoken string, n int")
