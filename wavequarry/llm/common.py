@@ -47,3 +47,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """True where crc32 of the id's decimal text leaves ``remainder``; a null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
+
+
+def bounded_sample(df: DataFrame, key: str, limit: int) -> DataFrame:
+    """At most ``limit`` rows, those whose ``key`` has the smallest hashes; all of a table that is no larger.
+
+    A share of the hashes is cut off first, so that partitions do not send
+    ``limit`` rows each to be merged.
+    """
+    n = df.count()
+    if n > limit:
+        df = df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * 0.95 * limit / n))
+    return df.orderBy(F.pmod(F.xxhash64(key), F.lit(1 << 30)), key).limit(limit)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bounded_sample, cut
 
 #: Characters that count as symbols, and the characters between words.
 SYMBOLS = "#*$%&|<>"
@@ -189,7 +189,7 @@ def judge(
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     given = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(good_col).cast("int").alias("good")).where("good is not null").groupBy("doc_id").agg(F.min("good").alias("good"))
     labelled = stats.where(~failed).join(given, "doc_id")
-    first = labelled.where("good = 1").orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(trees * sample).select(*FEATURES).toPandas()
+    first = bounded_sample(labelled.where("good = 1"), "doc_id", trees * sample).select(*FEATURES).orderBy(*FEATURES).toPandas()
     columns = ["doc_id", "n_words", *COUNTS[1:], failed.alias("base_failed")]
     if first.empty:
         return stats.select(*columns, (~failed).alias("kept"), F.lit(0.0).alias("score"))

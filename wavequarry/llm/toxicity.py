@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, held_out
+from .common import bounded_sample, cut, held_out
 from .simhash import shingle_hashes
 
 SAMPLE = 20_000
@@ -219,7 +219,7 @@ def _sketch_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def training_sample(docs: DataFrame, labels: DataFrame, learn: Column, limit: int) -> DataFrame:
     """text, toxic, fold of at most ``limit`` labelled rows, one of each group of copies; docs has doc_id and text, labels doc_id and toxic."""
-    ids = labels.where(learn).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    ids = bounded_sample(labels.where(learn).groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id", limit)
     sketched = docs.join(F.broadcast(ids), "doc_id").select("text", "toxic").mapInArrow(_sketch_task, "text string, toxic int, sketch long")
     return cut(sketched.groupBy("sketch").agg(F.min_by(F.struct("text", "toxic"), F.struct("toxic", "text")).alias("r")).select("r.*", F.pmod(F.xxhash64("sketch"), F.lit(FOLDS)).cast("int").alias("fold")), "sample")
 
