@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -20,3 +21,18 @@ def ship(spark: SparkSession) -> SparkSession:
     if ROOT not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share, from ``spark.checkpoint.dir``.
+
+    Where the session names none (tests on one machine), a temporary one is set.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    own = spark.sparkContext.getCheckpointDir()
+    if own is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wavequarry-"))
+        own = spark.sparkContext.getCheckpointDir()
+    return own.rstrip("/")
