@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def exact_mean(x: Column | str, places: int) -> Column:
+    """Mean of numbers of so many decimal places, summed as decimals: the same in whatever order rows come."""
+    return F.sum((F.col(x) if isinstance(x, str) else x).cast(f"decimal(18,{places})")).cast("double") / F.count(F.lit(1))
+
+
 def rms(x: Column) -> Column:
     return F.sqrt(F.avg(x * x))
 

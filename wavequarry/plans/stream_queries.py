@@ -10,10 +10,10 @@ from .registry import query
 from .window_queries import S
 
 
-@query("stream_tumbling", "SELECT CAST(date_trunc('day', ts) AS VARCHAR)[1:10] AS day, event_type, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY 1, 2")
+@query("stream_tumbling", "SELECT CAST(date_trunc('day', ts) AS VARCHAR)[1:10] AS day, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) / count(*) AS mean FROM events GROUP BY 1, 2")
 def stream_tumbling(spark, sf_dir):
     rows = live.drain(live.tumbling(live.event_stream(spark, sf_dir), "1 day", "1 day"), "complete")
-    return rows.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("mean", 4).alias("mean"))
+    return rows.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", "mean")
 
 
 @query(

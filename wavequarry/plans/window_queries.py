@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import windowing as W
+from ..operators.aggregates import exact_mean
 from ..sources.tables import samples, sessions, table, telemetry
 from .registry import query
 
@@ -85,20 +86,20 @@ def rolling5_dispersion(spark, sf_dir):
     return _trail(spark, sf_dir).select("user_id", "idx", F.round(F.col("sd") / (F.abs("m") + 1e-9), 4).alias("dispersion"), F.round(F.col("value") / (1 + F.col("sd")), 4).alias("scaled"))
 
 
-@query("tumbling_time", "SELECT CAST(date_trunc('day', ts) AS VARCHAR)[1:10] AS day, event_type, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY 1, 2")
+@query("tumbling_time", "SELECT CAST(date_trunc('day', ts) AS VARCHAR)[1:10] AS day, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) / count(*) AS mean FROM events GROUP BY 1, 2")
 def tumbling_time(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").groupBy(F.window("ts", "1 day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("mean"))
+    rows = table(spark, sf_dir, "events").groupBy(F.window("ts", "1 day"), "event_type").agg(F.count(F.lit(1)).alias("n"), exact_mean("value", 2).alias("mean"))
     return rows.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n", "mean")
 
 
 @query(
     "sliding_time",
     """WITH x AS (SELECT CAST(date_trunc('day', ts) AS DATE) - k.k AS day, value FROM events, (SELECT unnest([0, 1]) AS k) k)
-SELECT CAST(day AS VARCHAR) AS day, count(*) AS n, round(avg(value), 4) AS mean FROM x GROUP BY 1""",
+SELECT CAST(day AS VARCHAR) AS day, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) / count(*) AS mean FROM x GROUP BY 1""",
 )
 def sliding_time(spark, sf_dir):
     """Windows of two days, one starting every day."""
-    rows = table(spark, sf_dir, "events").groupBy(F.window("ts", "2 days", "1 day")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("mean"))
+    rows = table(spark, sf_dir, "events").groupBy(F.window("ts", "2 days", "1 day")).agg(F.count(F.lit(1)).alias("n"), exact_mean("value", 2).alias("mean"))
     return rows.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "n", "mean")
 
 
@@ -158,11 +159,11 @@ def topk_latest(spark, sf_dir):
 
 @query(
     "second_extremes",
-    "WITH m AS (SELECT user_id, round(avg(value), 4) AS m FROM events GROUP BY user_id), r AS (SELECT *, row_number() OVER (ORDER BY m DESC, user_id) AS hi, row_number() OVER (ORDER BY m, user_id) AS lo FROM m) SELECT CASE WHEN hi = 2 THEN 'second_largest' ELSE 'second_smallest' END AS what, user_id, m FROM r WHERE hi = 2 OR lo = 2",
+    "WITH m AS (SELECT user_id, CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) / count(*) AS m FROM events GROUP BY user_id), r AS (SELECT *, row_number() OVER (ORDER BY m DESC, user_id) AS hi, row_number() OVER (ORDER BY m, user_id) AS lo FROM m) SELECT CASE WHEN hi = 2 THEN 'second_largest' ELSE 'second_smallest' END AS what, user_id, m FROM r WHERE hi = 2 OR lo = 2",
 )
 def second_extremes(spark, sf_dir):
     """The second largest and second smallest recording by mean: the top two each way, without a global window."""
-    means = table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(F.avg("value"), 4).alias("m"))
+    means = table(spark, sf_dir, "events").groupBy("user_id").agg(exact_mean("value", 2).alias("m"))
     high = means.orderBy(F.desc("m"), "user_id").limit(2).orderBy("m", F.desc("user_id")).limit(1)
     low = means.orderBy("m", "user_id").limit(2).orderBy(F.desc("m"), F.desc("user_id")).limit(1)
     return high.select(F.lit("second_largest").alias("what"), "user_id", "m").union(low.select(F.lit("second_smallest").alias("what"), "user_id", "m"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import dsp
+from ..operators.aggregates import exact_mean
 from ..session import shared_dir
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -49,7 +50,7 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
 def tumbling(stream: DataFrame, width: str, late: str) -> DataFrame:
     """day window start, event_type, n, mean; late rows beyond the watermark are dropped."""
     grouped = stream.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type")
-    return grouped.agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean")).select(F.col("window.start").alias("start"), "event_type", "n", "mean")
+    return grouped.agg(F.count(F.lit(1)).alias("n"), exact_mean("value", 2).alias("mean")).select(F.col("window.start").alias("start"), "event_type", "n", "mean")
 
 
 def _in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
