@@ -90,12 +90,13 @@ def _permuted(index: Column, size: Column, seed: int) -> Column:
 def mix_slots(targets: DataFrame, block_words: int, shard_blocks: int, seed: int) -> DataFrame:
     """source, slot, pass_no, block, words, shard: one row per block that the mix takes.
 
-    Whole passes over a source take each of its blocks once; what is left of
-    the target comes from the start of one more pass, whose last slot takes
-    only the first ``words`` words of its block.
+    Whole passes over a source take each of its blocks once, the short one at
+    the stream's end last; what is left of the target comes from the start of
+    one more pass, whose last slot takes only the first ``words`` words of its
+    block. So the words taken are the target, rounded.
     """
     want, size = F.round("target").cast("long"), F.col("source_size")
-    sized = targets.where("source_size > 0").select("source", F.ceil(size / block_words).cast("long").alias("n_blocks"), (want - want % size).alias("whole"), (want % size).alias("rest"), size.alias("source_size"))
+    sized = targets.where("source_size > 0").select("source", F.ceil(size / block_words).cast("long").alias("n_blocks"), F.floor(size / block_words).alias("n_full"), (want - want % size).alias("whole"), (want % size).alias("rest"), size.alias("source_size"))
     whole_slots = F.col("whole") / F.col("source_size") * F.col("n_blocks")
     sized = sized.withColumn("n_slots", F.round(whole_slots).cast("long") + F.ceil(F.col("rest") / block_words).cast("long")).where("n_slots > 0")
     sized = sized.crossJoin(F.broadcast(sized.agg(F.greatest(F.ceil(F.sum("n_slots") / shard_blocks), F.lit(1)).cast("long").alias("n_shards"))))  # one row
@@ -103,7 +104,9 @@ def mix_slots(targets: DataFrame, block_words: int, shard_blocks: int, seed: int
     listed = runs.withColumn("slot", F.explode(F.sequence(F.col("run") * RUN, F.least(F.col("run") * RUN + RUN, F.col("n_slots")) - 1)))
     last = (F.col("slot") == F.col("n_slots") - 1) & (F.col("rest") % block_words > 0)
     listed = listed.withColumn("words", F.when(last, F.col("rest") % block_words).otherwise(F.lit(block_words)).cast("int"))
-    listed = listed.withColumn("pass_no", F.floor(F.col("slot") / F.col("n_blocks")).cast("int")).withColumn("block", _permuted(F.col("slot") % F.col("n_blocks"), F.col("n_blocks"), seed))
+    listed = listed.withColumn("pass_no", F.floor(F.col("slot") / F.col("n_blocks")).cast("int")).withColumn("block", F.col("slot") % F.col("n_blocks"))
+    shuffled = _permuted(F.col("block"), F.greatest("n_full", F.lit(1).cast("long")), seed)
+    listed = listed.withColumn("block", F.when(F.col("block") < F.col("n_full"), shuffled).otherwise(F.col("block")))
     shard = F.pmod(F.xxhash64("source", "slot", F.lit(seed)), F.col("n_shards"))
     return listed.select("source", "slot", "pass_no", "block", "words", shard.alias("shard"))
 
