@@ -91,25 +91,37 @@ def templates(urls: DataFrame) -> DataFrame:
     return urls.withColumn("template", deeper).drop("segments")
 
 
+def _apart(n: str, bad: str, all_n: str, all_bad: str) -> Column:
+    """True where a branch's share of bad urls is more than APART standard errors from that of its group."""
+    share = F.when(F.col(all_n) > 0, F.col(all_bad) / F.col(all_n))
+    error = F.sqrt(share * (1 - share) * (1 / F.col(n) + 1 / F.col(all_n)))
+    return F.coalesce((F.col(n) > 0) & (F.abs(F.col(bad) / F.col(n) - share) > APART * error), F.lit(False))
+
+
 def merge_branches(judged: DataFrame) -> DataFrame:
     """host, template, merged, n, bad of rows host, template, n, bad (labelled urls, bad ones).
 
-    From the deepest level up, a template takes the wildcard at that level if
-    its share of bad urls is within APART standard errors of that of all
-    templates which this would merge; n and bad are the merged sums.
+    From the deepest level up, the branches that differ at that level alone are
+    held against all of them together: those alike take ``*`` there. The others
+    are held against those on their side of the common share: those alike take
+    ``*high`` or ``*low``, and what differs from both stays literal. n and bad
+    are the merged sums.
     """
     rows = judged.withColumn("merged", F.split(F.regexp_replace("template", "^/", ""), "/"))
     for level in reversed(range(LEVELS)):
-        starred = F.transform("merged", lambda s, i: F.when((i == level) & (s != "**"), F.lit("*")).otherwise(s))
-        rows = rows.withColumn("starred", starred)
-        sums = rows.groupBy("host", "starred").agg(F.sum("n").alias("all_n"), F.sum("bad").alias("all_bad"))
-        own = rows.groupBy("host", "merged").agg(F.sum("n").alias("own_n"), F.sum("bad").alias("own_bad"))
-        rows = rows.join(own, ["host", "merged"]).join(sums, ["host", "starred"])
-        share = F.when(F.col("all_n") > 0, F.col("all_bad") / F.col("all_n"))
-        error = F.sqrt(share * (1 - share) * (1 / F.col("own_n") + 1 / F.col("all_n")))
-        apart = (F.col("own_n") > 0) & (F.abs(F.col("own_bad") / F.col("own_n") - share) > APART * error)
-        rows = rows.withColumn("merged", F.when(F.coalesce(apart, F.lit(False)), F.col("merged")).otherwise(F.col("starred"))).drop("starred", "own_n", "own_bad", "all_n", "all_bad")
-    rows = cut(rows.withColumn("merged", F.concat(F.lit("/"), F.array_join("merged", "/"))), "merged")
+        with_mark = lambda mark: F.transform("merged", lambda s, i: F.when((i == level) & (s != "**"), mark).otherwise(s))  # noqa: B023, E731
+        rows = rows.withColumn("starred", with_mark(F.lit("*")))
+        own = rows.groupBy("host", "merged", "starred").agg(F.sum("n").alias("own_n"), F.sum("bad").alias("own_bad"))
+        every = own.groupBy("host", "starred").agg(F.sum("own_n").alias("all_n"), F.sum("own_bad").alias("all_bad"))
+        own = own.join(every, ["host", "starred"]).withColumn("apart", _apart("own_n", "own_bad", "all_n", "all_bad"))
+        high = F.col("own_bad") * F.col("all_n") > F.col("all_bad") * F.col("own_n")
+        own = own.withColumn("side", F.when(~F.col("apart"), "").when(high, "high").otherwise("low"))
+        sides = own.groupBy("host", "starred", "side").agg(F.sum("own_n").alias("side_n"), F.sum("own_bad").alias("side_bad"), F.count(F.lit(1)).alias("branches"))
+        own = own.join(sides, ["host", "starred", "side"])
+        alone = (F.col("side") != "") & ((F.col("branches") == 1) | _apart("own_n", "own_bad", "side_n", "side_bad"))
+        own = own.withColumn("next", F.when(alone, F.col("merged")).otherwise(with_mark(F.concat(F.lit("*"), "side"))))
+        rows = cut(rows.drop("starred").join(own.select("host", "merged", "next"), ["host", "merged"]).drop("merged").withColumnRenamed("next", "merged"), "branches")
+    rows = rows.withColumn("merged", F.concat(F.lit("/"), F.array_join("merged", "/")))
     sums = rows.groupBy("host", "merged").agg(F.sum("n").alias("m_n"), F.sum("bad").alias("m_bad"))
     return rows.drop("n", "bad").join(sums, ["host", "merged"]).withColumnsRenamed({"m_n": "n", "m_bad": "bad"})
 
