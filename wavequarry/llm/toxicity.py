@@ -30,6 +30,8 @@ from .simhash import shingle_hashes
 SAMPLE = 20_000
 #: Learned words and beginnings that are kept, at most.
 LEXICON = 20_000
+#: Distinct terms that a task holds before it hands them on.
+HELD = 100_000
 #: Letters of a learned word beginning.
 STEMS = (4, 5, 6, 7, 8)
 #: A word or beginning is learned if it has so many more toxic documents than its share, in standard deviations.
@@ -153,8 +155,8 @@ def _terms_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, toxic, fold in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             counts.update((t, fold, toxic) for t in terms(text.as_py()))
             counts[None, fold, toxic] += 1
-        if len(counts) > 500_000:
-            yield rows()
+            if len(counts) > HELD:
+                yield rows()
     if counts:
         yield rows()
 
