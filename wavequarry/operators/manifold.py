@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import dsp
 from ..functions import linalg as L
 from ..sources.tables import CHANNELS, EPOCH_SAMPLES
 from .ordered import ordered_fold
@@ -92,6 +93,29 @@ def tangent_at(cov: Column, reference: np.ndarray) -> Column:
     return tangent(cov)
 
 
+def divergence_to(cov: Column, reference: np.ndarray) -> Column:
+    """Log-det divergence from the reference, at least 0."""
+
+    @F.pandas_udf("double")
+    def divergence(c: pd.Series) -> pd.Series:
+        values = np.maximum(np.linalg.eigvalsh(L.whiten(_stack(c), reference)), L.CLIP)
+        return pd.Series(np.maximum((values - np.log(values) - 1).sum(-1), 0.0))
+
+    return divergence(cov)
+
+
+def resampled_powers(x: Column, samples: int) -> Column:
+    """Mean squares of the channels before, then after, resampling to ``samples``."""
+
+    @F.pandas_udf("array<double>")
+    def powers(x: pd.Series) -> pd.Series:
+        epochs = np.stack(x.to_numpy()).reshape(-1, EPOCH_SAMPLES, N)
+        after = dsp.resample(np.moveaxis(epochs, 1, 0), samples)
+        return pd.Series(list(np.hstack([(epochs**2).mean(1), (after**2).mean(0)])))
+
+    return powers(x)
+
+
 def swelling(arithmetic: np.ndarray, geometric: np.ndarray) -> tuple[float, float, float]:
     """Ratios of the determinants and of the largest eigenvalues, and the distance, of two means."""
     ratio = np.exp(np.linalg.slogdet(arithmetic)[1] - np.linalg.slogdet(geometric)[1])

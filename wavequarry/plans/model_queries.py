@@ -189,3 +189,65 @@ def wavenet_loss(spark, sf_dir):
     rows = epoch_arrays(spark, sf_dir).select("x", (F.col("vec_id") % 2).cast("double").alias("y")).cache()
     losses = models.WaveNet(CHANNELS).fit(rows, "x", "y", EPOCH_SAMPLES, CHANNELS, steps=5)
     return spark.createDataFrame([(k, round(v, 6)) for k, v in enumerate(losses)], "step int, loss double")
+
+
+@query("logdet_divergence4")
+def logdet_divergence4(spark, sf_dir):
+    """trace(P^-1 Q) - ln det(P^-1 Q) - 4 of each epoch's covariance against the pooled mean, at least 0."""
+    rows = _covariances(spark, sf_dir)
+    return rows.select("vec_id", F.round(M.divergence_to(F.col("c"), _pooled(rows)), 5).alias("d"))
+
+
+@query("focus_score")
+def focus_score(spark, sf_dir):
+    """Ridge score of tangent vectors, 0 to 100, each label scored by the others."""
+    rows = _features(spark, sf_dir).withColumn("y", F.col("y") * 100)
+    done = models.leave_out_ridge(rows, "v", "y", "label", 10, 10.0)
+    return done.select("vec_id", "label", F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), "predicted")), 3).alias("score"))
+
+
+@query("ridge_path")
+def ridge_path(spark, sf_dir):
+    """Left-out error along a path of penalties: one pass of sums serves them all."""
+    rows = _features(spark, sf_dir)
+    grams = models.gram_by_group(rows, "v", "y", "label", 10)
+    found = models.left_out_errors(grams, list(np.logspace(-3, 5, 9)))
+    return spark.createDataFrame([(float(a), round(float(e), 6)) for a, e in found], "alpha double, mse double")
+
+
+@query("tournament")
+def tournament(spark, sf_dir):
+    """Features against labels: raw covariance triangle, channel log variances, tangent vectors; true and shuffled labels."""
+    rows = _covariances(spark, sf_dir)
+    upper = F.array(*[F.get("c", F.lit(4 * i + j)) for i in range(4) for j in range(i, 4)])
+    logs = F.array(*[F.log(F.get("c", F.lit(5 * i))) for i in range(4)])
+    views = {"raw": (upper, 10), "log_variance": (logs, 4), "tangent": (M.tangent_at(F.col("c"), _pooled(rows)), 10)}
+    labels = {"true": F.col("vec_id") % 2, "shuffled": F.pmod(F.xxhash64("vec_id"), F.lit(2))}
+    out = []
+    for name, (features, size) in views.items():
+        for kind, y in labels.items():
+            df = rows.select("label", y.cast("double").alias("y"), features.alias("v"))
+            done = models.leave_out_ridge(df, "v", "y", "label", size)
+            right = F.avg(((F.col("predicted") >= 0.5) == (F.col("y") >= 0.5)).cast("double"))
+            out.append(done.agg(F.count(F.lit(1)).alias("n"), F.round(right, 4).alias("accuracy")).select(F.lit(name).alias("features"), F.lit(kind).alias("labels"), "n", "accuracy"))
+    table = out[0]
+    for part in out[1:]:
+        table = table.union(part)
+    return table
+
+
+@query("principal_shares")
+def principal_shares(spark, sf_dir):
+    """Shares of the tangent vectors' variance along their principal axes, from one matrix of sums."""
+    grams = models.gram_by_group(_features(spark, sf_dir), "v", "y", "label", 10)
+    g = sum(grams.values())
+    mean = g[0, 1:-1] / g[0, 0]
+    values = np.linalg.eigvalsh(g[1:-1, 1:-1] / g[0, 0] - np.outer(mean, mean))[::-1]
+    return spark.createDataFrame([(k, round(float(v / values.sum()), 5)) for k, v in enumerate(values)], "axis int, share double")
+
+
+@query("resampled_power")
+def resampled_power(spark, sf_dir):
+    """Power of each epoch's channels before and after resampling from 16 to 31 samples."""
+    rows = epoch_arrays(spark, sf_dir)
+    return rows.select("vec_id", F.transform(M.resampled_powers(F.col("x"), 31), lambda v: F.round(v, 6)).alias("power"))

@@ -279,3 +279,47 @@ def narrate_rules(spark, sf_dir):
     rows = rows.withColumn("prev", F.lag("st").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
     a = rows.groupBy("user_id").agg(F.max_by("st", "idx").alias("state"), F.max_by("prev", "idx").alias("before"), F.min_by("st", "idx").alias("first"), F.avg((F.col("st") == "ENGAGED").cast("double")).alias("share"))
     return a.select("user_id", "state", P.narrate(F.col("state"), F.col("before"), F.col("first"), F.col("share")).alias("sentence"))
+
+
+@query(
+    "bootstrap_corr_ci",
+    f"""WITH p0 AS (SELECT user_id, round(avg(CASE WHEN event_type = 'click' THEN value END), 4) AS a, round(avg(CASE WHEN event_type = 'view' THEN value END), 4) AS c FROM events GROUP BY 1), v AS (SELECT a, c, row_number() OVER (ORDER BY user_id) - 1 AS i, count(*) OVER () AS n FROM p0 WHERE a IS NOT NULL AND c IS NOT NULL),
+b AS (SELECT unnest(range(0, 100)) AS b), p AS (SELECT b, CAST(floor(CAST({DRAW} AS DOUBLE) * n / 2147483648) AS BIGINT) AS pick FROM v, b), m AS (SELECT p.b, corr(v.a, v.c) AS r FROM p JOIN v ON v.i = p.pick GROUP BY 1)
+SELECT round(quantile_cont(r, 0.025), 5) AS r_lo, round(quantile_cont(r, 0.975), 5) AS r_hi, round(quantile_cont(r * r, 0.025), 5) AS r2_lo, round(quantile_cont(r * r, 0.975), 5) AS r2_hi, quantile_cont(r, 0.025) <= 0 AND quantile_cont(r, 0.975) >= 0 AS holds_zero FROM m""",
+)
+def bootstrap_corr_ci(spark, sf_dir):
+    """Intervals of the correlation of two channels' means over recordings, and of its square."""
+    mean = lambda kind: F.round(F.avg(F.when(F.col("event_type") == kind, F.col("value"))), 4)
+    pairs = table(spark, sf_dir, "events").groupBy("user_id").agg(mean("click").alias("a"), mean("view").alias("c")).where("a is not null and c is not null")
+    rows = ST.numbered(pairs, ["user_id"])
+    picks = rows.select("i", "n").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(99).cast("long"))))
+    picks = picks.select("b", F.floor(ST.draw(F.col("b"), F.col("i")) * F.col("n") / ST.LCG[2]).alias("pick"))
+    r = picks.join(rows.select(F.col("i").alias("pick"), "a", "c"), "pick").groupBy("b").agg(F.corr("a", "c").alias("r"))
+    q = lambda c, p: F.percentile(c, F.lit(p))
+    r2 = F.col("r") * F.col("r")
+    out = r.agg(q("r", 0.025).alias("lo"), q("r", 0.975).alias("hi"), F.round(q(r2, 0.025), 5).alias("r2_lo"), F.round(q(r2, 0.975), 5).alias("r2_hi"))
+    return out.select(F.round("lo", 5).alias("r_lo"), F.round("hi", 5).alias("r_hi"), "r2_lo", "r2_hi", ((F.col("lo") <= 0) & (F.col("hi") >= 0)).alias("holds_zero"))
+
+
+@query("linear_decoder", f"WITH {E}, v AS (SELECT vec_id, ch, var_pop(x) AS v FROM e GROUP BY 1, 2), s AS (SELECT vec_id, sum(v * CASE ch WHEN 0 THEN 0.4 WHEN 1 THEN 0.3 WHEN 2 THEN 0.2 ELSE 0.1 END) AS score FROM v GROUP BY 1) SELECT vec_id, round(score, 6) AS score, CASE WHEN score > 0.015 THEN 'ENGAGED' ELSE 'RESTING' END AS decoded_state FROM s")
+def linear_decoder(spark, sf_dir):
+    """Weighted channel variances against a bound."""
+    weight = F.element_at(F.array(*map(F.lit, (0.4, 0.3, 0.2, 0.1))), (F.col("ch") + 1).cast("int"))
+    v = epoch_samples(spark, sf_dir).groupBy("vec_id", "ch").agg(F.var_pop("x").alias("v"))
+    s = v.groupBy("vec_id").agg(F.sum(F.col("v") * weight).alias("score"))
+    return s.select("vec_id", F.round("score", 6).alias("score"), F.when(F.col("score") > 0.015, "ENGAGED").otherwise("RESTING").alias("decoded_state"))
+
+
+@query(
+    "noise_sweep",
+    f"""WITH {E}, g AS (SELECT unnest([0.0, 0.3, 0.6, 1.0, 1.5]) AS sigma), z AS (SELECT sigma, vec_id, t, ch, x, x + sigma * sqrt(0.015) * (((1103515245 * (vec_id * 64 + t * 4 + ch) + 12345) % 2147483648) / 2147483648.0 - 0.5) * sqrt(12) AS y FROM e, g)
+SELECT sigma, count(*) AS n, round(corr(x, y), 5) AS r, round(sqrt(avg(pow(y - x, 2))), 6) AS error FROM z GROUP BY 1""",
+)
+def noise_sweep(spark, sf_dir):
+    """What rising noise leaves of the signal."""
+    a, c, m = ST.LCG
+    rows = epoch_samples(spark, sf_dir).withColumn("sigma", F.explode(F.array(*map(F.lit, (0.0, 0.3, 0.6, 1.0, 1.5)))))
+    u = ((a * (F.col("vec_id") * 64 + F.col("t") * 4 + F.col("ch")) + c) % m) / float(m) - 0.5
+    rows = rows.withColumn("y", F.col("x") + F.col("sigma") * F.sqrt(F.lit(0.015)) * u * F.sqrt(F.lit(12.0)))
+    e = F.col("y") - F.col("x")
+    return rows.groupBy("sigma").agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("x", "y"), 5).alias("r"), F.round(F.sqrt(F.avg(e * e)), 6).alias("error"))

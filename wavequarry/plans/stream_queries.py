@@ -51,3 +51,45 @@ SELECT s.user_id, s.event_id, CASE WHEN s.idx < 20 THEN 'calibration' ELSE 'infe
 )
 def stream_calibration(spark, sf_dir):
     return live.drain(live.calibrated(live.event_stream(spark, sf_dir))).withColumn("score", F.round("score", 4))
+
+
+@query(
+    "stream_emit",
+    f"""WITH {S}, r AS (SELECT user_id, idx + 1 AS rn, avg(value) OVER w AS mean, max(value) OVER w - min(value) OVER w AS spread FROM s
+WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 7 PRECEDING AND CURRENT ROW))
+SELECT user_id, rn, round(mean, 6) AS mean, round(spread, 6) AS spread FROM r WHERE rn >= 8 AND rn % 4 = 0""",
+)
+def stream_emit(spark, sf_dir):
+    rows = live.drain(live.emitted(live.event_stream(spark, sf_dir)))
+    return rows.select("user_id", "rn", F.round("mean", 6).alias("mean"), F.round("spread", 6).alias("spread"))
+
+
+@query(
+    "stream_ew_mean",
+    f"""WITH {S}, n AS (SELECT user_id, count(*) AS n FROM s GROUP BY user_id)
+SELECT s.user_id, any_value(n) AS n, round(sum(value * CASE WHEN idx = 0 THEN pow(0.9, n - 1) ELSE 0.1 * pow(0.9, n - 1 - idx) END), 4) AS ew FROM s JOIN n USING (user_id) GROUP BY s.user_id""",
+)
+def stream_ew_mean(spark, sf_dir):
+    rows = live.drain(live.running(live.event_stream(spark, sf_dir)), "update")
+    return rows.groupBy("user_id").agg(F.max("n").alias("n"), F.round(F.max_by("ew", "n"), 4).alias("ew"))
+
+
+@query("stream_rebaseline")
+def stream_rebaseline(spark, sf_dir):
+    return live.drain(live.rebaselined(live.event_stream(spark, sf_dir))).withColumn("mean", F.round("mean", 5))
+
+
+@query(
+    "stream_onboarding",
+    f"""WITH {S}, w AS (SELECT user_id, idx // 8 AS win, count(*) AS n, max(value) <= 250 AS ok FROM s GROUP BY 1, 2 HAVING count(*) = 8), g AS (SELECT *, sum(CAST(ok AS BIGINT)) OVER (PARTITION BY user_id ORDER BY win) AS good FROM w)
+SELECT user_id, win AS "window", ok AS accepted, good >= 3 AS ready FROM g WHERE good - CAST(ok AS BIGINT) < 3""",
+)
+def stream_onboarding(spark, sf_dir):
+    return live.drain(live.onboarded(live.event_stream(spark, sf_dir)))
+
+
+@query("stream_static_baseline", "WITH b AS (SELECT user_id, floor(avg(value)) AS baseline FROM events WHERE event_type = 'view' GROUP BY 1) SELECT user_id, event_id, round(value - baseline, 2) AS away FROM events JOIN b USING (user_id)")
+def stream_static_baseline(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    baselines = events.where("event_type = 'view'").groupBy("user_id").agg(F.floor(F.avg("value")).alias("baseline"))
+    return live.drain(live.against_baseline(live.event_stream(spark, sf_dir), baselines)).withColumn("away", F.round("away", 2))

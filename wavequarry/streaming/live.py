@@ -126,3 +126,82 @@ def calibrated(stream: DataFrame, calibration: int = 20, alpha: float = 0.05, bo
 
     rows = stream.select("user_id", "ts", "event_id", "value")
     return rows.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, phase string, score double", "n long, total double, squares double, running double", "append", GroupStateTimeout.NoTimeout)
+
+
+def emitted(stream: DataFrame, size: int = 8, step: int = 4) -> DataFrame:
+    """user_id, rn, mean, spread of the last ``size`` samples, at every ``step``-th sample once the ring is full; state: the ring and a counter."""
+
+    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        ring, n = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
+        found = []
+        for v in _in_order(batches)["value"]:
+            ring, n = (ring + [float(v)])[-size:], n + 1
+            if n >= size and n % step == 0:
+                found.append((key[0], n, float(np.mean(ring)), max(ring) - min(ring)))
+        state.update((ring, n))
+        yield pd.DataFrame(found, columns=["user_id", "rn", "mean", "spread"]).astype({"user_id": "int64", "rn": "int64", "mean": float, "spread": float})
+
+    rows = stream.select("user_id", "ts", "event_id", "value")
+    return rows.groupBy("user_id").applyInPandasWithState(run, "user_id long, rn long, mean double, spread double", "ring array<double>, n long", "append", GroupStateTimeout.NoTimeout)
+
+
+def running(stream: DataFrame, alpha: float = 0.1) -> DataFrame:
+    """user_id, n, ew: exponentially weighted mean so far, from the first sample; one update per recording and batch."""
+
+    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, m = state.get if state.exists else (0, None)
+        for v in _in_order(batches)["value"]:
+            n, m = n + 1, float(v) if m is None else (1 - alpha) * m + alpha * float(v)
+        state.update((n, m))
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "ew": [m]})
+
+    rows = stream.select("user_id", "ts", "event_id", "value")
+    return rows.groupBy("user_id").applyInPandasWithState(run, "user_id long, n long, ew double", "n long, ew double", "update", GroupStateTimeout.NoTimeout)
+
+
+def rebaselined(stream: DataFrame, size: int = 10, bound: float = 0.5) -> DataFrame:
+    """user_id, block, mean, rebased: means of blocks of ``size`` samples; one that lies over ``bound`` of the baseline away becomes the baseline."""
+
+    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rest, block, base = (list(state.get[0]), state.get[1], state.get[2]) if state.exists else ([], 0, None)
+        found = []
+        for v in _in_order(batches)["value"]:
+            rest.append(float(v))
+            if len(rest) == size:
+                m, rest = float(np.mean(rest)), []
+                away = base is None or abs(m - base) > bound * abs(base)
+                base = m if away else base
+                found.append((key[0], block, m, away))
+                block += 1
+        state.update((rest, block, base))
+        yield pd.DataFrame(found, columns=["user_id", "block", "mean", "rebased"]).astype({"user_id": "int64", "block": "int64", "mean": float, "rebased": bool})
+
+    rows = stream.select("user_id", "ts", "event_id", "value")
+    return rows.groupBy("user_id").applyInPandasWithState(run, "user_id long, block long, mean double, rebased boolean", "rest array<double>, block long, base double", "append", GroupStateTimeout.NoTimeout)
+
+
+def onboarded(stream: DataFrame, windows: int = 3, size: int = 8, most: float = 250.0) -> DataFrame:
+    """user_id, window, accepted, ready: windows of ``size`` samples; one with a value above ``most`` is collected again, until enough are accepted."""
+
+    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rest, window, good = (list(state.get[0]), state.get[1], state.get[2]) if state.exists else ([], 0, 0)
+        found = []
+        for v in _in_order(batches)["value"]:
+            if good >= windows:
+                break
+            rest.append(float(v))
+            if len(rest) == size:
+                ok, rest = max(rest) <= most, []
+                good += ok
+                found.append((key[0], window, ok, good >= windows))
+                window += 1
+        state.update((rest, window, good))
+        yield pd.DataFrame(found, columns=["user_id", "window", "accepted", "ready"]).astype({"user_id": "int64", "window": "int64", "accepted": bool, "ready": bool})
+
+    rows = stream.select("user_id", "ts", "event_id", "value")
+    return rows.groupBy("user_id").applyInPandasWithState(run, "user_id long, window long, accepted boolean, ready boolean", "rest array<double>, window long, good long", "append", GroupStateTimeout.NoTimeout)
+
+
+def against_baseline(stream: DataFrame, baselines: DataFrame) -> DataFrame:
+    """Events with how far they lie from their recording's stored baseline (user_id, baseline); a stream-static join."""
+    return stream.join(baselines, "user_id").select("user_id", "event_id", (F.col("value") - F.col("baseline")).alias("away"))
