@@ -86,12 +86,14 @@ GRAMMAR = compose(_negation, _report, _target)
 
 
 def clause_score(words: list[str], weights: dict[str, float]) -> tuple[float, float]:
-    """(full, discounted) score of a clause: matches that hold, and those negated or reported."""
+    """(full, discounted) score of a clause: matches that hold, and those negated or reported; a word counts where it comes first."""
     state, full, discounted = (0, 0, 0), 0.0, 0.0
+    seen: set[str] = set()
     for word in words:
         weight = weights.get(word)
         kind = "insult" if weight is not None else CLASS.get(word, "other")
-        if kind in ("insult", "threat"):
+        if kind in ("insult", "threat") and word not in seen:
+            seen.add(word)
             weight = THREAT_WEIGHT if weight is None else weight
             factor = (NEGATED if state[0] else 1.0) * (REPORTED if state[1] else 1.0)
             if factor == 1.0:
