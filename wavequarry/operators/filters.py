@@ -40,3 +40,30 @@ def zero_phase_chain(df: DataFrame, keys: list[str], order: list[str], value: st
         return rows[[*keys, *order]].assign(filtered=x)
 
     return df.select(*keys, *order, value).groupBy(*keys).applyInPandas(run, schema)
+
+
+def leaky_neuron(df: DataFrame, keys: list[str], order: list[str], drive: str, leak: float = 0.9, threshold: float = 1.0, trace: float = 0.8, rate: float = 0.01) -> DataFrame:
+    """keys, order, spike, weight: a neuron that leaks, fires above the threshold and starts again from 0.
+
+    Its synapse grows by the trace of recent drive when it fires and shrinks by
+    the trace of recent spikes otherwise; the weight stays within 0 and 1.
+    """
+    kinds = dict(df.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in (*keys, *order)) + ", spike long, weight double"
+
+    def step(state, rows: pd.DataFrame):
+        potential, before, after, weight = state
+        found = []
+        for x in rows[drive].to_numpy(float):
+            potential = leak * potential + weight * x
+            before = trace * before + x
+            fired = potential >= threshold
+            weight = weight + rate * before if fired else weight - rate * after
+            weight = min(1.0, max(0.0, weight))
+            after = trace * after + fired
+            potential = 0.0 if fired else potential
+            found.append((int(fired), weight))
+        out = pd.DataFrame(found, columns=["spike", "weight"], index=rows.index)
+        return (potential, before, after, weight), pd.concat([rows[[*keys, *order]], out], axis=1)
+
+    return ordered_fold(df, keys, order, lambda: (0.0, 0.0, 0.0, 0.5), step, schema)

@@ -69,6 +69,26 @@ def left_out_errors(grams: dict, alphas: list[float]) -> list[tuple[float, float
     return found
 
 
+def fit_platt(df: DataFrame, score: str, target: str, rounds: int = 20) -> tuple[float, float]:
+    """(slope, bias) of the logistic curve of a 0/1 target over a score, by Newton steps on sums; targets are drawn in from 0 and 1."""
+    s, y = F.col(score), F.col(target)
+    df = df.where(s.isNotNull() & y.isNotNull())
+    up, down = df.agg(F.count_if(y > 0.5), F.count_if(y <= 0.5)).first()
+    if not up or not down:
+        return 0.0, float(np.log((up + 1) / (down + 1)))
+    goal = F.when(y > 0.5, (up + 1) / (up + 2)).otherwise(1 / (down + 2))
+    w = np.zeros(2)
+    for _ in range(rounds):
+        p = 1 / (1 + F.exp(-(float(w[0]) * s + float(w[1]))))
+        e, h = goal - p, p * (1 - p)
+        r = df.agg(F.sum(e * s), F.sum(e), F.sum(h * s * s), F.sum(h * s), F.sum(h)).first()
+        change = np.linalg.solve(np.array([[r[2], r[3]], [r[3], r[4]]]) + 1e-9 * np.eye(2), np.array(r[:2]))
+        w += np.clip(change, -5, 5)
+        if np.abs(change).max() < 1e-6:
+            break
+    return float(w[0]), float(w[1])
+
+
 def fourier_features(features: Column, size: int, n: int = 64, gamma: float = 0.1, seed: int = 3) -> Column:
     """Random Fourier features whose products approach the kernel exp(-gamma |x - y|^2)."""
     rng = np.random.default_rng(seed)

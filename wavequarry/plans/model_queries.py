@@ -9,6 +9,7 @@ from ..functions import dsp
 from ..operators import filters, models
 from ..operators import manifold as M
 from ..operators import separation as BS
+from ..sources import generators
 from ..sources.tables import CHANNELS, EPOCH_SAMPLES, epoch_arrays, epoch_samples, samples
 from .registry import query
 from .signal_queries import C
@@ -251,3 +252,28 @@ def resampled_power(spark, sf_dir):
     """Power of each epoch's channels before and after resampling from 16 to 31 samples."""
     rows = epoch_arrays(spark, sf_dir)
     return rows.select("vec_id", F.transform(M.resampled_powers(F.col("x"), 31), lambda v: F.round(v, 6)).alias("power"))
+
+
+@query("spiking_neuron")
+def spiking_neuron(spark, sf_dir):
+    """Spikes and synaptic weight of a leaky neuron driven by each recording."""
+    rows = samples(spark, sf_dir).select("user_id", "idx", (F.col("value") / 50).alias("drive"))
+    return filters.leaky_neuron(rows, ["user_id"], ["idx"], "drive").groupBy("user_id").agg(F.sum("spike").alias("spikes"), F.round(F.max_by("weight", "idx"), 5).alias("weight"))
+
+
+@query("calibrated_probability")
+def calibrated_probability(spark, sf_dir):
+    """Left-out ridge scores turned into probabilities by a logistic curve fitted on sums."""
+    done = models.leave_out_ridge(_features(spark, sf_dir), "v", "y", "label", 10)
+    a, b = models.fit_platt(done, "predicted", "y")
+    p = 1 / (1 + F.exp(-(a * F.col("predicted") + b)))
+    return done.select("vec_id", F.round(p, 5).alias("p"))
+
+
+@query("lead_off_gate")
+def lead_off_gate(spark, sf_dir):
+    """Quality of one-second windows around an electrode coming off: every window after that must be bad."""
+    rows = generators.detached_electrode(spark).withColumn("second", F.floor("t"))
+    railed = F.avg((F.abs("signal") >= 180).cast("double"))
+    w = rows.groupBy("second").agg((1 - railed).alias("sqi")).withColumn("after", F.col("second") >= 6)
+    return w.groupBy("after").agg(F.count(F.lit(1)).alias("windows"), F.every(F.col("sqi") < 0.2).alias("all_bad"), F.round(F.avg("sqi"), 4).alias("mean_sqi"))

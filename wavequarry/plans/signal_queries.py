@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import spd, spectral
 from ..operators import aggregates as A
 from ..operators import joins as J
+from ..operators.windowing import sliding_windows
 from ..sources.tables import CHANNELS, EPOCH_SAMPLES, channel, epoch_arrays, epoch_samples, samples, table
 from .registry import query
 from .window_queries import S
@@ -288,3 +290,36 @@ def dc_removed(spark, sf_dir):
     rows = epoch_samples(spark, sf_dir)
     pooled = rows.groupBy("ch").agg(F.avg("x").alias("m"))
     return rows.join(F.broadcast(pooled), "ch").groupBy("vec_id", "ch").agg(F.round(F.avg(F.col("x") - F.col("m")), 6).alias("mean"))
+
+
+@query(
+    "attenuation_integrity",
+    f"""WITH {E}, f AS (SELECT vec_id, ch, t, x, avg(x) OVER (PARTITION BY vec_id, ch ORDER BY t ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS y FROM e), c AS (SELECT vec_id, ch, var_pop(x) AS vx, var_pop(y) AS vy, corr(x, y) AS r FROM f GROUP BY 1, 2)
+SELECT vec_id, round(10 * log10(sum(vx) / sum(vy)), 4) AS attenuation_db, round(avg(r), 5) AS integrity FROM c GROUP BY 1""",
+)
+def attenuation_integrity(spark, sf_dir):
+    """What a three-sample mean takes off the power, and how far the channels still look like themselves."""
+    w = Window.partitionBy("vec_id", "ch").orderBy("t").rowsBetween(-1, 1)
+    f = epoch_samples(spark, sf_dir).withColumn("y", F.avg("x").over(w))
+    c = f.groupBy("vec_id", "ch").agg(F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"), F.corr("x", "y").alias("r"))
+    return c.groupBy("vec_id").agg(F.round(10 * F.log10(F.sum("vx") / F.sum("vy")), 4).alias("attenuation_db"), F.round(F.avg("r"), 5).alias("integrity"))
+
+
+@query(
+    "welch_psd",
+    f"""WITH {S}, n AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1), w AS (SELECT n.user_id, k.k AS win FROM n, LATERAL (SELECT unnest(range(0, n.n // 8 + 1)) AS k) k WHERE k.k * 8 < n.n - 16),
+x AS (SELECT w.user_id, w.win, s.idx - w.win * 8 AS t, s.value - avg(s.value) OVER (PARTITION BY w.user_id, w.win) AS v FROM w JOIN s ON s.user_id = w.user_id AND s.idx >= w.win * 8 AND s.idx < w.win * 8 + 16),
+h AS (SELECT user_id, win, t, v * (0.5 - 0.5 * cos(2 * pi() * t / 16)) AS v FROM x), b AS (SELECT unnest(range(0, 9)) AS k),
+f AS (SELECT user_id, win, k, (pow(sum(v * cos(2 * pi() * k * t / 16)), 2) + pow(sum(v * sin(2 * pi() * k * t / 16)), 2)) / (64 * 6.0) * CASE WHEN k IN (0, 8) THEN 1 ELSE 2 END AS p FROM h, b GROUP BY 1, 2, 3)
+SELECT user_id, k, k * 4.0 AS hz, round(avg(p), 4) AS density FROM f GROUP BY 1, 2""",
+)
+def welch_psd(spark, sf_dir):
+    """Power density of recordings: Hann windows of 16 samples, half overlapping, each without its mean, at 64 Hz."""
+    rows = sliding_windows(samples(spark, sf_dir), ["user_id"], "idx", 16, 8)
+    x = F.transform(F.array_sort(F.collect_list(F.struct("idx", "value"))), lambda s: s["value"])
+    win = rows.groupBy("user_id", "win").agg(x.alias("x"), F.avg("value").alias("m"))
+    hann = F.array(*[F.lit(0.5 - 0.5 * math.cos(2 * math.pi * t / 16)) for t in range(16)])
+    tapered = win.select("user_id", F.zip_with("x", hann, lambda v, h: (v - F.col("m")) * h).alias("x"))
+    bins = tapered.select("user_id", F.posexplode(spectral.powers(F.col("x"))).alias("k", "p"))
+    p = F.col("p") / (64 * 6.0) * F.when(F.col("k").isin(0, 8), 1.0).otherwise(2.0)
+    return bins.groupBy("user_id", F.col("k").cast("long").alias("k")).agg(F.round(F.avg(p), 4).alias("density")).withColumn("hz", F.col("k") * 4.0).select("user_id", "k", F.col("hz").cast("double").alias("hz"), "density")
