@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import dsp
+from ..operators import aggregates as A
 from ..operators import filters, models
 from ..operators import manifold as M
 from ..operators import separation as BS
@@ -277,3 +278,16 @@ def lead_off_gate(spark, sf_dir):
     railed = F.avg((F.abs("signal") >= 180).cast("double"))
     w = rows.groupBy("second").agg((1 - railed).alias("sqi")).withColumn("after", F.col("second") >= 6)
     return w.groupBy("after").agg(F.count(F.lit(1)).alias("windows"), F.every(F.col("sqi") < 0.2).alias("all_bad"), F.round(F.avg("sqi"), 4).alias("mean_sqi"))
+
+
+@query("swelling_seeds")
+def swelling_seeds(spark, sf_dir, seeds: int = 20):
+    """Determinant swelling of each seed's noisy copy of all epochs, then its spread over the seeds."""
+    rows = epoch_arrays(spark, sf_dir).withColumn("seed", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(seeds - 1).cast("long"))))
+    noisy = F.transform("x", lambda v, i: v * (1 + 0.3 * generators.unit_noise(F.col("vec_id") * 64 + i, F.col("seed"))))
+    rows = rows.select("seed", M.epoch_covariance(noisy).alias("c")).cache()
+    arithmetic, geometric = M.arithmetic_means(rows, "seed", "c"), M.geometric_means(rows, "seed", "c")
+    found = [(k, float(M.swelling(arithmetic[k], m)[0])) for k, (m, _, _) in geometric.items()]
+    r = spark.createDataFrame(found, "seed long, ratio double")
+    x = F.col("ratio")
+    return r.agg(F.count(F.lit(1)).alias("n_seeds"), F.round(F.avg(x), 5).alias("mean_ratio"), F.round(F.stddev_pop(x), 5).alias("std_ratio"), F.round(A.variation(x), 5).alias("cv"), F.round(F.min(x), 5).alias("min_ratio"), F.round(F.max(x), 5).alias("max_ratio"))

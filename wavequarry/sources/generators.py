@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 RATE = 250.0
 
 
-def unit_noise(row: Column, salt: int) -> Column:
+def unit_noise(row: Column, salt: Column | int) -> Column:
     """Standard normal numbers of a row's hash (Box-Muller), the same in every run."""
-    u = lambda k: (F.pmod(F.xxhash64(row, F.lit(salt), F.lit(k)), F.lit(1 << 40)) + 1) / float((1 << 40) + 1)
+    salt = F.lit(salt) if isinstance(salt, int) else salt
+    u = lambda k: (F.pmod(F.xxhash64(row, salt, F.lit(k)), F.lit(1 << 40)) + 1) / float((1 << 40) + 1)
     return F.sqrt(-2 * F.log(u(0))) * F.cos(2 * math.pi * u(1))
 
 
