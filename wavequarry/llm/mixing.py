@@ -25,6 +25,8 @@ from .common import cut, n_words
 CHUNKS = 1024
 #: Slots are listed in runs of this many, so that no array holds a source's slots.
 RUN = 4096
+#: Runs that one task lists, until there are as many tasks as MOST_TASKS.
+TASK_RUNS, MOST_TASKS = 64, 20_000
 #: Rounds of the block permutation.
 ROUNDS = 8
 
@@ -99,15 +101,17 @@ def mix_slots(targets: DataFrame, block_words: int, shard_blocks: int, seed: int
     sized = targets.where("source_size > 0").select("source", F.ceil(size / block_words).cast("long").alias("n_blocks"), F.floor(size / block_words).alias("n_full"), (want - want % size).alias("whole"), (want % size).alias("rest"), size.alias("source_size"))
     whole_slots = F.col("whole") / F.col("source_size") * F.col("n_blocks")
     sized = sized.withColumn("n_slots", F.round(whole_slots).cast("long") + F.ceil(F.col("rest") / block_words).cast("long")).where("n_slots > 0")
-    sized = sized.crossJoin(F.broadcast(sized.agg(F.greatest(F.ceil(F.sum("n_slots") / shard_blocks), F.lit(1)).cast("long").alias("n_shards"))))  # one row
-    runs = sized.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / RUN).cast("long")))).repartition("source", "run")
+    all_slots = sized.agg(F.coalesce(F.sum("n_slots"), F.lit(0))).first()[0]
+    # A run is a few bytes and makes RUN rows, so the number of tasks is set by count; left to itself Spark sets it by bytes.
+    tasks = min(MOST_TASKS, all_slots // (TASK_RUNS * RUN) + 1)
+    runs = sized.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / RUN).cast("long")))).repartition(tasks, "source", "run")
     listed = runs.withColumn("slot", F.explode(F.sequence(F.col("run") * RUN, F.least(F.col("run") * RUN + RUN, F.col("n_slots")) - 1)))
     last = (F.col("slot") == F.col("n_slots") - 1) & (F.col("rest") % block_words > 0)
     listed = listed.withColumn("words", F.when(last, F.col("rest") % block_words).otherwise(F.lit(block_words)).cast("int"))
     listed = listed.withColumn("pass_no", F.floor(F.col("slot") / F.col("n_blocks")).cast("int")).withColumn("block", F.col("slot") % F.col("n_blocks"))
     shuffled = _permuted(F.col("block"), F.greatest("n_full", F.lit(1).cast("long")), seed)
     listed = listed.withColumn("block", F.when(F.col("block") < F.col("n_full"), shuffled).otherwise(F.col("block")))
-    shard = F.pmod(F.xxhash64("source", "slot", F.lit(seed)), F.col("n_shards"))
+    shard = F.pmod(F.xxhash64("source", "slot", F.lit(seed)), F.lit(max(1, -(-all_slots // shard_blocks))))
     return listed.select("source", "slot", "pass_no", "block", "words", shard.alias("shard"))
 
 
