@@ -6,6 +6,7 @@ import json
 import math
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +90,27 @@ def test_generators(spark):
 def test_noise_is_normal(spark, n):
     m, sd = spark.range(n * 20).select(generators.unit_noise(F.col("id"), 1).alias("x")).agg(F.avg("x"), F.stddev_pop("x")).first()
     assert abs(m) < 0.03 and abs(sd - 1) < 0.03
+
+
+def test_markov_states(spark):
+    rows = generators.markov_states(spark, 40, 500).toPandas().sort_values(["chain", "second"])
+    assert len(rows) == 20_000 and (rows[rows.second == 0].state == "REST").all()
+    rows["next"] = rows.groupby("chain").state.shift(-1)
+    pairs = rows.dropna()
+    for state, chances in zip(generators.STATES, generators.NEXT_STATE):
+        after = pairs[pairs.state == state].next.value_counts(normalize=True)
+        assert all(abs(after.get(s, 0.0) - p) < 0.03 for s, p in zip(generators.STATES, chances))
+    assert generators.markov_states(spark, 2, 3, ((0.0, 1.0), (0.0, 1.0)), ("a", "b")).where("(second = 0) != (state = 'a')").count() == 0
+    with pytest.raises(ValueError):
+        generators.markov_states(spark, 1, 1, ((0.0, 1.0), (1.0, 0.0)), ("a", "b"))
+
+
+def test_pink_noise_and_pulses(spark):
+    x = spark.range(1 << 14).select("id", generators.pink_noise(F.col("id"), 1).alias("x")).toPandas().sort_values("id").x.to_numpy()
+    power = np.abs(np.fft.rfft(x - x.mean())) ** 2
+    low, high = power[16:64].mean(), power[1024:4096].mean()
+    assert 20 < low / high < 200  # 64 for exactly 1/f
+    pulses = generators.poisson_pulses(spark, 200, 0.5).toPandas()
+    area = pulses.x.sum() / generators.RATE / (0.1 * np.sqrt(np.pi))
+    assert 60 < area < 140 and (pulses.x >= 0).all()
+    assert generators.poisson_pulses(spark, 1, 0.0).where("x != 0").count() == 0

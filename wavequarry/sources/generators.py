@@ -57,3 +57,54 @@ def autoregressive(spark: SparkSession, series: int, samples: int, frequency: fl
     key = F.col("series") * (samples + last) + F.col("i")
     terms = F.transform(F.sequence(F.lit(0), F.lit(last - 1)), lambda k: F.get(F.array(*map(F.lit, gains)), k) * unit_noise(key + last - k, 7))
     return rows.select("series", "i", F.aggregate(terms, F.lit(0.0), lambda a, v: a + v).alias("x"))
+
+
+STATES = ("REST", "WORKLOAD", "MOTOR")
+# Chances of each state a second after each state.
+NEXT_STATE = ((0.95, 0.04, 0.01), (0.05, 0.93, 0.02), (0.08, 0.02, 0.90))
+
+
+def uniform_noise(row: Column, salt: Column | int) -> Column:
+    """Numbers from 0 to 1 (excluded) of a row's hash, the same in every run."""
+    salt = F.lit(salt) if isinstance(salt, int) else salt
+    return F.pmod(F.xxhash64(row, salt), F.lit(1 << 40)) / float(1 << 40)
+
+
+def markov_states(spark: SparkSession, chains: int, seconds: int, chances: tuple[tuple[float, ...], ...] = NEXT_STATE, states: tuple[str, ...] = STATES, seed: int = 0) -> DataFrame:
+    """chain, second, state: Markov chains that start in the first state.
+
+    All states read the same draw of a second, so a draw that leads every state
+    to one makes the past irrelevant. A row therefore folds only so many seconds
+    back as leave no such draw with a chance below 1e-12, and needs no other row.
+    """
+    upto = [[sum(row[: k + 1]) for k in range(len(row))] for row in chances]
+    shared = sum(max(0.0, min(c[k] for c in upto) - max(c[k - 1] if k else 0.0 for c in upto)) for k in range(len(states)))
+    if not shared:
+        raise ValueError("no draw leads all states to one")
+    back = int(math.log(1e-12) / math.log1p(-shared)) + 1 if shared < 1 else 1
+
+    def after(state: Column, step: Column) -> Column:
+        draw = uniform_noise(F.col("chain"), seed * 31 + step)
+        bounds = F.get(F.array(*[F.array(*map(F.lit, c[:-1])) for c in upto]), state)
+        return F.aggregate(bounds, F.lit(0), lambda n, b: n + (draw >= b).cast("int"))
+
+    rows = spark.range(chains * seconds).select(F.floor(F.col("id") / seconds).alias("chain"), (F.col("id") % seconds).alias("second"))
+    steps = F.when(F.col("second") > 0, F.sequence(F.greatest(F.lit(1), F.col("second") - back), F.col("second"))).otherwise(F.array().cast("array<bigint>"))
+    number = F.aggregate(steps, F.lit(0), after)
+    return rows.select("chain", "second", F.get(F.array(*map(F.lit, states)), number).alias("state"))
+
+
+def pink_noise(row: Column, salt: int, octaves: int = 12) -> Column:
+    """Noise whose power falls as 1/f: the sum of normal numbers that are held for 1, 2, 4, ... rows; its variance is 1."""
+    held = [unit_noise(F.shiftright(row, k), salt * 64 + k) for k in range(octaves)]
+    return sum(held[1:], held[0]) / math.sqrt(octaves)
+
+
+def poisson_pulses(spark: SparkSession, seconds: float, rate: float, width: float = 0.1, height: float = 1.0, seed: int = 0) -> DataFrame:
+    """i, t, x: bell-shaped pulses (blinks, twitches) that begin at random, ``rate`` a second on average."""
+    i, reach = F.col("id"), int(3 * width * RATE)
+    begins = lambda k: F.when(uniform_noise(k, seed) < rate / RATE, 1.0).otherwise(0.0)
+    shape = lambda lag: height * F.exp(-((lag / RATE / width) ** 2))
+    near = F.sequence(F.lit(-reach), F.lit(reach))
+    x = F.aggregate(near, F.lit(0.0), lambda a, lag: a + F.when(i >= lag, begins(i - lag) * shape(lag)).otherwise(0.0))
+    return spark.range(int(seconds * RATE)).select(i.alias("i"), (i / RATE).alias("t"), x.alias("x"))
