@@ -48,13 +48,13 @@ def pivots(n: int = N_PIVOTS, seed: int = 1) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 1 << 64, n, dtype=np.uint64)
 
 
-def shingle_hashes(text: str | None) -> list[int]:
-    """XXH64 (seed 42) of each run of SHINGLE words, A-Z lower-cased, joined by single spaces, repeats included."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> list[int]:
+    """XXH64 (seed 42) of each run of ``shingle`` words, A-Z lower-cased, joined by single spaces, repeats included."""
     words = (text or "").encode().lower().split()  # bytes: ASCII rules only
     if not words:
         return []
     line = b" ".join(words)
-    if len(words) <= SHINGLE:
+    if len(words) <= shingle:
         return [xxhash.xxh64_intdigest(line, 42)]
     starts, at = [], 0
     for w in words:
@@ -62,7 +62,7 @@ def shingle_hashes(text: str | None) -> list[int]:
         at += len(w) + 1
     starts.append(at)
     digest = xxhash.xxh64_intdigest
-    return [digest(line[a : b - 1], 42) for a, b in zip(starts, starts[SHINGLE:])]
+    return [digest(line[a : b - 1], 42) for a, b in zip(starts, starts[shingle:])]
 
 
 def fingerprint_batch(texts: list[str | None]) -> np.ndarray:
