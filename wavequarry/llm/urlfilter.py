@@ -20,10 +20,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Path segments that have levels of their own; what lies deeper is one wildcard.
-LEVELS = 4
-#: A segment stays literal if so many urls of its branch, and this share of them, have it.
-LEAST_URLS, LEAST_SHARE = 5, 0.02
+#: A segment stays literal if so many urls of its branch have it, however many the branch has.
+LEAST_URLS = 5
 #: Standard errors by which a branch must differ from its siblings to stay apart.
 APART = 2.0
 #: Labelled urls that the smoothing weighs as much as.
@@ -73,8 +71,7 @@ def _next_level(urls: DataFrame, level: int) -> DataFrame:
     segment = F.when(F.size("segments") > level, F.get("segments", F.lit(level)))
     urls = urls.withColumn("segment", segment)
     counts = urls.where("segment is not null").groupBy("host", "template", "segment").agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.groupBy("host", "template").agg(F.sum("n").alias("total"))
-    kept = counts.join(totals, ["host", "template"]).where((F.col("n") >= LEAST_URLS) & (F.col("n") >= LEAST_SHARE * F.col("total")))
+    kept = counts.where(F.col("n") >= LEAST_URLS)
     kept = cut(kept.select("host", "template", "segment", F.lit(True).alias("literal")), "segments")
     step = F.when(F.col("segment").isNull(), "").when(F.col("literal"), F.concat(F.lit("/"), "segment")).otherwise("/*")
     joined = urls.join(kept, ["host", "template", "segment"], "left")
@@ -82,13 +79,23 @@ def _next_level(urls: DataFrame, level: int) -> DataFrame:
 
 
 def templates(urls: DataFrame) -> DataFrame:
-    """``urls`` (host, path, ...) with its template."""
+    """``urls`` (host, path, ...) with its template.
+
+    Levels go on as long as a url has a further segment and its branch enough
+    urls for one to stay literal; below that nothing but ``*`` can follow, so
+    the rest is filled in at once and one long path costs no rounds.
+    """
     parts = F.filter(F.split("path", "/"), lambda s: s != "")
-    urls = urls.withColumn("segments", parts).withColumn("template", F.lit(""))
-    for level in range(LEVELS):
-        urls = cut(_next_level(urls, level), "urls")
-    deeper = F.when(F.size("segments") > LEVELS, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))
-    return urls.withColumn("template", deeper).drop("segments")
+    done = urls.withColumn("segments", parts).withColumn("template", F.lit(""))
+    levels = 0
+    while True:
+        more = done.where(F.size("segments") > levels).groupBy("host", "template").count().where(F.col("count") >= LEAST_URLS)
+        if more.isEmpty():
+            break
+        done = cut(_next_level(done, levels), "urls")
+        levels += 1
+    rest = F.repeat(F.lit("/*"), F.greatest(F.size("segments") - levels, F.lit(0)))
+    return done.withColumn("template", F.concat("template", rest)).drop("segments")
 
 
 def _apart(n: str, bad: str, all_n: str, all_bad: str) -> Column:
@@ -108,8 +115,10 @@ def merge_branches(judged: DataFrame) -> DataFrame:
     are the merged sums.
     """
     rows = judged.withColumn("merged", F.split(F.regexp_replace("template", "^/", ""), "/"))
-    for level in reversed(range(LEVELS)):
-        with_mark = lambda mark: F.transform("merged", lambda s, i: F.when((i == level) & (s != "**"), mark).otherwise(s))  # noqa: B023, E731
+    literal = F.transform("merged", lambda s, i: F.when((s != "*") & (s != ""), i + 1).otherwise(0))
+    levels = rows.agg(F.max(F.array_max(literal))).first()[0] or 0  # deeper ones are * throughout
+    for level in reversed(range(levels)):
+        with_mark = lambda mark: F.transform("merged", lambda s, i: F.when(i == level, mark).otherwise(s))  # noqa: B023, E731
         rows = rows.withColumn("starred", with_mark(F.lit("*")))
         own = rows.groupBy("host", "merged", "starred").agg(F.sum("n").alias("own_n"), F.sum("bad").alias("own_bad"))
         every = own.groupBy("host", "starred").agg(F.sum("own_n").alias("all_n"), F.sum("own_bad").alias("all_bad"))
