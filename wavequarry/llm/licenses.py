@@ -113,6 +113,20 @@ TEMPLATES = {
 }
 #: Every template has one of these; none spans white space, so a text has one where a paragraph has.
 CUE = r"(?i)licen[cs]|copyright|permission|redistribut|reserved|proprietary"
+#: Names by which notices without such a word speak of a family; they are templates too.
+NAMES = {
+    "MPL-2.0": ["MPL-2.0", "SPDX: MPL-2.0"],
+    "Apache-2.0": ["Apache-2.0", "SPDX: Apache-2.0"],
+    "GPL-3.0": ["GPLv3", "Distributed under the GPLv3.", "GPL-3.0", "GNU GPL version 3"],
+    "GPL-2.0": ["GPLv2", "Distributed under the GPLv2.", "GPL-2.0", "GNU GPL version 2"],
+    "LGPL": ["LGPLv3", "LGPLv2.1", "LGPL-3.0", "LGPL-2.1"],
+    "BSD": ["BSD-3-Clause", "BSD-2-Clause"],
+    "CC-BY-4.0": ["CC BY 4.0", "CC-BY-4.0", "Creative Commons Attribution 4.0 International"],
+    "CC-BY-SA-4.0": ["CC BY-SA 4.0", "CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International"],
+    "CC-BY-NC-4.0": ["CC BY-NC 4.0", "CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International"],
+}
+#: Any text that may speak of a licence: a stem, a name, or what names are made of.
+SPEAKS = CUE + r"|unencumbered|public\s+domain|creative\s+commons|spdx|\b(?:[al]?gpl|mpl|apache|bsd|cc0|cc[\s-]by)\b|\b[al]?gpl(?:v?\d|-)|\bcc0"
 #: n-grams of so many words.
 ORDERS = (1, 2, 3)
 #: Share of the smaller set of n-grams that paragraph and template must share.
@@ -137,7 +151,7 @@ def _rows(spark: SparkSession, items: list, schema: str) -> DataFrame:
 
 
 def _templates(spark: SparkSession) -> DataFrame:
-    found = [{"template": k, "family": f, "text": t} for k, (f, t) in enumerate((f, t) for f, texts in TEMPLATES.items() for t in texts)]
+    found = [{"template": k, "family": f, "text": t} for k, (f, t) in enumerate((f, t) for table in (TEMPLATES, NAMES) for f, texts in table.items() for t in texts)]
     return with_grams(_rows(spark, found, "template int, family string, text string"))
 
 
@@ -193,13 +207,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     those confirmed, ``unknown`` where paragraphs speak of licences but none is
     confirmed, null where none does; score is its probability (0 for null).
     n_license and n_unknown count paragraphs, families lists the confirmed
-    ones by name. Paragraphs are lines. Null and empty texts have none.
+    ones by name. Paragraphs are runs of lines between blank ones; each is
+    judged whole and by its lines, and the best of these is its family. Null and
+    empty texts have none.
     Repeated rows are scanned each for itself; an empty table gives no rows.
     """
     spark = docs.sparkSession
     text = F.col(text_col)
-    lines = F.when(text.rlike(CUE), F.filter(F.split(text, "\n"), lambda p: p.rlike(CUE)))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.posexplode_outer(lines).alias("at", "paragraph"))
+    units = lambda p: F.filter(F.array_distinct(F.concat(F.array(p), F.split(p, "\n"))), lambda u: u.rlike(SPEAKS))
+    paragraphs = F.transform(F.split(text, r"\n[ \t\r]*(?:\n[ \t\r]*)+"), lambda p, i: F.transform(units(p), lambda u: F.struct(i.alias("block"), u.alias("paragraph"))))
+    found = F.when(text.rlike(SPEAKS), F.flatten(paragraphs))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), found.alias("units"))  # before the explode, else its rows are numbered
+    rows = rows.select("row", "doc_id", F.posexplode_outer("units").alias("at", "unit")).select("row", "doc_id", "at", "unit.block", "unit.paragraph")
     rows = cut(rows, "paragraphs")
     training = cut(training_rows(spark).coalesce(1), "training")
     model = train(training.where(~F.col("aside")))
@@ -215,8 +234,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     sure = (F.col("probability") >= believed) & (F.col("overlap") >= OVERLAP) & (F.col("family") != UNKNOWN)
     judged = judged.select("row", "at", F.when(sure, F.col("family")).otherwise(UNKNOWN).alias("family"), "probability")
 
-    given = rows.select("row", "doc_id", "at").join(judged, ["row", "at"], "left")
+    given = rows.select("row", "doc_id", "at", "block").join(judged, ["row", "at"], "left")
     is_known = F.col("family") != UNKNOWN
+    top = F.max_by(F.struct("family", "probability"), F.struct(is_known.cast("int"), "probability", "family")).alias("top")
+    given = given.groupBy("row", "block").agg(F.max("doc_id").alias("doc_id"), top).select("row", "doc_id", "top.family", "top.probability")
     best = F.max_by("family", F.struct(is_known.cast("int"), "probability", "family"))
     return given.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
