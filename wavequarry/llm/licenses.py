@@ -1,11 +1,11 @@
 """Licence scans: a trained paragraph classifier confirmed by templates.
 
-Paragraphs that hold a word without which no licence speaks are scored by a
-multinomial logistic regression over their word n-grams, trained on the
-templates below, on parts of them, and on notices that name no known licence.
-The probability from which a family is believed is calibrated on training rows
-that were kept aside; a family must also share most n-grams with one of its
-templates. What fails either is ``unknown``.
+Paragraphs that hold words of the templates are scored by a multinomial
+logistic regression over their word n-grams, trained on the templates below, on
+parts of them, and on notices that name no known licence. The probability from
+which a family is believed is calibrated on training rows that were kept aside;
+a family must also share most n-grams with one of its templates. What fails
+either is ``unknown``.
 
 Everything is DataFrame functions and ``pyspark.ml``. The model's n-grams come
 from the templates, so the tables that tasks receive do not grow with the corpus.
@@ -14,6 +14,7 @@ from the templates, so the tables that tasks receive do not grow with the corpus
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer, StringIndexer
@@ -33,6 +34,8 @@ TEMPLATES = {
         "SPDX-License-Identifier: MIT",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+        "This project is licensed under the terms of the MIT license.",
     ],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
@@ -62,6 +65,8 @@ TEMPLATES = {
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
         "Released under the BSD 3-Clause License.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
         "SPDX-License-Identifier: BSD-3-Clause",
     ],
     "MPL-2.0": [
@@ -86,6 +91,8 @@ TEMPLATES = {
     ],
     "Unlicense": [
         "This is free and unencumbered software released into the public domain. See the Unlicense, https://unlicense.org, for permissions.",
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     ],
     "Proprietary": [
         "All rights reserved.",
@@ -111,8 +118,6 @@ TEMPLATES = {
         "Seats are reserved, and redistribution of tickets is not permitted.",
     ],
 }
-#: Every template has one of these; none spans white space, so a text has one where a paragraph has.
-CUE = r"(?i)licen[cs]|copyright|permission|redistribut|reserved|proprietary"
 #: Names by which notices without such a word speak of a family; they are templates too.
 NAMES = {
     "MPL-2.0": ["MPL-2.0", "SPDX: MPL-2.0"],
@@ -125,8 +130,29 @@ NAMES = {
     "CC-BY-SA-4.0": ["CC BY-SA 4.0", "CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International"],
     "CC-BY-NC-4.0": ["CC BY-NC 4.0", "CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International"],
 }
-#: Any text that may speak of a licence: a stem, a name, or what names are made of.
-SPEAKS = CUE + r"|unencumbered|public\s+domain|creative\s+commons|spdx|\b(?:[al]?gpl|mpl|apache|bsd|cc0|cc[\s-]by)\b|\b[al]?gpl(?:v?\d|-)|\bcc0"
+#: Titles of the families, and what notices say before them; every pair is a template.
+TITLES = {
+    "MIT": ["MIT License"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0"],
+    "GPL-3.0": ["GNU General Public License, version 3", "GNU General Public License v3.0"],
+    "GPL-2.0": ["GNU General Public License, version 2", "GNU General Public License v2.0"],
+    "LGPL": ["GNU Lesser General Public License", "GNU Lesser General Public License, version 2.1"],
+    "BSD": ["BSD License", "BSD 3-Clause License"],
+    "MPL-2.0": ["Mozilla Public License, v. 2.0", "Mozilla Public License 2.0"],
+    "ISC": ["ISC License"],
+    "CC-BY-4.0": ["Creative Commons Attribution 4.0 International License"],
+    "CC-BY-SA-4.0": ["Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "CC-BY-NC-4.0": ["Creative Commons Attribution-NonCommercial 4.0 International License"],
+    UNKNOWN: ["license of our own", "terms of the authors", "license named above"],
+}
+LEADS = ["Released under the", "Distributed under the", "This file is subject to the terms of the", "Use of this code is governed by the", "The text is available under the"]
+#: Stems and names one of which is enough for a paragraph to be scored.
+STRONG_STEMS = ("licen", "copyright", "permission", "redistribut", "reserved", "proprietary")
+STRONG_WORDS = ("gpl", "lgpl", "agpl", "mpl", "apache", "mozilla", "bsd", "gnu", "cc", "cc0", "spdx", "unencumbered", "merchantability")
+#: Other words of the templates, this long or longer, of which a paragraph must hold TELLING_WORDS different ones.
+TELLING_LETTERS, TELLING_WORDS = 5, 3
+#: A word is a run of letters and digits, joined by dots and hyphens.
+NOTICE_WORD = r"[a-z0-9]+(?:[.\-][a-z0-9]+)*"
 #: n-grams of so many words.
 ORDERS = (1, 2, 3)
 #: Share of the smaller set of n-grams that paragraph and template must share.
@@ -134,15 +160,42 @@ OVERLAP = 0.6
 VOCABULARY = 1 << 14
 
 
+def notice_words(text: Column) -> Column:
+    """The words of a notice, lower-cased, in order."""
+    return F.regexp_extract_all(F.lower(text), F.lit(NOTICE_WORD), F.lit(0))
+
+
+def templates() -> list[tuple[str, str]]:
+    """(family, text) of all templates, a list of fixed size."""
+    made = [(f, f"{lead} {title}.") for f, titles in TITLES.items() for title in titles for lead in LEADS]
+    return [(f, t) for table in (TEMPLATES, NAMES) for f, texts in table.items() for t in texts] + made
+
+
+def telling_words() -> tuple[list[str], list[str]]:
+    """(words of which one is enough, words of which TELLING_WORDS are) of all templates; lists of fixed size."""
+    texts = [t for family, t in templates() if family != UNKNOWN]
+    words = sorted({w for t in texts for w in re.findall(NOTICE_WORD, t.lower())})
+    marked = lambda w: any(c.isalpha() for c in w) and any(c in "0123456789-" for c in w)
+    stems = [w for t in TEMPLATES[UNKNOWN] for w in re.findall(NOTICE_WORD, t.lower())]
+    strong = sorted({w for w in [*words, *stems] if any(w.startswith(s) for s in STRONG_STEMS)} | {w for w in words if marked(w)} | set(STRONG_WORDS))
+    return strong, [w for w in words if len(w) >= TELLING_LETTERS and w not in strong]
+
+
+def speaks(words: Column) -> Column:
+    """True if words of a paragraph (an array) may speak of a licence: a strong one, or several of the templates' longer ones."""
+    strong, telling = (F.array(*map(F.lit, ws)) for ws in telling_words())
+    return F.arrays_overlap(words, strong) | (F.size(F.array_intersect(words, telling)) >= TELLING_WORDS)
+
+
 def with_grams(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``grams``: distinct word n-grams, lower-cased; words are runs of letters and digits, joined by dots and hyphens."""
+    """Add ``grams``: distinct word n-grams, lower-cased."""
     words = F.col("_words")
 
     def runs(k: int) -> Column:
         return F.transform(words, lambda _, i: F.when(i + k <= F.size(words), F.array_join(F.slice(words, i + 1, k), " ")))
 
-    found = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*"), F.lit(0))
-    return df.withColumn("_words", found).withColumn("grams", F.array_distinct(F.array_compact(F.concat(*map(runs, ORDERS))))).drop("_words")
+    grams = F.array_distinct(F.array_compact(F.concat(*map(runs, ORDERS))))
+    return df.withColumn("_words", notice_words(F.col(text))).withColumn("grams", grams).drop("_words")
 
 
 def _rows(spark: SparkSession, items: list, schema: str) -> DataFrame:
@@ -151,7 +204,7 @@ def _rows(spark: SparkSession, items: list, schema: str) -> DataFrame:
 
 
 def _templates(spark: SparkSession) -> DataFrame:
-    found = [{"template": k, "family": f, "text": t} for k, (f, t) in enumerate((f, t) for table in (TEMPLATES, NAMES) for f, texts in table.items() for t in texts)]
+    found = [{"template": k, "family": f, "text": t} for k, (f, t) in enumerate(templates())]
     return with_grams(_rows(spark, found, "template int, family string, text string"))
 
 
@@ -204,19 +257,22 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """One row per row of ``docs``: doc_id, license, score, n_license, n_unknown, families.
 
     license is the family of the paragraph with the highest probability among
-    those confirmed, ``unknown`` where paragraphs speak of licences but none is
-    confirmed, null where none does; score is its probability (0 for null).
-    n_license and n_unknown count paragraphs, families lists the confirmed
-    ones by name. Paragraphs are runs of lines between blank ones; each is
-    judged whole and by its lines, and the best of these is its family. Null and
-    empty texts have none.
-    Repeated rows are scanned each for itself; an empty table gives no rows.
+    those confirmed (ties: the last family by name), ``unknown`` where
+    paragraphs speak of licences but none is confirmed, null where none does;
+    score is its probability (0 for null). n_license and n_unknown count
+    paragraphs, families lists the confirmed ones by name. Paragraphs are runs
+    of lines between blank ones; each is judged whole, so that notices wrapped
+    over lines are one, and by its lines, and the best of these is its family.
+
+    Whole texts are read, however long. Null and empty texts have no paragraph.
+    Repeated rows are scanned each for itself, other columns of ``docs`` are
+    not read, and an empty table gives no rows.
     """
     spark = docs.sparkSession
     text = F.col(text_col)
-    units = lambda p: F.filter(F.array_distinct(F.concat(F.array(p), F.split(p, "\n"))), lambda u: u.rlike(SPEAKS))
+    units = lambda p: F.filter(F.array_distinct(F.concat(F.array(p), F.split(p, "\n"))), lambda u: speaks(notice_words(u)))
     paragraphs = F.transform(F.split(text, r"\n[ \t\r]*(?:\n[ \t\r]*)+"), lambda p, i: F.transform(units(p), lambda u: F.struct(i.alias("block"), u.alias("paragraph"))))
-    found = F.when(text.rlike(SPEAKS), F.flatten(paragraphs))
+    found = F.when(speaks(notice_words(text)), F.flatten(paragraphs))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), found.alias("units"))  # before the explode, else its rows are numbered
     rows = rows.select("row", "doc_id", F.posexplode_outer("units").alias("at", "unit")).select("row", "doc_id", "at", "unit.block", "unit.paragraph")
     rows = cut(rows, "paragraphs")
@@ -230,11 +286,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     shared = found.select("row", "at", F.size("grams").alias("p_size"), F.explode("grams").alias("gram")).join(F.broadcast(known), "gram")  # fixed templates
     shared = shared.groupBy("row", "at", "family", "template", "t_size", "p_size").agg(F.count(F.lit(1)).alias("n"))
     overlap = shared.groupBy("row", "at", "family").agg(F.max(F.col("n") / F.least("t_size", "p_size")).alias("overlap"))
-    judged = predicted.join(overlap, ["row", "at", "family"], "left")
+    # Both sides grow with the corpus, so these joins must not turn into broadcasts.
+    judged = predicted.join(overlap.hint("merge"), ["row", "at", "family"], "left")
     sure = (F.col("probability") >= believed) & (F.col("overlap") >= OVERLAP) & (F.col("family") != UNKNOWN)
     judged = judged.select("row", "at", F.when(sure, F.col("family")).otherwise(UNKNOWN).alias("family"), "probability")
 
-    given = rows.select("row", "doc_id", "at", "block").join(judged, ["row", "at"], "left")
+    given = rows.select("row", "doc_id", "at", "block").join(judged.hint("merge"), ["row", "at"], "left")
     is_known = F.col("family") != UNKNOWN
     top = F.max_by(F.struct("family", "probability"), F.struct(is_known.cast("int"), "probability", "family")).alias("top")
     given = given.groupBy("row", "block").agg(F.max("doc_id").alias("doc_id"), top).select("row", "doc_id", "top.family", "top.probability")
