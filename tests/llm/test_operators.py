@@ -292,15 +292,6 @@ def test_toxicity(docs, empty, labels, no_labels, spark, sf_dir):
     assert toxicity.score(d, y).exceptAll(toxicity.score(d, changed)).count() == 0  # held-out labels are not read
 
 
-def test_clauses_tell_insults_from_negated_and_reported_ones():
-    w = dict.fromkeys(["idiot", "scum"], 4.0)
-    score = lambda s: toxicity.clause_score(s.split(), w)
-    assert score("you idiot") == (6.0, 0.0) and score("what an idiot") == (4.0, 0.0)
-    assert score("not an idiot") == (0.0, 1.0) and score("not one two three four idiot")[0] == 4.0
-    assert score("she said idiot") == (0.0, 2.4000000000000004)
-    assert score("they will kill you")[0] == 6.0 and score("nothing here") == (0.0, 0.0)
-
-
 def test_mixing(docs, empty):
     documents, pieces = mixing.mix(docs, block_words=8)
     taken = mixing.by_document(documents, pieces, F.sum(F.col("to_word") - F.col("from_word")).alias("taken")).fillna(0, ["taken"]).toPandas()
