@@ -66,19 +66,19 @@ def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Co
     return F.array_max(F.filter(found, lambda r: F.startswith(path, r["start"])))
 
 
-def _next_level(urls: DataFrame, level: int) -> DataFrame:
+def _next_level(urls: DataFrame, level: int, least_urls: int) -> DataFrame:
     """Add the segment of ``level``, or ``*``, to the template of each url that has one."""
     segment = F.when(F.size("segments") > level, F.get("segments", F.lit(level)))
     urls = urls.withColumn("segment", segment)
     counts = urls.where("segment is not null").groupBy("host", "template", "segment").agg(F.count(F.lit(1)).alias("n"))
-    kept = counts.where(F.col("n") >= LEAST_URLS)
+    kept = counts.where(F.col("n") >= least_urls)
     kept = cut(kept.select("host", "template", "segment", F.lit(True).alias("literal")), "segments")
     step = F.when(F.col("segment").isNull(), "").when(F.col("literal"), F.concat(F.lit("/"), "segment")).otherwise("/*")
     joined = urls.join(kept, ["host", "template", "segment"], "left")
     return joined.withColumn("template", F.concat("template", step)).drop("segment", "literal")
 
 
-def templates(urls: DataFrame) -> DataFrame:
+def templates(urls: DataFrame, least_urls: int = LEAST_URLS) -> DataFrame:
     """``urls`` (host, path, ...) with its template.
 
     Levels go on as long as a url has a further segment and its branch enough
@@ -89,23 +89,23 @@ def templates(urls: DataFrame) -> DataFrame:
     done = urls.withColumn("segments", parts).withColumn("template", F.lit(""))
     levels = 0
     while True:
-        more = done.where(F.size("segments") > levels).groupBy("host", "template").count().where(F.col("count") >= LEAST_URLS)
+        more = done.where(F.size("segments") > levels).groupBy("host", "template").count().where(F.col("count") >= least_urls)
         if more.isEmpty():
             break
-        done = cut(_next_level(done, levels), "urls")
+        done = cut(_next_level(done, levels, least_urls), "urls")
         levels += 1
     rest = F.repeat(F.lit("/*"), F.greatest(F.size("segments") - levels, F.lit(0)))
     return done.withColumn("template", F.concat("template", rest)).drop("segments")
 
 
-def _apart(n: str, bad: str, all_n: str, all_bad: str) -> Column:
-    """True where a branch's share of bad urls is more than APART standard errors from that of its group."""
+def _apart(n: str, bad: str, all_n: str, all_bad: str, errors: float) -> Column:
+    """True where a branch's share of bad urls is more than ``errors`` standard errors from that of its group."""
     share = F.when(F.col(all_n) > 0, F.col(all_bad) / F.col(all_n))
     error = F.sqrt(share * (1 - share) * (1 / F.col(n) + 1 / F.col(all_n)))
-    return F.coalesce((F.col(n) > 0) & (F.abs(F.col(bad) / F.col(n) - share) > APART * error), F.lit(False))
+    return F.coalesce((F.col(n) > 0) & (F.abs(F.col(bad) / F.col(n) - share) > errors * error), F.lit(False))
 
 
-def merge_branches(judged: DataFrame) -> DataFrame:
+def merge_branches(judged: DataFrame, apart: float = APART) -> DataFrame:
     """host, template, merged, n, bad of rows host, template, n, bad (labelled urls, bad ones).
 
     From the deepest level up, the branches that differ at that level alone are
@@ -122,12 +122,12 @@ def merge_branches(judged: DataFrame) -> DataFrame:
         rows = rows.withColumn("starred", with_mark(F.lit("*")))
         own = rows.groupBy("host", "merged", "starred").agg(F.sum("n").alias("own_n"), F.sum("bad").alias("own_bad"))
         every = own.groupBy("host", "starred").agg(F.sum("own_n").alias("all_n"), F.sum("own_bad").alias("all_bad"))
-        own = own.join(every, ["host", "starred"]).withColumn("apart", _apart("own_n", "own_bad", "all_n", "all_bad"))
+        own = own.join(every, ["host", "starred"]).withColumn("apart", _apart("own_n", "own_bad", "all_n", "all_bad", apart))
         high = F.col("own_bad") * F.col("all_n") > F.col("all_bad") * F.col("own_n")
         own = own.withColumn("side", F.when(~F.col("apart"), "").when(high, "high").otherwise("low"))
         sides = own.groupBy("host", "starred", "side").agg(F.sum("own_n").alias("side_n"), F.sum("own_bad").alias("side_bad"), F.count(F.lit(1)).alias("branches"))
         own = own.join(sides, ["host", "starred", "side"])
-        alone = (F.col("side") != "") & ((F.col("branches") == 1) | _apart("own_n", "own_bad", "side_n", "side_bad"))
+        alone = (F.col("side") != "") & ((F.col("branches") == 1) | _apart("own_n", "own_bad", "side_n", "side_bad", apart))
         own = own.withColumn("next", F.when(alone, F.col("merged")).otherwise(with_mark(F.concat(F.lit("*"), "side"))))
         rows = cut(rows.drop("starred").join(own.select("host", "merged", "next"), ["host", "merged"]).drop("merged").withColumnRenamed("next", "merged"), "branches")
     rows = rows.withColumn("merged", F.concat(F.lit("/"), F.array_join("merged", "/")))
@@ -135,30 +135,42 @@ def merge_branches(judged: DataFrame) -> DataFrame:
     return rows.drop("n", "bad").join(sums, ["host", "merged"]).withColumnsRenamed({"m_n": "n", "m_bad": "bad"})
 
 
-def smoothed(judged: DataFrame) -> DataFrame:
+def smoothed(judged: DataFrame, strength: float = STRENGTH) -> DataFrame:
     """Add ``bad_share``: the template's share of bad urls, drawn towards the host's, itself drawn towards that of all."""
     one = judged.select("host", "merged", "n", "bad").distinct()
     everything = one.agg(F.sum("bad").alias("g_bad"), F.sum("n").alias("g_n")).select(F.coalesce(F.col("g_bad") / F.nullif("g_n", F.lit(0)), F.lit(0.0)).alias("prior"))
     hosts = one.groupBy("host").agg(F.sum("bad").alias("h_bad"), F.sum("n").alias("h_n")).crossJoin(F.broadcast(everything))  # one row
-    hosts = hosts.select("host", ((F.col("h_bad") + STRENGTH * F.col("prior")) / (F.col("h_n") + STRENGTH)).alias("h_share"))
-    return judged.join(hosts, "host").withColumn("bad_share", (F.col("bad") + STRENGTH * F.col("h_share")) / (F.col("n") + STRENGTH)).drop("h_share")
-
-
-def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", bad_col: str | None = None) -> DataFrame:
+    hosts = hosts.select("host", ((F.col("h_bad") + strength * F.col("prior")) / (F.col("h_n") + strength)).alias("h_share"))
+    return judged.join(hosts, "host").withColumn("bad_share", (F.col("bad") + strength * F.col("h_share")) / (F.col("n") + strength)).drop("h_share")
+
+
+def judge(
+    pages: DataFrame,
+    rules: list[tuple[str, str]],
+    id_col: str = "page_id",
+    url_col: str = "url",
+    bad_col: str | None = None,
+    least_urls: int = LEAST_URLS,
+    apart: float = APART,
+    strength: float = STRENGTH,
+    reject: float = REJECT,
+) -> DataFrame:
     """One row per row of ``pages``: page_id, host, path, rule, verdict, template, bad_share.
 
     ``rules`` are (host and path, allow or block). ``bad_col`` names a boolean
     label of the url, null where unknown. Null urls and those without :// have
     empty host and path, and share the empty template. Repeated rows are judged
-    each for itself. Without labels nothing is rejected but by rules. An empty
-    table gives no rows.
+    each for itself; of rules that fit and are equally long the last by name
+    wins. Whole urls are read, however long. Other columns of ``pages`` are not
+    read. Without labels nothing is rejected but by rules. An empty table gives
+    no rows. The other parameters are those that the module's head explains.
     """
     bad = F.col(bad_col).cast("int") if bad_col else F.lit(None).cast("int")
     urls = cut(pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), bad.alias("bad")), "pages")
-    urls = cut(templates(urls), "templates")
+    urls = cut(templates(urls, least_urls), "templates")
     counts = urls.groupBy("host", "template").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    table = smoothed(merge_branches(counts)).select("host", "template", "merged", "bad_share")
+    table = smoothed(merge_branches(counts, apart), strength).select("host", "template", "merged", "bad_share")
     found = fitting_rule(F.col("host"), F.col("path"), rules)
     judged = urls.drop("bad").join(cut(table, "judged"), ["host", "template"], "left").withColumn("found", found)
-    verdict = F.coalesce("found.verdict", F.when(F.col("bad_share") >= REJECT, "block").otherwise("allow"))
+    verdict = F.coalesce("found.verdict", F.when(F.col("bad_share") >= reject, "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"), F.col("merged").alias("template"), "bad_share")
