@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
@@ -30,6 +30,25 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, if it is there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def join_keys(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, share: int = 1000) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has one row per key and in ``count`` how many of the ``total`` rows have it.
+
+    Keys with more than a ``share``-th of the rows, of which there are fewer
+    than ``share``, are broadcast, so their rows stay where they are; the rest
+    meets by a merge join in which no key is large.
+    """
+    hot = F.col(count) * share > total
+    few = table.where(hot)
+    others = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(table.where(~hot).hint("merge"), key)
+    return rows.join(F.broadcast(few), key).unionByName(others)
+
+
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """True where crc32 of the id's decimal text leaves ``remainder``; a null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))

@@ -61,7 +61,9 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of documents as the first batch of a new index."""
     name = f"digest_index_{uuid.uuid4().hex}"
     index = exact_dedup.DigestIndex(spark, f"{shared_dir(spark)}/{name}", name)
-    return exact_dedup.deduplicate(_table(spark, sf_dir, "documents"), index, "documents")
+    found = exact_dedup.deduplicate(_table(spark, sf_dir, "documents"), index, "documents")
+    index.forget(files=True)  # a run of its own; ``found`` reads the batch's own files
+    return found
 
 
 OP7_SQL = """
@@ -84,8 +86,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
     documents, pieces = mixing.mix(_table(spark, sf_dir, "documents"))
-    taken = mixing.by_document(documents, pieces, F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
-    return taken.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
+    taken = mixing.by_document(documents, pieces, F.sum(F.col("to_word") - F.col("from_word")).alias("taken"), F.min("shard").alias("first_shard"), F.max("shard").alias("last_shard"))
+    return taken.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source", "first_shard", "last_shard")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
