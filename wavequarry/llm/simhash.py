@@ -28,11 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_keys
 
 SHINGLE = 3
 LINK_BITS = 3
 CELL_ROWS = 4096
+#: Rows of cells that one task searches.
+TASK_ROWS = 500_000
 N_PIVOTS = 16
 #: Six parts of the 64 bits, and the 20 masks of three parts.
 PARTS = [((1 << 11) - 1) << 11 * i for i in range(4)] + [((1 << 10) - 1) << 44 + 10 * i for i in range(2)]
@@ -166,37 +168,39 @@ def links(prints: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     key = ["part", "bits", "lo", "hi"]
     cells = cells.select("part", "bits", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp")
-    return cells.repartition(*key).sortWithinPartitions(*key).mapInArrow(_link_arrow, "a long, b long").distinct()
+    # The search is heavy for the few bytes it reads, so the number of tasks is set by rows; left to itself Spark makes one.
+    tasks = max(prints.sparkSession.sparkContext.defaultParallelism, -(-prints.count() * len(MASKS) // TASK_ROWS))
+    return cells.repartition(tasks, *key).sortWithinPartitions(*key).mapInArrow(_link_arrow, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node of its component, for every node of an edge (a, b).
 
-    Rounds of large-star and small-star: every node's larger neighbours, then
-    its smaller ones, are linked to the smallest of all. The rows of a round
-    are written in the shared folder; the driver sees their count and hash sum.
+    Rounds of large-star and small-star, until nothing changes: every node's
+    larger neighbours, then its smaller ones, are linked to the smallest of
+    all. The rows of a round are written in the shared folder; the driver sees
+    their count and hash sum. A node with a large part of the edges, as the
+    centre of a large group is, keeps them where they are (``join_keys``).
     """
 
-    def star(pairs: DataFrame) -> DataFrame:
+    def star(pairs: DataFrame, total: int) -> DataFrame:
         """pairs (u, v) with m, the smallest of u and all its v."""
-        low = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        return pairs.join(low, "u")
+        low = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("_n"))
+        return join_keys(pairs, low, "u", "_n", total).drop("_n")
 
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
-    before = None
-    for _ in range(most_rounds):
+    before, total = None, edges.count()
+    while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = star(both).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        large = cut(star(both, 2 * total).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a != b").distinct(), "large")
         down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        small = star(down)
+        small = star(down, total)
         edges = small.select(F.col("v").alias("a"), F.col("m").alias("b")).union(small.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a != b").distinct()
         edges = cut(edges, "edges")
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if state == before:
             break
-        before = state
-    else:
-        raise RuntimeError(f"components still change after {most_rounds} rounds")
+        before, total = state, state[0]
     roots = edges.select(F.col("b").alias("node")).distinct().withColumn("root", F.col("node"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
 
@@ -207,12 +211,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id is the smallest id of the component. Null and empty texts
     have fingerprint 0 and are linked like any other; so are repeated rows.
     A component whose ids are all null has a null component_id. Whole texts
-    count, however long. An empty table gives no rows.
+    count, however long; other columns of ``docs`` are not read. An empty table
+    gives no rows.
     """
     prints = cut(fingerprints(docs, id_col, text_col), "prints")
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")), "distinct")
     of = components(links(distinct.select("fp")))
-    rooted = distinct.join(of, distinct["fp"] == of["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least_id")
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    ids = cut(rooted.join(least, "root").select("fp", "component_id"), "components")
-    return prints.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "text_hash")
+    rooted = distinct.join(of, distinct["fp"] == of["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least_id", "n")
+    rooted = cut(rooted, "rooted")
+    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("prints"))
+    ids = cut(join_keys(rooted, least, "root", "prints", rooted.count()).select("fp", "component_id", "n"), "components")
+    return join_keys(prints, ids, "fp", "n", prints.count()).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "text_hash")
