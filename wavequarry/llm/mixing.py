@@ -2,10 +2,12 @@
 
 Each source's words form one stream, packed into blocks of ``block_words``.
 The mix is a list of slots, one block each. A source gets as many slots as its
-target asks for, and every slot draws its output shard independently and
-uniformly, so a source's counts over the shards are multinomial. The draw is
-made under the condition that the totals are the targets: unconditioned draws
-would miss the targets of small sources and pass the limit of two uses. Slot k
+target asks for. All slots together are dealt to output shards of
+``shard_blocks`` places by a pseudorandom permutation, so the counts of the
+sources in a shard are a multinomial draw under the condition that the shard is
+full and the totals are the targets (a multivariate hypergeometric one; without
+the condition small sources would miss their targets and documents pass the
+limit of two uses), and a shard comes out mixed: ``place`` is its order. Slot k
 of a source takes block ``perm(k mod blocks)``, where perm is a pseudorandom
 permutation of the source's block indices; slots and blocks are joined by
 (source, block).
@@ -75,22 +77,22 @@ def stream_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
-def _permuted(index: Column, size: Column, seed: int) -> Column:
-    """Pseudorandom bijection of 0..size-1, one per source.
+def _permuted(index: Column, size: Column, name: Column, seed: int) -> Column:
+    """Pseudorandom bijection of 0..size-1, one per name.
 
     Swap-or-not rounds: x and key - x are partners, and a hash of the larger
     decides for both whether they change places.
     """
 
     def swap_or_not(x: Column, r: Column) -> Column:
-        partner = F.pmod(F.pmod(F.xxhash64("source", F.lit(seed), r), size) - x, size)
-        return F.when(F.xxhash64("source", F.lit(seed), r, F.greatest(x, partner)) % 2 == 0, partner).otherwise(x)
+        partner = F.pmod(F.pmod(F.xxhash64(name, F.lit(seed), r), size) - x, size)
+        return F.when(F.xxhash64(name, F.lit(seed), r, F.greatest(x, partner)) % 2 == 0, partner).otherwise(x)
 
     return F.aggregate(F.array(*[F.lit(r) for r in range(ROUNDS)]), index, swap_or_not)
 
 
 def mix_slots(targets: DataFrame, block_words: int, shard_blocks: int, seed: int) -> DataFrame:
-    """source, slot, pass_no, block, words, shard: one row per block that the mix takes.
+    """source, slot, pass_no, block, words, shard, place: one row per block that the mix takes.
 
     Whole passes over a source take each of its blocks once, the short one at
     the stream's end last; what is left of the target comes from the start of
@@ -101,6 +103,8 @@ def mix_slots(targets: DataFrame, block_words: int, shard_blocks: int, seed: int
     sized = targets.where("source_size > 0").select("source", F.ceil(size / block_words).cast("long").alias("n_blocks"), F.floor(size / block_words).alias("n_full"), (want - want % size).alias("whole"), (want % size).alias("rest"), size.alias("source_size"))
     whole_slots = F.col("whole") / F.col("source_size") * F.col("n_blocks")
     sized = sized.withColumn("n_slots", F.round(whole_slots).cast("long") + F.ceil(F.col("rest") / block_words).cast("long")).where("n_slots > 0")
+    before = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    sized = sized.withColumn("first_slot", F.coalesce(F.sum("n_slots").over(before), F.lit(0)))  # one row per source
     all_slots = sized.agg(F.coalesce(F.sum("n_slots"), F.lit(0))).first()[0]
     # A run is a few bytes and makes RUN rows, so the number of tasks is set by count; left to itself Spark sets it by bytes.
     tasks = min(MOST_TASKS, all_slots // (TASK_RUNS * RUN) + 1)
@@ -109,10 +113,11 @@ def mix_slots(targets: DataFrame, block_words: int, shard_blocks: int, seed: int
     last = (F.col("slot") == F.col("n_slots") - 1) & (F.col("rest") % block_words > 0)
     listed = listed.withColumn("words", F.when(last, F.col("rest") % block_words).otherwise(F.lit(block_words)).cast("int"))
     listed = listed.withColumn("pass_no", F.floor(F.col("slot") / F.col("n_blocks")).cast("int")).withColumn("block", F.col("slot") % F.col("n_blocks"))
-    shuffled = _permuted(F.col("block"), F.greatest("n_full", F.lit(1).cast("long")), seed)
+    shuffled = _permuted(F.col("block"), F.greatest("n_full", F.lit(1).cast("long")), F.col("source"), seed)
     listed = listed.withColumn("block", F.when(F.col("block") < F.col("n_full"), shuffled).otherwise(F.col("block")))
-    shard = F.pmod(F.xxhash64("source", "slot", F.lit(seed)), F.lit(max(1, -(-all_slots // shard_blocks))))
-    return listed.select("source", "slot", "pass_no", "block", "words", shard.alias("shard"))
+    dealt = _permuted(F.col("first_slot") + F.col("slot"), F.lit(all_slots).cast("long"), F.lit("deal"), seed)
+    listed = listed.withColumn("dealt", dealt)
+    return listed.select("source", "slot", "pass_no", "block", "words", F.floor(F.col("dealt") / shard_blocks).alias("shard"), (F.col("dealt") % shard_blocks).cast("int").alias("place"))
 
 
 def mix(
@@ -130,12 +135,15 @@ def mix(
     """(documents, pieces) of the mix.
 
     documents: doc_id, source, size, source_size, target, chunk, nth, start, text_hash; one row per row of ``docs``.
-    pieces: source, chunk, nth, shard, slot, pass_no, from_word, to_word (its end, excluded); one row per slot
-    and document of which the slot's block holds words.
+    pieces: source, chunk, nth, shard, place, slot, pass_no, from_word, to_word (its end, excluded); one row per
+    slot and document of which the slot's block holds words.
 
     Null or empty texts have no pieces, a null source is a source of its own,
-    repeated rows are rows like any other, and an empty table gives empty
-    results. The outcome depends on the rows and the seed alone.
+    repeated rows are rows like any other, a text of any length is cut into
+    blocks as a whole, other columns of ``docs`` are not read, and an empty
+    table gives empty results. The outcome depends on the rows and the seed
+    alone. There is one row per source in the tables of targets, which windows
+    order in one task.
     """
     placed = cut(stream_positions(docs, id_col, text_col, source_col), "streams")
     targets = cut(source_targets(placed.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
@@ -155,7 +163,7 @@ def mix(
     # Spark takes exploded rows for as few as they came from; a hint keeps it from broadcasting them.
     joined = cells.hint("merge").join(s.hint("merge"), cells["source"].eqNullSafe(s["s_source"]) & (cells["block"] == s["s_block"]) & (cells["at"] < s["words"]))
     to_word = F.col("from_word") + F.least(F.col("n"), F.col("words") - F.col("at"))
-    return documents, joined.select("source", "chunk", "nth", "shard", "slot", "pass_no", "from_word", to_word.alias("to_word"))
+    return documents, joined.select("source", "chunk", "nth", "shard", "place", "slot", "pass_no", "from_word", to_word.alias("to_word"))
 
 
 def by_document(documents: DataFrame, pieces: DataFrame, *values: Column) -> DataFrame:
