@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from wavequarry.llm import exact_dedup, langid, licenses, mixing, packing, quality, simhash, tokencounts, toxicity, urlfilter
-from wavequarry.llm.common import bounded_sample, held_out, shared_dir
+from wavequarry.llm.common import bounded_sample, held_out, join_keys, shared_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, score double, rank int, token int, digest string"
@@ -109,6 +109,24 @@ def test_language_edges(docs, empty):
     assert langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).where("lang_pred != 'und'").count() == 0
 
 
+def test_sparse_product_and_blocks_of_languages(docs, monkeypatch):
+    texts = [COPY, None, "", "123", LONG, "ß", "one two"]
+    matrix = rng.normal(size=(langid.BUCKETS, 3)).astype(np.float32)
+    monkeypatch.setattr(langid, "STRETCH", 50)
+    got = langid.multiply(*langid.sparse_counts(texts), matrix)
+    for row, text in zip(got, texts):
+        want = np.zeros(3)
+        if langid.has_letter(text):
+            for order in langid.ORDERS:
+                want += matrix[langid.buckets(langid.code_points(text), order)].sum(0, dtype=np.float64)
+        assert np.allclose(row, want, rtol=1e-4, atol=1e-3)
+    many = docs.withColumn("lang", F.concat("lang", F.lit("-"), F.col("source")))
+    whole = {(r.doc_id, r.lang_pred): r.score for r in langid.identify(many).collect()}
+    monkeypatch.setattr(langid, "BLOCK", 2)
+    parts = {(r.doc_id, r.lang_pred): r.score for r in langid.identify(many).collect()}
+    assert whole.keys() == parts.keys() and all(abs(whole[k] - parts[k]) < 1e-6 for k in whole)
+
+
 def test_language_ignores_lang_source_and_id(docs):
     a = langid.identify(docs).select("doc_id", "lang_pred", "score")
     changed = docs.withColumn("lang", F.when(~held_out(F.col("doc_id"), 4, 2), F.col("lang")).otherwise("zz")).withColumn("source", F.lit("s"))
@@ -160,10 +178,15 @@ def test_token_counts(docs, empty):
     assert tokencounts.token_counts(empty).count() == 0
 
 
-def test_token_counts_with_few_frequent_ones(docs, monkeypatch):
-    whole = Counter(tokencounts.token_counts(docs).collect())
-    monkeypatch.setattr(tokencounts, "FREQUENT", 3)
-    assert Counter(tokencounts.token_counts(docs).collect()) == whole
+@pytest.mark.parametrize("frequent", [0, 3])
+def test_token_counts_with_few_frequent_ones(docs, frequent):
+    assert Counter(tokencounts.token_counts(docs, frequent=frequent).collect()) == Counter(tokencounts.token_counts(docs).collect())
+
+
+def test_token_counts_of_another_tokenizer(docs):
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = Counter((r.doc_id, r.n_tokens) for r in tokencounts.token_counts(docs, "byte_bpe_50k").collect())
+    assert got == Counter((r[0], len(t.encode(r[1] or "", add_special_tokens=False).ids)) for r in ROWS)
 
 
 def plain_print(text):
@@ -239,6 +262,33 @@ def test_exact_duplicates_and_the_index(spark, docs, empty):
     assert index.read().groupBy("digest").count().where("count > 1").count() == 0
 
 
+def test_an_index_is_compacted_read_in_order_and_found_again(spark, docs):
+    path = f"{shared_dir(spark)}/ix2"
+    index = exact_dedup.DigestIndex(spark, path, "ix_one", 2)
+    for k in range(3):
+        exact_dedup.deduplicate(spark.range(20 * k, 20 * k + 30).selectExpr("id AS doc_id", "concat('text ', id) AS text"), index, f"b{k}").collect()
+    whole = sorted(r.keep_id for r in index.read().collect())
+    assert whole == list(range(70)) and index.files_per_bucket() > 1
+    index.compact()
+    assert index.files_per_bucket() == 1 and sorted(r.keep_id for r in index.read().collect()) == whole
+    anti = index.read().select("digest").hint("merge").join(index.read().select("digest"), "digest", "left_anti")
+    plan = anti._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort " not in plan
+    index.forget()  # as a session that starts anew
+    again = exact_dedup.DigestIndex(spark, path, "ix_two", 2)
+    late = exact_dedup.deduplicate(spark.createDataFrame([(500, "text 3"), (501, "fresh")], "doc_id long, text string"), again, "late").collect()
+    assert {(r.doc_id, r.keep_id, r.kept) for r in late} == {(500, 3, False), (501, 501, True)}
+    again.forget(files=True)
+    assert again._complete() == []
+
+
+def test_hot_keys_are_joined_where_they_are(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"), "id")
+    table = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    got = join_keys(rows, table, "k", "n", 5000)
+    assert got.count() == 5000 and got.where("k = -1 and n != 1667").count() == 0
+
+
 def test_packing(docs, empty):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     got = packing.pack(docs).toPandas()
@@ -317,6 +367,21 @@ def test_mixing(docs, empty):
     assert all(df.count() == 0 for df in mixing.mix(empty))
 
 
+def test_shards_are_full_and_drawn(spark):
+    sizes = {"a": 60_000, "b": 30_000, "c": 10_000}
+    targets = spark.createDataFrame([(s, n, float(n)) for s, n in sizes.items()], "source string, source_size long, target double")
+    slots = mixing.mix_slots(targets, 10, 500, 3).toPandas()
+    n = len(slots)
+    assert n == 10_000 and (slots.groupby("shard").size() == 500).all() and slots.shard.nunique() == 20
+    assert (slots.groupby("shard").place.nunique() == 500).all()
+    counts = slots.groupby(["shard", "source"]).size().unstack(fill_value=0)
+    for s, size in sizes.items():
+        share = size / 100_000
+        variance = 500 * share * (1 - share) * (n - 500) / (n - 1)  # of a hypergeometric count
+        assert counts[s].sum() == size // 10 and 0.3 < counts[s].var() / variance < 2.5
+        assert (abs(counts[s] - 500 * share) < 5 * variance**0.5).all()
+
+
 def test_blocks_are_taken_evenly(spark):
     df = spark.createDataFrame([(k, " ".join(["w"] * 7), "s") for k in range(60)], "doc_id long, text string, source string")
     documents, pieces = mixing.mix(df, block_words=16, share=1.5)
