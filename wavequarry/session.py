@@ -24,15 +24,18 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``.
+    """The folder all executors share, from ``spark.checkpoint.dir`` or the context's checkpoint folder.
 
-    Where the session names none (tests on one machine), a temporary one is set.
+    Where neither is set, a temporary one serves if Spark runs on this machine
+    alone; on a cluster executors would not see it, so that raises.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     own = spark.sparkContext.getCheckpointDir()
     if own is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wavequarry-"))
         own = spark.sparkContext.getCheckpointDir()
     return own.rstrip("/")
