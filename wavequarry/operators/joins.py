@@ -35,9 +35,3 @@ def zipped(a: DataFrame, b: DataFrame, keys: list[str], order: list[str]) -> Dat
     left = a.withColumn("i", i).select(*keys, "i", *(F.col(c).alias(f"a_{c}") for c in a.columns if c not in keys))
     right = b.withColumn("i", i).select(*keys, "i", *(F.col(c).alias(f"b_{c}") for c in b.columns if c not in keys))
     return left.join(right, [*keys, "i"])
-
-
-def leave_one_out(df: DataFrame, group: str) -> DataFrame:
-    """Every row once per fold, with ``fold`` and ``is_test``; a fold holds one group out."""
-    folds = df.select(F.col(group).alias("fold")).distinct()
-    return df.crossJoin(F.broadcast(folds)).withColumn("is_test", F.col(group) == F.col("fold"))

@@ -14,12 +14,13 @@ from pyspark.sql import DataFrame
 
 
 def ordered_fold(df: DataFrame, keys: list[str], order: list[str], start: Callable, step: Callable, schema: str) -> DataFrame:
-    """Apply ``step(state, rows) -> (state, result)`` to each key's rows, a stretch at a time, from ``start()``."""
+    """Apply ``step(state, rows) -> (state, result)`` to each key's rows, a stretch at a time, from ``start()``; null keys are one key."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, state = None, None
         for batch in batches:
             for key, rows in batch.groupby(keys, sort=False, dropna=False):
+                key = tuple(None if part != part else part for part in key)  # a null key comes as NaN, which equals nothing
                 if now is None or key != now:
                     now, state = key, start()
                 state, result = step(state, rows)

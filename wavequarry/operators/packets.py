@@ -55,3 +55,20 @@ def narrate(state: Column, before: Column, first: Column, share: Column) -> Colu
         .when(share >= 0.5, F.lit("Focus is holding."))
         .otherwise(F.lit("A calm stretch."))
     )
+
+
+def confidence(distance: Column) -> Column:
+    """50 to 95 percent, by how far a decision lies from its boundary."""
+    return 50 + F.least(10 * F.abs(distance), F.lit(45.0))
+
+
+def narrate_by_priority(state: Column, before: Column, past: Column, blinks: Column, clenches: Column, certainty: Column, deep: float | None) -> Column:
+    """Name of the sentence for a session: noise first, then a change of state that has lasted two steps, then the state; null states match nothing.
+
+    ``deep`` is the confidence above which engagement is called deep; without it all of it is.
+    """
+    stays = lambda now, then: (state == now) & (before == now) & (past == then)
+    told = F.when(clenches >= 2, "muscle").when(blinks >= 10, "eyes").when(stays("ENGAGED", "RESTING"), "onset").when(stays("RESTING", "ENGAGED"), "fading")
+    if deep is not None:
+        told = told.when((state == "ENGAGED") & (certainty <= deep), "steady")
+    return told.when(state == "ENGAGED", "deep").otherwise("rest")

@@ -7,9 +7,13 @@ reduced by partial aggregation; no resample passes through one task as a whole.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 #: Multiplier, increment and modulus of the draws.
 LCG = (1103515245, 12345, 2147483648)
 
@@ -21,16 +25,40 @@ def draw(b: Column, i: Column) -> Column:
     return (a * one + c) % m
 
 
+def running_count(df: DataFrame, order: list[str], count: Column, name: str) -> DataFrame:
+    """Add ``name``: the sum of ``count`` over the rows up to this one in order (which must name rows), without a window over all rows.
+
+    Rows are dealt by range and each range sums by itself; the ranges' totals,
+    one row each, are summed in order.
+    """
+    spark = df.sparkSession
+    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    path = f"{shared_dir(spark)}/ranges-{uuid.uuid4().hex}"
+    parts.write.parquet(path)
+    rows = spark.read.schema(parts.schema).parquet(path)
+    totals = rows.groupBy("_part").agg(F.sum(count).alias("_sum"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))  # one row per range
+    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("_own", F.sum(count).over(within)).join(F.broadcast(totals), "_part").withColumn(name, F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")
+
+
 def numbered(df: DataFrame, order: list[str]) -> DataFrame:
-    """Add i from 0 and the row count n; for tables of one row per subject."""
-    return df.withColumn("i", F.row_number().over(Window.orderBy(*order)).cast("long") - 1).crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("n"))))
+    """Add i from 0 by ``order``, which must name rows, and the row count n."""
+    counted = running_count(df, order, F.lit(1).cast("long"), "i").withColumn("i", F.col("i") - 1)
+    return counted.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("n"))))  # one row
 
 
-def bootstrap_means(values: DataFrame, value: str, draws: int) -> DataFrame:
-    """b, mean: the means of ``draws`` resamples with replacement of rows (i, n, value)."""
+def bootstrap(values: DataFrame, columns: list[str], draws: int, statistic: Column) -> DataFrame:
+    """b, statistic: any aggregate over ``columns`` of each of ``draws`` resamples with replacement of rows (i, n, columns)."""
     picks = values.select("i", "n").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
     picks = picks.select("b", F.floor(draw(F.col("b"), F.col("i")) * F.col("n") / LCG[2]).alias("pick"))
-    return picks.join(values.select(F.col("i").alias("pick"), value), "pick").groupBy("b").agg(F.avg(value).alias("mean"))
+    return picks.join(values.select(F.col("i").alias("pick"), *columns), "pick").groupBy("b").agg(statistic.alias("statistic"))
+
+
+def bootstrap_means(values: DataFrame, value: str, draws: int) -> DataFrame:
+    """b, mean: the means of ``draws`` resamples with replacement of rows (i, n, value)."""
+    return bootstrap(values, [value], draws, F.avg(value)).withColumnRenamed("statistic", "mean")
 
 
 def sign_flip_means(values: DataFrame, value: str, draws: int) -> DataFrame:
@@ -45,10 +73,8 @@ def average_ranks(df: DataFrame, value: str) -> DataFrame:
 
     Counts per value are ranked, not rows, so only distinct values are ordered.
     """
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("ties"))
-    upto = F.sum("ties").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    counts = counts.withColumn("rank", upto - (F.col("ties") - 1) / 2)
-    return df.join(counts, value)
+    counts = running_count(df.groupBy(value).agg(F.count(F.lit(1)).alias("ties")), [value], F.col("ties"), "_upto")
+    return df.join(counts.withColumn("rank", F.col("_upto") - (F.col("ties") - 1) / 2).drop("_upto"), value)
 
 
 def wilcoxon(differences: DataFrame, d: str) -> DataFrame:
@@ -76,9 +102,37 @@ def mann_whitney(df: DataFrame, value: str, is_a: Column) -> DataFrame:
 
 
 def binomial_tail(df: DataFrame, k: str, n: str) -> DataFrame:
-    """Add ``p``: probability of at least k of n heads, summed in logarithms over one row per outcome."""
-    outcomes = df.withColumn("_x", F.explode(F.sequence(k, n)))
-    # ln C(n, x) as sums of logarithms
-    log = lambda hi: F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(hi, F.lit(1).cast("long"))), F.lit(0.0), lambda a, i: a + F.log(i.cast("double")))
-    term = F.exp(log(F.col(n)) - log(F.col("_x")) - log(F.col(n) - F.col("_x")) - F.col(n) * F.log(F.lit(2.0)))
-    return outcomes.groupBy(k, n).agg(F.sum(term).alias("p"))
+    """Add ``p``: probability of at least k of n heads.
+
+    Terms follow from one another: ln C(n, x + 1) = ln C(n, x) + ln(n - x) -
+    ln(x + 1), so one fold over the outcomes gives them all.
+    """
+    start = F.struct((-F.col(n) * F.log(F.lit(2.0))).alias("term"), F.when(F.col(k) <= 0, F.exp(-F.col(n) * F.log(F.lit(2.0)))).otherwise(F.lit(0.0)).alias("p"))
+
+    def step(state: Column, x: Column) -> Column:
+        term = state["term"] + F.log((F.col(n) - x + 1).cast("double")) - F.log(x.cast("double"))
+        return F.struct(term.alias("term"), (state["p"] + F.when(x >= F.col(k), F.exp(term)).otherwise(0.0)).alias("p"))
+
+    one = F.lit(1).cast("long")
+    outcomes = F.when(F.col(n) >= 1, F.sequence(one, F.greatest(F.col(n), one))).otherwise(F.array().cast("array<bigint>"))
+    return df.withColumn("p", F.aggregate(outcomes, start, step)["p"])
+
+
+def least_of_each(df: DataFrame, group: str, order: list[str], bound: int, cells: int = 4096) -> DataFrame:
+    """The first rows of each group by ``order``, as many as the smallest group has.
+
+    ``order`` starts with a number below ``bound``. Its values are counted in
+    cells: whole cells that lie before the last row are taken as they are, and
+    only the rows of the cell that holds it are put in order.
+    """
+    cell = F.floor(F.col(order[0]) * cells / bound).alias("_cell")
+    counts = df.groupBy(group, cell).agg(F.count(F.lit(1)).alias("_n"))  # cells x groups rows
+    before = Window.partitionBy(group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    least = counts.groupBy(group).agg(F.sum("_n").alias("_all")).agg(F.min("_all").alias("_least"))
+    open_ = counts.crossJoin(F.broadcast(least)).where("_before < _least")  # one row
+    placed = df.withColumn("_cell", F.floor(F.col(order[0]) * cells / bound)).join(open_, [group, "_cell"])
+    whole = placed.where("_before + _n <= _least")
+    nth = F.row_number().over(Window.partitionBy(group, "_cell").orderBy(*order))
+    cut = placed.where("_before + _n > _least").withColumn("_nth", nth).where("_before + _nth <= _least").drop("_nth")
+    return whole.unionByName(cut).select(*df.columns)

@@ -71,8 +71,13 @@ def overlap_add(windows: DataFrame, keys: list[str], sample: str, order: str, va
 
 
 def exponential_mean(df: DataFrame, keys: list[str], order: list[str], value: str, alpha: float) -> DataFrame:
-    """keys, n, ew: the last value of m = (1 - alpha) m + alpha x from m = x at the first sample."""
-    values = F.transform(F.array_sort(F.collect_list(F.struct(*order, value))), lambda s: s[value])
-    rows = df.groupBy(*keys).agg(values.alias("_v"))
-    ew = F.aggregate(F.slice("_v", F.lit(2), F.size("_v")), F.get("_v", F.lit(0)), lambda m, x: (1 - alpha) * m + alpha * x)
-    return rows.select(*keys, F.size("_v").cast("long").alias("n"), ew.alias("ew"))
+    """keys, n, ew: the last value of m = (1 - alpha) m + alpha x from m = x at the first sample.
+
+    The last value is a weighted sum, so no recording is held: sample k from
+    the end weighs alpha (1 - alpha)^k, and the first one (1 - alpha)^(n - 1).
+    """
+    w = Window.partitionBy(*keys)
+    rows = df.withColumn("_k", F.row_number().over(w.orderBy(*[F.desc(c) for c in order])) - 1)
+    n = F.count(F.lit(1))
+    first = F.max_by(value, "_k") * F.pow(F.lit(1 - alpha), n - 1) * (1 - alpha)  # what the sum lacks of the first sample's weight
+    return rows.groupBy(*keys).agg(n.alias("n"), (F.sum(F.col(value) * alpha * F.pow(F.lit(1 - alpha), F.col("_k"))) + first).alias("ew"))

@@ -26,24 +26,24 @@ def _differences(spark, sf_dir):
 
 @query(
     "bootstrap_mean_ci",
-    f"""WITH {U}, b AS (SELECT unnest(range(0, 200)) AS b), p AS (SELECT b, CAST(floor(CAST({DRAW} AS DOUBLE) * n / 2147483648) AS BIGINT) AS pick FROM v, b), m AS (SELECT p.b, avg(v.d) AS m FROM p JOIN v ON v.i = p.pick GROUP BY 1)
+    f"""WITH {U}, b AS (SELECT unnest(range(0, 10000)) AS b), p AS (SELECT b, CAST(floor(CAST({DRAW} AS DOUBLE) * n / 2147483648) AS BIGINT) AS pick FROM v, b), m AS (SELECT p.b, avg(v.d) AS m FROM p JOIN v ON v.i = p.pick GROUP BY 1)
 SELECT round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM m""",
 )
 def bootstrap_mean_ci(spark, sf_dir):
-    means = ST.bootstrap_means(ST.numbered(_differences(spark, sf_dir), ["user_id"]), "d", 200)
+    means = ST.bootstrap_means(ST.numbered(_differences(spark, sf_dir), ["user_id"]), "d", 10_000)
     p = lambda q: F.round(F.percentile("mean", F.lit(q)), 6)
     return means.agg(F.round(F.avg("mean"), 6).alias("mean"), p(0.025).alias("lo"), p(0.975).alias("hi"))
 
 
 @query(
     "sign_flip_perm",
-    f"""WITH {U}, b AS (SELECT unnest(range(0, 200)) AS b), m AS (SELECT b, avg(d * CASE WHEN {DRAW} >= 1073741824 THEN 1.0 ELSE -1.0 END) AS m FROM v, b GROUP BY 1), o AS (SELECT avg(d) AS o FROM v)
+    f"""WITH {U}, b AS (SELECT unnest(range(0, 10000)) AS b), m AS (SELECT b, avg(d * CASE WHEN {DRAW} >= 1073741824 THEN 1.0 ELSE -1.0 END) AS m FROM v, b GROUP BY 1), o AS (SELECT avg(d) AS o FROM v)
 SELECT round(any_value(o), 6) AS observed, round(avg(CASE WHEN abs(m) >= abs(o) THEN 1.0 ELSE 0.0 END), 6) AS p FROM m, o""",
 )
 def sign_flip_perm(spark, sf_dir):
     rows = ST.numbered(_differences(spark, sf_dir), ["user_id"])
     observed = rows.agg(F.avg("d").alias("o"))
-    means = ST.sign_flip_means(rows, "d", 200).crossJoin(F.broadcast(observed))
+    means = ST.sign_flip_means(rows, "d", 10_000).crossJoin(F.broadcast(observed))
     return means.agg(F.round(F.first("o"), 6).alias("observed"), F.round(F.avg((F.abs("mean") >= F.abs("o")).cast("double")), 6).alias("p"))
 
 
@@ -178,9 +178,8 @@ def balanced_sample(spark, sf_dir):
     """As many rows of each class as the smallest has, without replacement, by a seeded order."""
     rows = table(spark, sf_dir, "events").select("event_type", "event_id")
     a, c, m = ST.LCG
-    w = Window.partitionBy("event_type").orderBy((a * (F.col("event_id") % m) + c) % m, "event_id")
-    least = rows.groupBy("event_type").count().agg(F.min("count").alias("m"))
-    kept = rows.withColumn("k", F.row_number().over(w)).crossJoin(F.broadcast(least)).where("k <= m")
+    rows = rows.withColumn("at", (a * (F.col("event_id") % m) + c) % m)
+    kept = ST.least_of_each(rows, "event_type", ["at", "event_id"], m)
     return kept.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
 
 
@@ -284,7 +283,7 @@ def narrate_rules(spark, sf_dir):
 @query(
     "bootstrap_corr_ci",
     f"""WITH p0 AS (SELECT user_id, round(avg(CASE WHEN event_type = 'click' THEN value END), 4) AS a, round(avg(CASE WHEN event_type = 'view' THEN value END), 4) AS c FROM events GROUP BY 1), v AS (SELECT a, c, row_number() OVER (ORDER BY user_id) - 1 AS i, count(*) OVER () AS n FROM p0 WHERE a IS NOT NULL AND c IS NOT NULL),
-b AS (SELECT unnest(range(0, 100)) AS b), p AS (SELECT b, CAST(floor(CAST({DRAW} AS DOUBLE) * n / 2147483648) AS BIGINT) AS pick FROM v, b), m AS (SELECT p.b, corr(v.a, v.c) AS r FROM p JOIN v ON v.i = p.pick GROUP BY 1)
+b AS (SELECT unnest(range(0, 2000)) AS b), p AS (SELECT b, CAST(floor(CAST({DRAW} AS DOUBLE) * n / 2147483648) AS BIGINT) AS pick FROM v, b), m AS (SELECT p.b, corr(v.a, v.c) AS r FROM p JOIN v ON v.i = p.pick GROUP BY 1)
 SELECT round(quantile_cont(r, 0.025), 5) AS r_lo, round(quantile_cont(r, 0.975), 5) AS r_hi, round(quantile_cont(r * r, 0.025), 5) AS r2_lo, round(quantile_cont(r * r, 0.975), 5) AS r2_hi, quantile_cont(r, 0.025) <= 0 AND quantile_cont(r, 0.975) >= 0 AS holds_zero FROM m""",
 )
 def bootstrap_corr_ci(spark, sf_dir):
@@ -292,9 +291,7 @@ def bootstrap_corr_ci(spark, sf_dir):
     mean = lambda kind: F.round(F.avg(F.when(F.col("event_type") == kind, F.col("value"))), 4)
     pairs = table(spark, sf_dir, "events").groupBy("user_id").agg(mean("click").alias("a"), mean("view").alias("c")).where("a is not null and c is not null")
     rows = ST.numbered(pairs, ["user_id"])
-    picks = rows.select("i", "n").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(99).cast("long"))))
-    picks = picks.select("b", F.floor(ST.draw(F.col("b"), F.col("i")) * F.col("n") / ST.LCG[2]).alias("pick"))
-    r = picks.join(rows.select(F.col("i").alias("pick"), "a", "c"), "pick").groupBy("b").agg(F.corr("a", "c").alias("r"))
+    r = ST.bootstrap(rows, ["a", "c"], 2000, F.corr("a", "c")).withColumnRenamed("statistic", "r")
     q = lambda c, p: F.percentile(c, F.lit(p))
     r2 = F.col("r") * F.col("r")
     out = r.agg(q("r", 0.025).alias("lo"), q("r", 0.975).alias("hi"), F.round(q(r2, 0.025), 5).alias("r2_lo"), F.round(q(r2, 0.975), 5).alias("r2_hi"))

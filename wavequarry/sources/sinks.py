@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -33,13 +33,47 @@ def stream_csv(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return stream.writeStream.format("csv").option("header", True).option("path", path).option("checkpointLocation", checkpoint).outputMode("append").start()
 
 
-def publish(stream: DataFrame, send: Callable[[list[str]], None], checkpoint: str, most: int = 1000) -> StreamingQuery:
-    """Hand each batch of at most ``most`` JSON lines to ``send``: for feeds of a few rows a second, like live metrics."""
+def publish(stream: DataFrame, send: Callable[[list[str]], None], checkpoint: str, at_once: int = 1000) -> StreamingQuery:
+    """Hand the JSON lines of each batch to ``send``, at most ``at_once`` to a call; a partition at a time comes to the driver."""
 
     def batch(rows: DataFrame, _: int) -> None:
-        found = json_lines(rows).limit(most + 1).collect()
-        if len(found) > most:
-            raise ValueError(f"a batch holds over {most} rows; write it to a table instead")
-        send([r.value for r in found])
+        held: list[str] = []
+        for r in json_lines(rows).toLocalIterator():
+            held.append(r.value)
+            if len(held) == at_once:
+                send(held)
+                held = []
+        if held:
+            send(held)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def write_baselines(df: DataFrame, path: str, state: str) -> None:
+    """Store rows (state, matrix, n), one per state, over what was there."""
+    if dict(df.dtypes).get("matrix") != "array<double>":
+        raise ValueError("a baseline is an array of doubles, row by row, named matrix")
+    df.select(state, "matrix", "n").write.mode("overwrite").parquet(path)
+
+
+def read_baselines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+class Ledger:
+    """Rows with a key that are inserted and updated, in one folder per version; readers see the last complete one."""
+
+    def __init__(self, spark: SparkSession, path: str, key: list[str]):
+        self.spark, self.path, self.key = spark, path, key
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/*/_SUCCESS")
+        found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(folder)
+        self.version = max((int(str(f.getPath()).split("/")[-2]) for f in found or []), default=-1)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{self.version:06d}")
+
+    def upsert(self, rows: DataFrame) -> None:
+        """Put ``rows`` (one per key) in the place of those with their keys; the version before stays readable."""
+        merged = rows if self.version < 0 else self.read().join(rows.select(self.key), self.key, "left_anti").unionByName(rows)
+        merged.write.mode("overwrite").parquet(f"{self.path}/{self.version + 1:06d}")
+        self.version += 1
