@@ -7,7 +7,7 @@ current mean and sums; the driver holds one matrix per group.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -42,6 +42,70 @@ def arithmetic_means(df: DataFrame, key: str, cov: str) -> dict:
     return {r[key]: np.array([r[f"c{k}"] for k in range(N * N)]).reshape(N, N) for r in sums}
 
 
+def references_without(df: DataFrame, key: str, cov: str) -> dict:
+    """Key -> mean matrix of all other keys' rows; one row per key comes to the driver."""
+    sums = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.get(cov, F.lit(k))).alias(f"c{k}") for k in range(N * N)]).collect()
+    parts = {r[key]: (r["n"], np.array([r[f"c{k}"] for k in range(N * N)]).reshape(N, N)) for r in sums}
+    n, whole = sum(p[0] for p in parts.values()), sum((p[1] for p in parts.values()), np.zeros((N, N)))
+    return {k: (whole - own) / (n - m) for k, (m, own) in parts.items() if n > m}
+
+
+def tangents(values: np.ndarray, reference: np.ndarray) -> np.ndarray:
+    """Tangent vectors at the reference of matrices given as rows of 16."""
+    return L.tangent(values.reshape(-1, N, N), reference)
+
+
+SIDES = ([0, 2], [1, 3])
+
+
+def fused_tangents(values: np.ndarray, reference: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Tangent vectors of the whole matrices and of the left and the right block, each times its weight: 10 + 3 + 3 numbers."""
+    m = values.reshape(-1, N, N)
+    parts = [L.tangent(m, reference)] + [L.tangent(m[:, s][:, :, s], reference[np.ix_(s, s)]) for s in SIDES]
+    return np.hstack([w * p for w, p in zip(weights, parts)])
+
+
+def scale_distances(values: np.ndarray, reference: np.ndarray) -> np.ndarray:
+    """Distances to the reference of the whole matrices and of their left and right blocks."""
+    m = values.reshape(-1, N, N)
+    return np.column_stack([L.distance(reference, m)] + [L.distance(reference[np.ix_(s, s)], m[:, s][:, :, s]) for s in SIDES])
+
+
+def by_key(f: Callable, cov: Column, key: Column, given: dict, kind: str = "array<double>") -> Column:
+    """``f(matrices as rows, given[key])`` of each row, null for keys that ``given`` does not have."""
+
+    @F.pandas_udf(kind)
+    def run(c: pd.Series, k: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(c), index=c.index, dtype=object)
+        for name in k.unique():
+            if name in given:
+                own = np.flatnonzero(k == name)
+                for at, v in zip(own, f(np.stack(c.iloc[own].to_numpy()), given[name])):
+                    out.iat[at] = v
+        return out
+
+    return run(cov, key)
+
+
+def whitening(vectors: DataFrame, key: str, v: str, size: int, ridge: float = 1e-4) -> dict:
+    """Key -> inverse root of the sample covariance of its vectors plus ``ridge``; the identity for keys with one row."""
+    found = {}
+    kind, n = dict(vectors.dtypes)[key], size + 1
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k, rows in batch.groupby(key):
+                x = np.column_stack([np.ones(len(rows)), np.stack(rows[v].to_numpy())])
+                yield pd.DataFrame({key: [k], "s": [(x.T @ x).ravel().tolist()]})
+
+    parts = vectors.select(key, v).mapInPandas(sums, f"{key} {kind}, s array<double>")
+    for r in parts.groupBy(key).agg(F.array(*[F.sum(F.get("s", F.lit(i))) for i in range(n * n)]).alias("s")).collect():
+        g = np.array(r["s"]).reshape(n, n)
+        count, mean = g[0, 0], g[0, 1:] / g[0, 0]
+        found[r[key]] = np.eye(size) if count < 2 else L.inverse_root((g[1:, 1:] - count * np.outer(mean, mean)) / (count - 1) + ridge * np.eye(size))
+    return found
+
+
 def geometric_means(df: DataFrame, key: str, cov: str, most_rounds: int = 50, tolerance: float = 1e-8) -> dict:
     """Key -> (geometric mean, rounds, converged).
 

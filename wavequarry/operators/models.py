@@ -7,12 +7,13 @@ column, so no fold is a loop over data.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LinearSVC, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,19 +53,89 @@ def leave_out_ridge(df: DataFrame, features: str, target: str, group: str, size:
 
     @F.pandas_udf("double")
     def predicted(x: pd.Series, g: pd.Series) -> pd.Series:
-        return pd.Series([float(models[k][0] + np.dot(models[k][1:], v)) if k in models else None for v, k in zip(x, g)], dtype=float)
+        out = pd.Series(np.nan, index=x.index)
+        for k in g.unique():
+            if k in models:
+                own = g == k
+                out[own] = models[k][0] + np.stack(x[own].to_numpy()) @ models[k][1:]
+        return out
 
     return df.withColumn("predicted", predicted(F.col(features), F.col(group)))
 
 
+def leave_out_ridge_at(df: DataFrame, raw: str, at: Callable, references: dict, target: str, group: str, size: int, alpha: float = 1.0) -> DataFrame:
+    """Add ``predicted`` of the ridge model fitted without the row's own group, on features ``at(raw values, references[group])``.
+
+    The reference of a fold comes from the other groups, so nothing of the
+    held-out one enters its model. A pass makes the sums of all folds.
+    """
+    grams = {g: parts[0] for g, parts in fold_grams(df.withColumn("_part", F.lit(0)), raw, at, references, target, group, size).items() if 0 in parts}
+    fitted = {g: solve_ridge(gram, alpha) for g, gram in grams.items()}
+
+    @F.pandas_udf("double")
+    def predicted(x: pd.Series, g: pd.Series) -> pd.Series:
+        out = pd.Series(np.nan, index=x.index)
+        for k in g.unique():
+            if k in fitted:
+                own = g == k
+                out[own] = fitted[k][0] + at(np.stack(x[own].to_numpy()), references[k]) @ fitted[k][1:]
+        return out
+
+    return df.withColumn("predicted", predicted(F.col(raw), F.col(group)))
+
+
+def fold_grams(df: DataFrame, raw: str, at: Callable, references: dict, target: str, group: str, size: int) -> dict:
+    """Fold -> part -> sums of outer products of (1, features, target), the features at the fold's reference.
+
+    A row's part is its column ``_part``, and -1 where its own group is the fold.
+    """
+    kind, n = dict(df.dtypes)[group], size + 2
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            values, y, g = np.stack(batch[raw].to_numpy()), batch[target].to_numpy(float), batch[group].to_numpy()
+            for fold, reference in references.items():
+                x = np.column_stack([np.ones(len(batch)), at(values, reference), y])
+                part = np.where(g == fold, -1, batch["_part"].to_numpy())
+                for k in np.unique(part):
+                    own = x[part == k]
+                    yield pd.DataFrame({"fold": [fold], "part": [int(k)], "s": [(own.T @ own).ravel().tolist()]})
+
+    parts = df.select(raw, target, group, "_part").mapInPandas(sums, f"fold {kind}, part int, s array<double>")
+    found: dict = {}
+    for r in parts.groupBy("fold", "part").agg(F.array(*[F.sum(F.get("s", F.lit(i))) for i in range(n * n)]).alias("s")).collect():
+        found.setdefault(r["fold"], {})[r["part"]] = np.array(r["s"]).reshape(n, n)
+    return found
+
+
+def squared_error(gram: np.ndarray, weights: np.ndarray) -> float:
+    """Sum of squared errors of a model on the rows of ``gram``, from the sums alone."""
+    w = np.append(weights, -1.0)
+    return float(w @ gram @ w)
+
+
+def nested_search(grams: dict, alphas: list[float]) -> list[tuple]:
+    """(fold, best alpha, its mean squared error over the inner parts, that of the refitted model on the fold) from ``fold_grams``."""
+    found = []
+    for fold, parts in sorted(grams.items()):
+        inner = {k: g for k, g in parts.items() if k >= 0}
+        whole = sum(inner.values())
+        if len(inner) < 2 or -1 not in parts:
+            continue
+        errors = [sum(squared_error(g, solve_ridge(whole - g, alpha)) for g in inner.values()) / whole[0, 0] for alpha in alphas]
+        best = int(np.argmin(errors))
+        outer = squared_error(parts[-1], solve_ridge(whole, alphas[best])) / parts[-1][0, 0]
+        found.append((fold, float(alphas[best]), errors[best], outer))
+    return found
+
+
 def left_out_errors(grams: dict, alphas: list[float]) -> list[tuple[float, float]]:
     """(alpha, mean squared error on the left-out groups), from the groups' sums alone."""
     whole, found = sum(grams.values()), []
     for alpha in alphas:
-        error = 0.0
-        for own in grams.values():
-            w = np.append(solve_ridge(whole - own, alpha), -1.0)  # predicted minus true, as a product with (1, x, y)
-            error += float(w @ own @ w)
+        error = sum(squared_error(own, solve_ridge(whole - own, alpha)) for own in grams.values())
         found.append((alpha, error / whole[0, 0]))
     return found
 
@@ -101,14 +172,14 @@ def fourier_features(features: Column, size: int, n: int = 64, gamma: float = 0.
     return waves(features)
 
 
-def leave_out_classifier(df: DataFrame, features: str, target: str, group: str, classifier) -> DataFrame:
-    """``df`` with ``predicted`` of a pyspark.ml classifier fitted without the row's group, one fit per group."""
-    rows = df.withColumn("_x", array_to_vector(F.col(features))).withColumn("_y", F.col(target).cast("double"))
-    rows = rows.repartition(group).cache()
+def leave_out_classifier(df: DataFrame, features: Callable[[object], Column], target: str, group: str, model) -> DataFrame:
+    """``df`` with ``predicted`` of a pyspark.ml model fitted without the row's group, one fit per group, on ``features(group)`` of each row."""
+    rows = df.withColumn("_y", F.col(target).cast("double"))
     done = []
     for g in sorted(r[group] for r in rows.select(group).distinct().collect()):
-        model = classifier.fit(rows.where(F.col(group) != g))
-        done.append(model.transform(rows.where(F.col(group) == g)).select(*df.columns, F.col("prediction").alias("predicted")))
+        at = rows.withColumn("_x", array_to_vector(features(g)))
+        fitted = model.fit(at.where(F.col(group) != g))
+        done.append(fitted.transform(at.where(F.col(group) == g)).select(*df.columns, F.col("prediction").alias("predicted")))
     out = done[0]
     for part in done[1:]:
         out = out.union(part)
@@ -119,6 +190,10 @@ def random_forest(trees: int = 20, depth: int = 5, seed: int = 42) -> RandomFore
     return RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=depth, seed=seed)
 
 
+def forest_regressor(trees: int = 20, depth: int = 5, seed: int = 42) -> RandomForestRegressor:
+    return RandomForestRegressor(featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=depth, seed=seed)
+
+
 def linear_svc(rounds: int = 20, regularisation: float = 0.01) -> LinearSVC:
     return LinearSVC(featuresCol="_x", labelCol="_y", maxIter=rounds, regParam=regularisation)
 

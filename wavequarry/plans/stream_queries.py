@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import dsp
 from ..streaming import live
 from .registry import query
+from .model_queries import BAND
 from .window_queries import S
 
 
@@ -37,7 +38,7 @@ def stream_majority(spark, sf_dir):
     return live.drain(live.majority(live.event_stream(spark, sf_dir)))
 
 
-@query("stream_filter")
+@query("stream_filter", f"WITH RECURSIVE {S}, {BAND} SELECT user_id, event_id, round(y, 4) AS filtered FROM r")
 def stream_filter(spark, sf_dir):
     b, a = dsp.butterworth(1.0, 20.0, 64.0)
     return live.drain(live.filtered(live.event_stream(spark, sf_dir), b, a)).withColumn("filtered", F.round("filtered", 4))
@@ -74,7 +75,12 @@ def stream_ew_mean(spark, sf_dir):
     return rows.groupBy("user_id").agg(F.max("n").alias("n"), F.round(F.max_by("ew", "n"), 4).alias("ew"))
 
 
-@query("stream_rebaseline")
+@query(
+    "stream_rebaseline",
+    f"""WITH RECURSIVE {S}, w AS (SELECT user_id, idx // 10 AS block, avg(value) AS m FROM s GROUP BY 1, 2 HAVING count(*) = 10),
+r(user_id, block, m, base, rebased) AS (SELECT user_id, block, m, m, true FROM w WHERE block = 0 UNION ALL SELECT w.user_id, w.block, w.m, CASE WHEN abs(w.m - r.base) > 0.5 * abs(r.base) THEN w.m ELSE r.base END, abs(w.m - r.base) > 0.5 * abs(r.base) FROM r JOIN w ON w.user_id = r.user_id AND w.block = r.block + 1)
+SELECT user_id, block, round(m, 5) AS mean, rebased FROM r""",
+)
 def stream_rebaseline(spark, sf_dir):
     return live.drain(live.rebaselined(live.event_stream(spark, sf_dir))).withColumn("mean", F.round("mean", 5))
 
@@ -93,3 +99,15 @@ def stream_static_baseline(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     baselines = events.where("event_type = 'view'").groupBy("user_id").agg(F.floor(F.avg("value")).alias("baseline"))
     return live.drain(live.against_baseline(live.event_stream(spark, sf_dir), baselines)).withColumn("away", F.round("away", 2))
+
+
+@query(
+    "stream_quality_gate",
+    f"""WITH {S}, r AS (SELECT user_id, idx + 1 AS rn, avg(value) OVER w AS mean, max(value) OVER w - min(value) OVER w AS spread FROM s
+WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 7 PRECEDING AND CURRENT ROW))
+SELECT user_id, rn, round(mean, 6) AS mean FROM r WHERE rn >= 8 AND rn % 4 = 0 AND spread <= 150""",
+)
+def stream_quality_gate(spark, sf_dir):
+    """Windows of a live recording whose spread shows no artifact; the others are dropped before they are scored."""
+    rows = live.drain(live.emitted(live.event_stream(spark, sf_dir)).where("spread <= 150"))
+    return rows.select("user_id", "rn", F.round("mean", 6).alias("mean"))

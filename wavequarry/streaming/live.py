@@ -24,8 +24,14 @@ from ..session import shared_dir
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def event_stream(spark: SparkSession, folder: str, files: str = "events.parquet", per_batch: int = 1000) -> DataFrame:
-    """Events of the folder's files as a stream, time as TIMESTAMP so that it can carry a watermark."""
+def event_stream(spark: SparkSession, folder: str, files: str = "events*.parquet", per_batch: int = 1) -> DataFrame:
+    """Events of the folder's files as a stream, oldest file first and ``per_batch`` to a batch, time as TIMESTAMP so that it can carry a watermark.
+
+    A batch's rows of a recording are held while they are put in order, so the
+    size of a file bounds the memory. Files must follow one another in time:
+    an operator with state goes on from the last batch and does not turn back
+    for a row that comes a file late.
+    """
     rows = spark.readStream.schema(EVENTS).option("pathGlobFilter", files).option("maxFilesPerTrigger", per_batch).parquet(folder)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
@@ -33,18 +39,21 @@ def event_stream(spark: SparkSession, folder: str, files: str = "events.parquet"
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Write all that the stream gives now as Parquet in the shared folder, exactly once, and read it.
 
-    In complete mode the last result stays; else every batch's rows do.
+    In complete mode the last result stays; else every batch's rows do. In
+    update mode a batch has a folder of its own, so one that is repeated after
+    a failure replaces its rows.
     """
     spark = stream.sparkSession
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     if mode == "append":
         writer = stream.writeStream.format("parquet").option("path", f"{base}/rows")
+    elif mode == "complete":
+        writer = stream.writeStream.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{base}/rows"))
     else:
-        keep = "overwrite" if mode == "complete" else "append"
-        writer = stream.writeStream.foreachBatch(lambda rows, _: rows.write.mode(keep).parquet(f"{base}/rows"))
+        writer = stream.writeStream.foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{base}/rows/batch={n}"))
     query = writer.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/rows")
+    return spark.read.schema(stream.schema).parquet(f"{base}/rows").select(stream.columns)
 
 
 def tumbling(stream: DataFrame, width: str, late: str) -> DataFrame:
