@@ -161,3 +161,23 @@ def test_windows_end_before_the_last_sample(spark):
     df = spark.range(16).select(F.lit(1).alias("k"), "id")
     assert windowing.sliding_windows(df, ["k"], "id", 8, 4).select("win").distinct().count() == 2  # starts 0 and 4; 8 would end at the last sample
     assert filters.causal(df.withColumn("v", F.lit(0.0)), ["k"], ["id"], "v", np.array([1.0]), np.array([1.0, 0.0])).count() == 16
+
+
+def test_running_moments_carry_over_batches(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 2))
+    rows = [(key, i, float(a), float(b)) for key in (None, 1) for i, (a, b) in enumerate(x)]
+    df = spark.createDataFrame(rows, "key long, i long, a double, b double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
+    try:
+        found = filters.running_moments(df, ["key"], ["i"], ["a", "b"]).where("i = 499").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    mean, cov = x[0], 0.1 * np.eye(2)
+    for row in x[1:]:
+        cov = 0.9 * cov + 0.1 * np.outer(row - mean, row - mean) + 1e-6 * np.eye(2)
+        mean = 0.9 * mean + 0.1 * row
+    assert sorted(r["key"] is None for r in found) == [False, True]
+    for r in found:
+        np.testing.assert_allclose(r["mean"], mean)
+        np.testing.assert_allclose(r["cov"], cov.ravel())

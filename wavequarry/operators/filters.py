@@ -67,3 +67,29 @@ def leaky_neuron(df: DataFrame, keys: list[str], order: list[str], drive: str, l
         return (potential, before, after, weight), pd.concat([rows[[*keys, *order]], out], axis=1)
 
     return ordered_fold(df, keys, order, lambda: (0.0, 0.0, 0.0, 0.5), step, schema)
+
+
+def running_moments(df: DataFrame, keys: list[str], order: list[str], values: list[str], alpha: float = 0.1, ridge: float = 1e-6, start: float = 0.1) -> DataFrame:
+    """keys, order, mean, cov (row by row): exponential mean and covariance of ``values`` after each sample.
+
+    The mean starts at the first sample, the covariance at ``start`` times the
+    identity; a sample adds the product of its distance from the mean before it, and
+    ``ridge`` keeps the matrix positive definite.
+    """
+    kinds = dict(df.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in (*keys, *order)) + ", mean array<double>, cov array<double>"
+
+    def step(state, rows: pd.DataFrame):
+        means, covs = [], []
+        for x in rows[values].to_numpy(float):
+            if state is None:
+                state = x, start * np.eye(len(values))
+            else:
+                mean, cov = state
+                off = x - mean
+                state = mean + alpha * off, (1 - alpha) * cov + alpha * np.outer(off, off) + ridge * np.eye(len(values))
+            means.append(state[0])
+            covs.append(state[1].ravel())
+        return state, rows[[*keys, *order]].assign(mean=means, cov=covs)
+
+    return ordered_fold(df, keys, order, lambda: None, step, schema)

@@ -46,6 +46,18 @@ def parse_fold_lines(df: DataFrame, line: str) -> DataFrame:
     return rows.select(part(1, "long").alias("block"), part(2, "long").alias("subject"), part(3, "double").alias("raw"), part(4, "double").alias("tangent"))
 
 
+#: The form of a line with a subject's four scores in percent, and their names.
+SCORE_LINE = r"S(\d+)\s+fold\s*\|\s*RF Raw:\s*([\d.]+)%\s*\|\s*TSA:\s*([\d.]+)%\s*\|\|\s*SVM Raw:\s*([\d.]+)%\s*\|\s*Gated SVM:\s*([\d.]+)%"
+SCORES = ["rf_raw", "tangent", "svm_raw", "svm_gated"]
+
+
+def parse_score_lines(df: DataFrame, line: str) -> DataFrame:
+    """subject and four scores of each line that has them; other lines are dropped."""
+    part = lambda k: F.regexp_extract(line, SCORE_LINE, k)
+    scores = [part(k + 2).cast("double").alias(name) for k, name in enumerate(SCORES)]
+    return df.where(F.col(line).rlike(SCORE_LINE)).select(part(1).cast("long").alias("subject"), *scores)
+
+
 def narrate(state: Column, before: Column, first: Column, share: Column) -> Column:
     """One sentence for a recording's last state, the one before, the first, and the share of engaged samples."""
     return (

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spd
 from ..operators import aggregates as A
+from ..operators import filters
 from ..operators import packets as P
 from ..operators import stats as ST
 from ..operators import windowing as W
@@ -209,3 +210,45 @@ def ledger_upsert(spark, sf_dir):
     ledger.upsert(sums(events.where(early)))
     ledger.upsert(sums(events.where(~early & (F.col("user_id") % 3 != 0))))
     return ledger.read()
+
+
+@query(
+    "score_log_parse",
+    """WITH g AS (SELECT l_suppkey AS subject, CAST(count(*) % 100 AS BIGINT) AS a, CAST(sum(l_linenumber) % 100 AS BIGINT) AS b, CAST(max(l_linenumber) AS BIGINT) AS c, CAST(count(DISTINCT l_returnflag) AS BIGINT) AS d FROM lineitem GROUP BY 1)
+SELECT CAST(subject AS BIGINT) AS subject, a + 0.5::DOUBLE AS rf_raw, b::DOUBLE AS tangent, c + 0.25::DOUBLE AS svm_raw, d::DOUBLE AS svm_gated FROM g""",
+)
+def score_log_parse(spark, sf_dir):
+    """Log lines with a subject's four scores, between other lines, read back by pattern."""
+    groups = table(spark, sf_dir, "lineitem").groupBy("l_suppkey")
+    g = groups.agg((F.count(F.lit(1)) % 100).alias("a"), (F.sum("l_linenumber") % 100).alias("b"), F.max("l_linenumber").cast("long").alias("c"), F.count_distinct("l_returnflag").alias("d"))
+    line = F.format_string("S%02d fold | RF Raw: %d.5%% | TSA: %d.0%% || SVM Raw: %d.25%% | Gated SVM: %d.0%%", "l_suppkey", "a", "b", "c", "d")
+    lines = g.select(F.explode(F.array(F.lit("Fold   1 |"), line, F.lit("S1 fold | RF Raw: n/a"))).alias("line"))
+    return P.parse_score_lines(lines, "line")
+
+
+@query(
+    "linspace_times",
+    f"WITH {S}, n AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) SELECT s.user_id, idx, round(1000 + idx * (n / 250.0::DOUBLE) / greatest(n - 1, 1), 6) AS stamp FROM s JOIN n USING (user_id)",
+)
+def linspace_times(spark, sf_dir):
+    """Evenly spaced times of a recording's n samples, from 1000 to 1000 + n / 250 seconds, both included."""
+    rows = samples(spark, sf_dir).select("user_id", "idx")
+    sizes = rows.groupBy("user_id").agg((F.max("idx") + 1).alias("n"))
+    stamp = 1000 + F.col("idx") * (F.col("n") / 250) / F.greatest(F.col("n") - 1, F.lit(1))
+    return rows.join(sizes, "user_id").select("user_id", "idx", F.round(stamp, 6).alias("stamp"))
+
+
+@query(
+    "ew_covariance",
+    f"""WITH RECURSIVE {S}, z AS (SELECT user_id, idx, value AS x, coalesce(lag(value) OVER (PARTITION BY user_id ORDER BY idx), 0) AS y FROM s),
+r(user_id, idx, mx, my, vx, vxy, vy) AS (SELECT user_id, idx, x, y, 0.1::DOUBLE, 0.0::DOUBLE, 0.1::DOUBLE FROM z WHERE idx = 0
+UNION ALL SELECT z.user_id, z.idx, mx + 0.1 * (x - mx), my + 0.1 * (y - my), 0.9 * vx + 0.1 * (x - mx) * (x - mx) + 1e-6, 0.9 * vxy + 0.1 * (x - mx) * (y - my), 0.9 * vy + 0.1 * (y - my) * (y - my) + 1e-6 FROM r JOIN z ON z.user_id = r.user_id AND z.idx = r.idx + 1)
+SELECT user_id, idx, round(mx, 4) AS mean, round(vx, 4) AS var_now, round(vxy, 4) AS cov_lag, round(vy, 4) AS var_before FROM r""",
+)
+def ew_covariance(spark, sf_dir):
+    """Exponential mean and covariance of each sample and the one before it."""
+    before = F.coalesce(F.lag("value").over(Window.partitionBy("user_id").orderBy("idx")), F.lit(0.0))
+    rows = samples(spark, sf_dir).select("user_id", "idx", "value", before.alias("before"))
+    found = filters.running_moments(rows, ["user_id"], ["idx"], ["value", "before"])
+    at = lambda c, k, name: F.round(F.get(c, F.lit(k)), 4).alias(name)
+    return found.select("user_id", "idx", at("mean", 0, "mean"), at("cov", 0, "var_now"), at("cov", 1, "cov_lag"), at("cov", 3, "var_before"))
