@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, licenses, mixing, packing, quality, simhash, tokencounts, toxicity, urlfilter
+from . import exact_dedup, langid, licenses, merkle, mixing, packing, quality, simhash, tokencounts, toxicity, urlfilter
 from .common import shared_dir
 
 
@@ -90,6 +90,56 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source", "first_shard", "last_shard")
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of each document, and the root that a tampered half of them leads to.
+
+    A row without doc_id is not tampered with.
+    """
+    docs = _table(spark, sf_dir, "documents")
+    digest = lambda text: merkle.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+    touched = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0) & F.contains("text", F.lit("\n"))
+    tampered = F.when(touched, digest(F.replace(F.col("text"), F.lit("\n"), F.lit("")))).otherwise(digest(F.col("text")))
+    rows = merkle.manifest(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", digest(F.col("text")).alias("digest"), tampered.alias("tampered")))
+    rows = merkle.folded(rows, "tampered", "folded")
+    hexed = lambda c: F.lower(F.hex(c))
+    return rows.select(
+        "doc_id", hexed("digest").alias("leaf"), hexed("subroot").alias("subroot"), hexed("root").alias("root"), merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+        hexed("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"),
+    )
+
+
+#: crc32 of each id's decimal text, digit by digit, from a table of the 256 remainders.
+CRC = """remainders(i, v, k) AS (SELECT i, i, 0 FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, k + 1 FROM remainders WHERE k < 8),
+crc(id, s, v) AS (SELECT id, CAST(id AS VARCHAR), 4294967295 FROM ids UNION ALL SELECT id, s[2:], xor(crc.v // 256, t.v) FROM crc JOIN remainders t ON t.k = 8 AND t.i = xor(crc.v % 256, CAST(ascii(s) AS BIGINT)) WHERE s <> ''),
+crc32(id, c) AS (SELECT id, xor(v, 4294967295) FROM crc WHERE s = '')"""
+
+
+def _climb_sql(name: str, leaves: str) -> str:
+    """SQL of all nodes of the trees over ``leaves`` (tree, idx, n, digest), level by level."""
+    return f"""{name}(tree, level, idx, n, digest) AS (SELECT tree, 0, idx, n, digest FROM {leaves}
+UNION ALL SELECT tree, level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY idx)) FROM {name} WHERE n > 1 GROUP BY tree, level, idx // 3, n)"""
+
+
+def _steps_sql(name: str, nodes: str, leaves: str, first: int) -> str:
+    """SQL of what each of ``leaves`` (id, tree, idx) meets on its way up: siblings before and after it, by step."""
+    return f"""{name} AS (SELECT l.id, {first} + l.level AS step, coalesce(string_agg(s.digest, '' ORDER BY s.idx) FILTER (s.idx < l.at), '') AS a, coalesce(string_agg(s.digest, '' ORDER BY s.idx) FILTER (s.idx > l.at), '') AS b
+FROM (SELECT x.id, x.tree, t.level, x.idx // CAST(pow(3, t.level) AS BIGINT) AS at FROM {leaves} x JOIN {nodes} t ON t.tree = x.tree AND t.n > 1 AND t.idx = x.idx // CAST(pow(3, t.level) AS BIGINT)) l
+LEFT JOIN {nodes} s ON s.tree = l.tree AND s.level = l.level AND s.idx // 3 = l.at // 3 AND s.idx <> l.at GROUP BY ALL)"""
+
+
+_FIELDS = ", ".join("CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode(CAST({0} AS VARCHAR))) || ':' || {0} END".format(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))
+OP13_SQL = f"""WITH RECURSIVE ids AS (SELECT DISTINCT doc_id AS id FROM documents), {CRC},
+d AS (SELECT row_number() OVER () AS id, doc_id, coalesce('s' || source, '') AS tree, sha256(concat({_FIELDS})) AS digest, sha256(concat({_FIELDS.replace("ELSE octet_length(encode(CAST(text AS VARCHAR))) || ':' || text", "WHEN crc32.c % 2 = 0 THEN octet_length(encode(replace(text, chr(10), ''))) || ':' || replace(text, chr(10), '') ELSE octet_length(encode(text)) || ':' || text")})) AS tampered FROM documents LEFT JOIN crc32 ON crc32.id = doc_id),
+low AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, digest, id) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM d), {_climb_sql("t", "low")},
+sub AS (SELECT tree AS id, '' AS tree, digest, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n FROM t WHERE n = 1), {_climb_sql("u", "sub")},
+{_steps_sql("p", "t", "low", 0)}, {_steps_sql("q", "u", "sub", 1000)},
+steps AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY step) AS step, a, b FROM (SELECT * FROM p UNION ALL SELECT low.id, q.step, q.a, q.b FROM q JOIN low ON low.tree = q.id)),
+fold(id, step, h) AS (SELECT id, 0, tampered FROM low UNION ALL SELECT id, steps.step, sha256(a || h || b) FROM fold JOIN steps USING (id) WHERE steps.step = fold.step + 1),
+up AS (SELECT id, arg_max(h, step) AS h FROM fold GROUP BY id), proof AS (SELECT id, sha256(string_agg(a || b, '' ORDER BY step)) AS h FROM steps GROUP BY id)
+SELECT low.doc_id, low.digest AS leaf, sub.digest AS subroot, u.digest AS root, coalesce(proof.h, sha256('')) AS proof_sha256, up.h AS folded_root, up.h = u.digest AS verified
+FROM low JOIN sub ON sub.id = low.tree JOIN u ON u.n = 1 JOIN up ON up.id = low.id LEFT JOIN proof ON proof.id = low.id"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -102,8 +152,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_toxicity": op9_toxicity,
         "op10_mixing": op10_mixing,
+        "op13_merkle": op13_merkle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL}
+    return {"op7_exact_dedup": OP7_SQL, "op13_merkle": OP13_SQL}
