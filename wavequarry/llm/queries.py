@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, licenses, merkle, mixing, packing, quality, simhash, tokencounts, toxicity, urlfilter
+from . import exact_dedup, langid, licenses, merkle, mixing, packing, quality, simhash, tokencounts, toxicity, trie, urlfilter
 from .common import shared_dir
 
 
@@ -90,6 +90,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source", "first_shard", "last_shard")
 
 
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of conversations that are begun anew with shared heads."""
+    return trie.prefix_trie(*trie.shared_heads(trie.numbered_turns(_table(spark, sf_dir, "conversations"))))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, roots and proof of each document, and the root that a tampered half of them leads to.
 
@@ -140,6 +145,17 @@ SELECT low.doc_id, low.digest AS leaf, sub.digest AS subroot, u.digest AS root,
 FROM low JOIN sub ON sub.id = low.tree JOIN u ON u.n = 1 JOIN up ON up.id = low.id LEFT JOIN proof ON proof.id = low.id"""
 
 
+OP12_SQL = f"""WITH RECURSIVE ids AS (SELECT DISTINCT conv_id AS id FROM conversations WHERE conv_id IS NOT NULL), {CRC},
+o AS (SELECT conv_id AS c, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(octet_length(encode(role)) || ':' || role || text)[:32]) AS pos FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations) WHERE conv_id IS NOT NULL),
+v AS (SELECT id, c % 6 AS h FROM crc32), r AS (SELECT id AS c, pos, role, text FROM v JOIN o ON o.c = id - id % 100 AND pos <= h UNION ALL SELECT id, 10 + pos, role, text FROM v JOIN o ON o.c = id AND pos > h),
+d AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY pos) AS d, role, text FROM r), p AS (SELECT c, d, length(text) AS chars, string_agg(octet_length(encode(role)) || ':' || role || octet_length(encode(text)) || ':' || text, '') OVER (PARTITION BY c ORDER BY d) AS k FROM d UNION ALL SELECT id, 0, 0, '' FROM v),
+n AS (SELECT d, k, min(c) AS c, count(*) AS n_convs, (count(*) - 1) * any_value(chars) AS own FROM p GROUP BY ALL), last AS (SELECT c, max(d) AS d FROM p GROUP BY c), e AS (SELECT d, k, string_agg(c, ',' ORDER BY c) AS ends FROM p SEMI JOIN last USING (c, d) GROUP BY ALL),
+up AS (SELECT n.d, n.k, m.c AS parent_conv_id, m.k AS pk FROM n JOIN p ON p.c = n.c AND p.d = n.d - 1 JOIN n m ON m.d = p.d AND m.k = p.k), ch AS (SELECT d - 1 AS d, pk AS k, count(*) AS n_children FROM up GROUP BY ALL),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN ch USING (d, k)), s AS (SELECT DISTINCT x.d, x.k, y.d AS yd, y.k AS yk FROM p x JOIN p y ON y.c = x.c AND y.d >= x.d),
+t AS (SELECT s.d, s.k, count(*) FILTER (f.n_children = 0) AS n_leaves, CAST(sum(f.own) AS BIGINT) AS saved_tokens FROM s JOIN f ON f.d = s.yd AND f.k = s.yk GROUP BY ALL)
+SELECT f.c AS conv_id, d AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256 FROM f JOIN t USING (d, k) LEFT JOIN up USING (d, k) LEFT JOIN e USING (d, k)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -152,9 +168,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_toxicity": op9_toxicity,
         "op10_mixing": op10_mixing,
+        "op12_trie": op12_trie,
         "op13_merkle": op13_merkle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL, "op13_merkle": OP13_SQL}
+    return {"op7_exact_dedup": OP7_SQL, "op12_trie": OP12_SQL, "op13_merkle": OP13_SQL}
