@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, licenses, merkle, mixing, packing, quality, simhash, tokencounts, toxicity, trie, urlfilter
+from . import exact_dedup, langid, licenses, merkle, mixing, packing, quality, simhash, substrings, tokencounts, toxicity, trie, urlfilter
 from .common import shared_dir
 
 
@@ -90,6 +90,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source", "first_shard", "last_shard")
 
 
+def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without sequences of 35 words that occur elsewhere."""
+    found = substrings.repeats(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP11_SQL = r"""WITH d AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT id, unnest(range(1, len(w) - 33)) AS i, w FROM d), g AS (SELECT id, i, array_to_string(w[i:i + 34], ' ') AS s FROM p), t AS (SELECT s FROM g GROUP BY s HAVING count(*) > 1),
+c AS (SELECT DISTINCT id, unnest(range(i, i + 35)) AS k FROM g SEMI JOIN t USING (s)), n AS (SELECT id, count(*) AS n_removed FROM c GROUP BY id),
+k AS (SELECT a.id, string_agg(x, ' ' ORDER BY k) AS kept FROM (SELECT id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS k FROM d) a ANTI JOIN c USING (id, k) GROUP BY a.id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN n USING (id) LEFT JOIN k USING (id)"""
+
+
 def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of the trie of conversations that are begun anew with shared heads."""
     return trie.prefix_trie(*trie.shared_heads(trie.numbered_turns(_table(spark, sf_dir, "conversations"))))
@@ -168,10 +181,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_toxicity": op9_toxicity,
         "op10_mixing": op10_mixing,
+        "op11_substrings": op11_substrings,
         "op12_trie": op12_trie,
         "op13_merkle": op13_merkle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL, "op12_trie": OP12_SQL, "op13_merkle": OP13_SQL}
+    return {"op7_exact_dedup": OP7_SQL, "op11_substrings": OP11_SQL, "op12_trie": OP12_SQL, "op13_merkle": OP13_SQL}
