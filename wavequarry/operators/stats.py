@@ -1,8 +1,9 @@
 """Resampling and rank statistics as DataFrame jobs.
 
-Resamples are draws of a linear congruential generator on (draw, position), so
-that any engine can repeat them. Draws times positions rows are made and
-reduced by partial aggregation; no resample passes through one task as a whole.
+Draws are 32 bits of the MD5 of (draw, position), so that any engine can repeat
+them and neither neighbouring draws nor neighbouring positions have to do with
+one another. Draws times positions rows are made and reduced by partial
+aggregation; no resample passes through one task as a whole.
 """
 
 from __future__ import annotations
@@ -14,15 +15,24 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir
 
-#: Multiplier, increment and modulus of the draws.
-LCG = (1103515245, 12345, 2147483648)
+#: Draws are numbers below this.
+BOUND = 1 << 32
+#: Draws that one digest holds.
+LANES = 4
 
 
-def draw(b: Column, i: Column) -> Column:
-    """A number in 0..2^31-1 for draw b at position i: two steps of the generator from b * 7919 + i."""
-    a, c, m = LCG
-    one = (a * ((b * 7919 + i) % m) + c) % m
-    return (a * one + c) % m
+def drawn(rows: DataFrame, draws: int) -> DataFrame:
+    """A row for each row (i and others) and each b below ``draws``, with draw, a number below BOUND."""
+    blocks = rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((draws - 1) // LANES).cast("long"))))
+    digest = F.md5(F.concat_ws("-", "_block", "i").cast("binary"))
+    lanes = F.array(*[F.struct((F.col("_block") * LANES + k).alias("b"), F.substring("_digest", 8 * k + 1, 8).alias("hex")) for k in range(LANES)])
+    found = blocks.withColumn("_digest", digest).select(*rows.columns, F.inline(lanes)).where(F.col("b") < draws)
+    return found.withColumn("draw", F.conv("hex", 16, 10).cast("long")).drop("hex")
+
+
+def scattered(number: Column) -> Column:
+    """A number below BOUND for each long: 32 bits of the MD5 of its decimal text."""
+    return F.conv(F.substring(F.md5(number.cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
 
 
 def running_count(df: DataFrame, order: list[str], count: Column, name: str) -> DataFrame:
@@ -51,8 +61,7 @@ def numbered(df: DataFrame, order: list[str]) -> DataFrame:
 
 def bootstrap(values: DataFrame, columns: list[str], draws: int, statistic: Column) -> DataFrame:
     """b, statistic: any aggregate over ``columns`` of each of ``draws`` resamples with replacement of rows (i, n, columns)."""
-    picks = values.select("i", "n").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
-    picks = picks.select("b", F.floor(draw(F.col("b"), F.col("i")) * F.col("n") / LCG[2]).alias("pick"))
+    picks = drawn(values.select("i", "n"), draws).select("b", F.shiftright(F.col("draw") * F.col("n"), 32).alias("pick"))
     return picks.join(values.select(F.col("i").alias("pick"), *columns), "pick").groupBy("b").agg(statistic.alias("statistic"))
 
 
@@ -63,9 +72,8 @@ def bootstrap_means(values: DataFrame, value: str, draws: int) -> DataFrame:
 
 def sign_flip_means(values: DataFrame, value: str, draws: int) -> DataFrame:
     """b, mean: means with every value's sign drawn anew."""
-    flips = values.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
-    sign = F.when(draw(F.col("b"), F.col("i")) >= LCG[2] // 2, 1.0).otherwise(-1.0)
-    return flips.groupBy("b").agg(F.avg(sign * F.col(value)).alias("mean"))
+    sign = F.when(F.col("draw") >= BOUND // 2, 1.0).otherwise(-1.0)
+    return drawn(values.select("i", value), draws).groupBy("b").agg(F.avg(sign * F.col(value)).alias("mean"))
 
 
 def average_ranks(df: DataFrame, value: str) -> DataFrame:

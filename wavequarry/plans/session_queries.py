@@ -18,7 +18,7 @@ from ..sources import sinks
 from ..sources.tables import CHANNELS, ENGAGED, epoch_samples, samples, table
 from .registry import query
 from .signal_queries import C, D, E, P2, _bins, _sides
-from .stat_queries import DRAW, U, _differences
+from .stat_queries import PICK, U, _differences, scattered_sql
 from .window_queries import S
 
 PAIRS = [(i, j) for i in range(CHANNELS) for j in range(i + 1, CHANNELS)]
@@ -89,11 +89,10 @@ def bankers_rounding(spark, sf_dir):
 LINES = ("A clear run.", "All channels are steady.", "The signal holds.")
 
 
-@query("template_choice", f"SELECT event_id, ['{LINES[0]}', '{LINES[1]}', '{LINES[2]}'][CAST(((1103515245 * (event_id % 2147483648) + 12345) % 2147483648) % 3 AS INT) + 1] AS line FROM events")
+@query("template_choice", f"SELECT event_id, ['{LINES[0]}', '{LINES[1]}', '{LINES[2]}'][CAST({scattered_sql('event_id')} % 3 AS INT) + 1] AS line FROM events")
 def template_choice(spark, sf_dir):
     """One of several sentences, drawn by the row's number so that every run draws the same."""
-    a, c, m = ST.LCG
-    nth = ((a * (F.col("event_id") % m) + c) % m) % len(LINES) + 1
+    nth = ST.scattered(F.col("event_id")) % len(LINES) + 1
     return table(spark, sf_dir, "events").select("event_id", F.element_at(F.array(*map(F.lit, LINES)), nth.cast("int")).alias("line"))
 
 
@@ -173,7 +172,7 @@ def session_evaluation(spark, sf_dir):
 
 @query(
     "bootstrap_median_ci",
-    f"""WITH {U}, b AS (SELECT unnest(range(0, 500)) AS b), p AS (SELECT b, CAST(floor(CAST({DRAW} AS DOUBLE) * n / 2147483648) AS BIGINT) AS pick FROM v, b), m AS (SELECT p.b, median(v.d) AS m FROM p JOIN v ON v.i = p.pick GROUP BY 1)
+    f"""WITH {U}, b AS (SELECT unnest(range(0, 500)) AS b), p AS (SELECT b, {PICK} AS pick FROM v, b), m AS (SELECT p.b, median(v.d) AS m FROM p JOIN v ON v.i = p.pick GROUP BY 1)
 SELECT round(avg(m), 6) AS mean, round(quantile_cont(m, 0.05), 6) AS lo, round(quantile_cont(m, 0.95), 6) AS hi FROM m""",
 )
 def bootstrap_median_ci(spark, sf_dir):
@@ -242,13 +241,13 @@ def linspace_times(spark, sf_dir):
     "ew_covariance",
     f"""WITH RECURSIVE {S}, z AS (SELECT user_id, idx, value AS x, coalesce(lag(value) OVER (PARTITION BY user_id ORDER BY idx), 0) AS y FROM s),
 r(user_id, idx, mx, my, vx, vxy, vy) AS (SELECT user_id, idx, x, y, 0.1::DOUBLE, 0.0::DOUBLE, 0.1::DOUBLE FROM z WHERE idx = 0
-UNION ALL SELECT z.user_id, z.idx, mx + 0.1 * (x - mx), my + 0.1 * (y - my), 0.9 * vx + 0.1 * (x - mx) * (x - mx) + 1e-6, 0.9 * vxy + 0.1 * (x - mx) * (y - my), 0.9 * vy + 0.1 * (y - my) * (y - my) + 1e-6 FROM r JOIN z ON z.user_id = r.user_id AND z.idx = r.idx + 1)
-SELECT user_id, idx, round(mx, 4) AS mean, round(vx, 4) AS var_now, round(vxy, 4) AS cov_lag, round(vy, 4) AS var_before FROM r""",
+UNION ALL SELECT z.user_id, z.idx, mx + 0.1 * (x - mx), my + 0.1 * (y - my), 0.9 * vx + 0.1 * ((x - mx) * (x - mx)) + 1e-6, 0.9 * vxy + 0.1 * ((x - mx) * (y - my)), 0.9 * vy + 0.1 * ((y - my) * (y - my)) + 1e-6 FROM r JOIN z ON z.user_id = r.user_id AND z.idx = r.idx + 1)
+SELECT user_id, idx, mx AS mean, vx AS var_now, vxy AS cov_lag, vy AS var_before FROM r""",
 )
 def ew_covariance(spark, sf_dir):
-    """Exponential mean and covariance of each sample and the one before it."""
+    """Exponential mean and covariance of each sample and the one before it, unrounded: samples of two digits make means that lie on halves."""
     before = F.coalesce(F.lag("value").over(Window.partitionBy("user_id").orderBy("idx")), F.lit(0.0))
     rows = samples(spark, sf_dir).select("user_id", "idx", "value", before.alias("before"))
     found = filters.running_moments(rows, ["user_id"], ["idx"], ["value", "before"])
-    at = lambda c, k, name: F.round(F.get(c, F.lit(k)), 4).alias(name)
+    at = lambda c, k, name: F.get(c, F.lit(k)).alias(name)
     return found.select("user_id", "idx", at("mean", 0, "mean"), at("cov", 0, "var_now"), at("cov", 1, "cov_lag"), at("cov", 3, "var_before"))

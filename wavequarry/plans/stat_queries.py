@@ -14,7 +14,14 @@ from .signal_queries import C, E, _sides
 from .window_queries import S
 
 U = "u AS (SELECT user_id, avg(CASE WHEN event_type IN ('click', 'purchase') THEN value END) - avg(CASE WHEN event_type NOT IN ('click', 'purchase') THEN value END) AS d FROM events GROUP BY 1), v AS (SELECT user_id, round(d, 4) AS d, row_number() OVER (ORDER BY user_id) - 1 AS i, count(*) OVER () AS n FROM u WHERE d IS NOT NULL)"
-DRAW = "((1103515245 * ((1103515245 * ((b * 7919 + i) % 2147483648) + 12345) % 2147483648) + 12345) % 2147483648)"
+#: Draw b at position i, and a row's scattered number.
+DRAW = "CAST('0x' || substr(md5((b // 4) || '-' || i), 1 + 8 * (b % 4), 8) AS BIGINT)"
+PICK = f"(({DRAW} * n) >> 32)"
+
+
+def scattered_sql(number: str) -> str:
+    return f"CAST('0x' || substr(md5(CAST({number} AS VARCHAR)), 1, 8) AS BIGINT)"
+
 
 
 def _differences(spark, sf_dir):
@@ -26,7 +33,7 @@ def _differences(spark, sf_dir):
 
 @query(
     "bootstrap_mean_ci",
-    f"""WITH {U}, b AS (SELECT unnest(range(0, 10000)) AS b), p AS (SELECT b, CAST(floor(CAST({DRAW} AS DOUBLE) * n / 2147483648) AS BIGINT) AS pick FROM v, b), m AS (SELECT p.b, avg(v.d) AS m FROM p JOIN v ON v.i = p.pick GROUP BY 1)
+    f"""WITH {U}, b AS (SELECT unnest(range(0, 10000)) AS b), p AS (SELECT b, {PICK} AS pick FROM v, b), m AS (SELECT p.b, avg(v.d) AS m FROM p JOIN v ON v.i = p.pick GROUP BY 1)
 SELECT round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM m""",
 )
 def bootstrap_mean_ci(spark, sf_dir):
@@ -37,7 +44,7 @@ def bootstrap_mean_ci(spark, sf_dir):
 
 @query(
     "sign_flip_perm",
-    f"""WITH {U}, b AS (SELECT unnest(range(0, 10000)) AS b), m AS (SELECT b, avg(d * CASE WHEN {DRAW} >= 1073741824 THEN 1.0 ELSE -1.0 END) AS m FROM v, b GROUP BY 1), o AS (SELECT avg(d) AS o FROM v)
+    f"""WITH {U}, b AS (SELECT unnest(range(0, 10000)) AS b), m AS (SELECT b, avg(d * CASE WHEN {DRAW} >= 2147483648 THEN 1.0 ELSE -1.0 END) AS m FROM v, b GROUP BY 1), o AS (SELECT avg(d) AS o FROM v)
 SELECT round(any_value(o), 6) AS observed, round(avg(CASE WHEN abs(m) >= abs(o) THEN 1.0 ELSE 0.0 END), 6) AS p FROM m, o""",
 )
 def sign_flip_perm(spark, sf_dir):
@@ -170,16 +177,15 @@ def gated_fallback(spark, sf_dir):
     return g.groupBy("model").agg(F.count(F.lit(1)).alias("n_all"), F.round(F.avg("score"), 6).alias("mean_all"), F.count_if(clean).alias("n_clean"), F.round(F.avg(F.when(clean, F.col("score"))), 6).alias("mean_clean"))
 
 
-SHUFFLE = "(1103515245 * (event_id % 2147483648) + 12345) % 2147483648"
+SHUFFLE = scattered_sql("event_id")
 
 
 @query("balanced_sample", f"WITH r AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY {SHUFFLE}, event_id) AS k FROM events), m AS (SELECT min(n) AS m FROM (SELECT count(*) AS n FROM events GROUP BY event_type)) SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM r, m WHERE k <= m GROUP BY 1")
 def balanced_sample(spark, sf_dir):
     """As many rows of each class as the smallest has, without replacement, by a seeded order."""
     rows = table(spark, sf_dir, "events").select("event_type", "event_id")
-    a, c, m = ST.LCG
-    rows = rows.withColumn("at", (a * (F.col("event_id") % m) + c) % m)
-    kept = ST.least_of_each(rows, "event_type", ["at", "event_id"], m)
+    rows = rows.withColumn("at", ST.scattered(F.col("event_id")))
+    kept = ST.least_of_each(rows, "event_type", ["at", "event_id"], ST.BOUND)
     return kept.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
 
 
@@ -191,10 +197,9 @@ SELECT user_id, count(*) AS n, round(avg(CASE WHEN o.event_type = h.event_type T
 def negative_control(spark, sf_dir):
     """Labels shuffled within recordings agree with the true ones by chance only."""
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
-    a, c, m = ST.LCG
     i = lambda *by: F.row_number().over(Window.partitionBy("user_id").orderBy(*by))
     true = rows.select("user_id", "event_type", i("event_id").alias("i"))
-    mixed = rows.select("user_id", F.col("event_type").alias("shuffled"), i((a * (F.col("event_id") % m) + c) % m, "event_id").alias("i"))
+    mixed = rows.select("user_id", F.col("event_type").alias("shuffled"), i(ST.scattered(F.col("event_id")), "event_id").alias("i"))
     agree = (F.col("event_type") == F.col("shuffled")).cast("double")
     return true.join(mixed, ["user_id", "i"]).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(agree), 6).alias("agreement"))
 
@@ -283,7 +288,7 @@ def narrate_rules(spark, sf_dir):
 @query(
     "bootstrap_corr_ci",
     f"""WITH p0 AS (SELECT user_id, round(avg(CASE WHEN event_type = 'click' THEN value END), 4) AS a, round(avg(CASE WHEN event_type = 'view' THEN value END), 4) AS c FROM events GROUP BY 1), v AS (SELECT a, c, row_number() OVER (ORDER BY user_id) - 1 AS i, count(*) OVER () AS n FROM p0 WHERE a IS NOT NULL AND c IS NOT NULL),
-b AS (SELECT unnest(range(0, 2000)) AS b), p AS (SELECT b, CAST(floor(CAST({DRAW} AS DOUBLE) * n / 2147483648) AS BIGINT) AS pick FROM v, b), m AS (SELECT p.b, corr(v.a, v.c) AS r FROM p JOIN v ON v.i = p.pick GROUP BY 1)
+b AS (SELECT unnest(range(0, 2000)) AS b), p AS (SELECT b, {PICK} AS pick FROM v, b), m AS (SELECT p.b, corr(v.a, v.c) AS r FROM p JOIN v ON v.i = p.pick GROUP BY 1)
 SELECT round(quantile_cont(r, 0.025), 5) AS r_lo, round(quantile_cont(r, 0.975), 5) AS r_hi, round(quantile_cont(r * r, 0.025), 5) AS r2_lo, round(quantile_cont(r * r, 0.975), 5) AS r2_hi, quantile_cont(r, 0.025) <= 0 AND quantile_cont(r, 0.975) >= 0 AS holds_zero FROM m""",
 )
 def bootstrap_corr_ci(spark, sf_dir):
@@ -309,14 +314,13 @@ def linear_decoder(spark, sf_dir):
 
 @query(
     "noise_sweep",
-    f"""WITH {E}, g AS (SELECT unnest([0.0, 0.3, 0.6, 1.0, 1.5]) AS sigma), z AS (SELECT sigma, vec_id, t, ch, x, x + sigma * sqrt(0.015) * (((1103515245 * (vec_id * 64 + t * 4 + ch) + 12345) % 2147483648) / 2147483648.0 - 0.5) * sqrt(12) AS y FROM e, g)
+    f"""WITH {E}, g AS (SELECT unnest([0.0, 0.3, 0.6, 1.0, 1.5]) AS sigma), z AS (SELECT sigma, vec_id, t, ch, x, x + sigma * sqrt(0.015) * ({scattered_sql("vec_id * 64 + t * 4 + ch")} / 4294967296.0::DOUBLE - 0.5) * sqrt(12) AS y FROM e, g)
 SELECT sigma, count(*) AS n, round(corr(x, y), 5) AS r, round(sqrt(avg(pow(y - x, 2))), 6) AS error FROM z GROUP BY 1""",
 )
 def noise_sweep(spark, sf_dir):
     """What rising noise leaves of the signal."""
-    a, c, m = ST.LCG
     rows = epoch_samples(spark, sf_dir).withColumn("sigma", F.explode(F.array(*map(F.lit, (0.0, 0.3, 0.6, 1.0, 1.5)))))
-    u = ((a * (F.col("vec_id") * 64 + F.col("t") * 4 + F.col("ch")) + c) % m) / float(m) - 0.5
+    u = ST.scattered(F.col("vec_id") * 64 + F.col("t") * 4 + F.col("ch")) / float(ST.BOUND) - 0.5
     rows = rows.withColumn("y", F.col("x") + F.col("sigma") * F.sqrt(F.lit(0.015)) * u * F.sqrt(F.lit(12.0)))
     e = F.col("y") - F.col("x")
     return rows.groupBy("sigma").agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("x", "y"), 5).alias("r"), F.round(F.sqrt(F.avg(e * e)), 6).alias("error"))
