@@ -19,6 +19,8 @@ from ..session import shared_dir
 BOUND = 1 << 32
 #: Draws that one digest holds.
 LANES = 4
+#: Rows up to which resampled values are broadcast; beyond, they and the picks are shuffled.
+FEW_VALUES = 1_000_000
 
 
 def drawn(rows: DataFrame, draws: int) -> DataFrame:
@@ -62,7 +64,10 @@ def numbered(df: DataFrame, order: list[str]) -> DataFrame:
 def bootstrap(values: DataFrame, columns: list[str], draws: int, statistic: Column) -> DataFrame:
     """b, statistic: any aggregate over ``columns`` of each of ``draws`` resamples with replacement of rows (i, n, columns)."""
     picks = drawn(values.select("i", "n"), draws).select("b", F.shiftright(F.col("draw") * F.col("n"), 32).alias("pick"))
-    return picks.join(values.select(F.col("i").alias("pick"), *columns), "pick").groupBy("b").agg(statistic.alias("statistic"))
+    picked = values.select(F.col("i").alias("pick"), *columns)
+    # Spark takes the picks for as few as the values, and would broadcast them.
+    picked = F.broadcast(picked) if values.count() <= FEW_VALUES else picked.hint("shuffle_hash")
+    return picks.join(picked, "pick").groupBy("b").agg(statistic.alias("statistic"))
 
 
 def bootstrap_means(values: DataFrame, value: str, draws: int) -> DataFrame:
