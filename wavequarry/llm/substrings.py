@@ -29,11 +29,11 @@ from .common import cut
 
 WIDTH = 35
 #: Bytes of text in a chunk; a longer text is a chunk of its own.
-CHUNK_BYTES = 1 << 22
+CHUNK_BYTES = 1 << 21
 #: Words that a cell of hashes is made for: cells grow from the least to the most before there are over CELLS of them.
 LEAST_WORDS, MOST_WORDS, CELLS = 1 << 21, 1 << 26, 4096
 #: Bytes whose words are hashed at once.
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 18
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Odd multipliers of the hashes of bytes in a word and of words in a window.
