@@ -120,10 +120,18 @@ def test_running_means(spark, sf_dir, epochs, name, rate, adaptive):
             assert np.isclose(got[ids[i]].distance, d, atol=1e-5) and np.isclose(got[ids[i]].logdet, np.linalg.slogdet(m)[1], atol=1e-6)
 
 
-def test_zero_phase_filters(spark, sf_dir):
-    got = plain("filtfilt_bandpass")(spark, sf_dir).toPandas()
+CHAINS = {
+    "filtfilt_bandpass": [dsp.notch(16.0, 64.0), dsp.butterworth(1.0, 20.0, 64.0, order=2)],
+    "cleaning_chain": [dsp.notch(50.0, 250.0), dsp.notch(60.0, 250.0), dsp.butterworth(1.0, 30.0, 250.0)],
+    "wearable_chain": [dsp.butterworth(49.0, 51.0, 110.0, 2, stop=True), dsp.butterworth(1.0, 30.0, 110.0)],
+}
+
+
+@pytest.mark.parametrize("name", CHAINS)
+def test_zero_phase_filters(spark, sf_dir, name):
+    got = plain(name)(spark, sf_dir).toPandas()
     raw = samples(spark, sf_dir).select("user_id", "idx", "value").toPandas()
-    stages = [dsp.notch(16.0, 64.0), dsp.butterworth(1.0, 20.0, 64.0, order=2)]
+    stages = CHAINS[name]
 
     def once(b, a, x, z):
         out = []

@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 
-def butterworth(low: float, high: float, rate: float, order: int = 4, stop: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(b, a) of a digital Butterworth band-pass, or band-stop, of twice ``order`` poles.
+def _roots(low: float, high: float, rate: float, order: int, stop: bool) -> tuple[np.ndarray, np.ndarray, float]:
+    """Zeros, poles and gain of a digital Butterworth band-pass, or band-stop, of twice ``order`` poles.
 
     The analogue low-pass poles are moved to the band, whose edges are warped,
     and mapped to the unit disc by the bilinear transform.
@@ -23,8 +23,22 @@ def butterworth(low: float, high: float, rate: float, order: int = 4, stop: bool
     gain *= np.prod(2 - zeros + 0j).real if stop else np.prod(2 - zeros)
     gain = (gain / np.prod(2 - poles)).real
     to_disc = lambda s: (2 + s) / (2 - s)
-    digital_zeros = np.concatenate([to_disc(zeros), -np.ones(len(poles) - len(zeros))])
-    return (gain * np.poly(digital_zeros)).real, np.poly(to_disc(poles)).real
+    return np.concatenate([to_disc(zeros), -np.ones(len(poles) - len(zeros))]), to_disc(poles), gain
+
+
+def butterworth(low: float, high: float, rate: float, order: int = 4, stop: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(b, a) of a digital Butterworth band-pass, or band-stop, of twice ``order`` poles."""
+    zeros, poles, gain = _roots(low, high, rate, order, stop)
+    return (gain * np.poly(zeros)).real, np.poly(poles).real
+
+
+def butterworth_sections(low: float, high: float, rate: float, order: int = 4, stop: bool = False) -> np.ndarray:
+    """The same filter as ``order`` filters of two poles, one after another: rows b0, b1, b2, a1, a2."""
+    zeros, poles, gain = _roots(low, high, rate, order, stop)
+    real = np.sort(poles[np.abs(poles.imag) < 1e-12].real)
+    pairs = [(p, p.conjugate()) for p in poles[poles.imag >= 1e-12]] + list(zip(real[::2], real[1::2]))
+    top = np.poly([zeros[0], zeros[0].conjugate()] if stop else [1.0, -1.0]).real * gain ** (1 / order)
+    return np.array([[*top, *np.poly(p).real[1:]] for p in pairs])
 
 
 def notch(frequency: float, rate: float, quality: float = 30.0, order: int = 2) -> tuple[np.ndarray, np.ndarray]:
@@ -57,6 +71,81 @@ def run_filter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray |
     return out, state
 
 
+class Recursion:
+    """A recursive filter as an affine map: a stretch of samples takes state z to ``power(len) @ z + after(samples)``.
+
+    So stretches can be filtered at once when their maps are composed first.
+    Within a stretch CHUNK samples at a time go through matrices: the response
+    to the samples and that to the state. The state is that of a cascade of
+    filters of two poles; powers of the matrix of a single long recursion lose
+    too many digits.
+    """
+
+    CHUNK = 64
+
+    def __init__(self, sections: np.ndarray):
+        n = 2 * len(sections)
+        self.edge = 3 * (n + 1)
+        self.matrix, self.input, self.output, self.direct = np.zeros((n, n)), np.zeros(n), np.zeros(n), 1.0
+        for k, (b0, b1, b2, a1, a2) in enumerate(sections):
+            here = slice(2 * k, 2 * k + 2)
+            gain = np.array([b1 - a1 * b0, b2 - a2 * b0])  # what this section's state takes from the output of those before
+            self.matrix[here] = np.outer(gain, self.output)
+            self.matrix[here, here] = [[-a1, 1.0], [-a2, 0.0]]
+            self.input[here] = gain * self.direct
+            self.output = b0 * self.output
+            self.output[2 * k] = 1.0
+            self.direct *= b0
+        self.steady = np.linalg.solve(np.eye(n) - self.matrix, self.input)
+        states = [np.eye(n)]
+        for _ in range(self.CHUNK):
+            states.append(self.matrix @ states[-1])
+        self.powers = np.array(states)
+        self.from_state = self.output @ self.powers[: self.CHUNK]
+        impulse = np.concatenate([[self.direct], self.from_state[:-1] @ self.input])
+        lag = np.subtract.outer(np.arange(self.CHUNK), np.arange(self.CHUNK))
+        self.from_input = np.where(lag >= 0, impulse[np.maximum(lag, 0)], 0.0)
+        self.into_state = (self.powers[: self.CHUNK] @ self.input)[::-1].T
+
+    def power(self, length: int) -> np.ndarray:
+        """What ``length`` samples of nothing make of a state."""
+        return np.linalg.matrix_power(self.matrix, length)
+
+    def run(self, x: np.ndarray, state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Output over samples x and the state after them, from ``state`` or from rest."""
+        state = np.zeros(len(self.matrix)) if state is None else np.asarray(state, float)
+        whole = len(x) // self.CHUNK * self.CHUNK
+        parts = x[:whole].reshape(-1, self.CHUNK)
+        pushed, states = parts @ self.into_state.T, np.empty((len(parts), len(state)))
+        for k, add in enumerate(pushed):
+            states[k] = state
+            state = self.powers[-1] @ state + add
+        out = [(parts @ self.from_input.T + states @ self.from_state.T).ravel()]
+        if rest := len(x) - whole:
+            tail = x[whole:]
+            out.append(self.from_input[:rest, :rest] @ tail + self.from_state[:rest] @ state)
+            state = self.powers[rest] @ state + self.into_state[:, -rest:] @ tail
+        return np.concatenate(out), state
+
+
+def extended(x: np.ndarray, edge: int, left: bool = True, right: bool = True) -> np.ndarray:
+    """x with ``edge`` samples more at its ends, turned about the end samples."""
+    head = 2 * x[0] - x[edge:0:-1] if left else x[:0]
+    tail = 2 * x[-1] - x[-2 : -edge - 2 : -1] if right else x[:0]
+    return np.concatenate([head, x, tail])
+
+
+def line_notches(rate: float, lines: tuple[float, ...] = (50.0, 60.0), quality: float | None = 30.0, half_width: float = 1.0) -> list[np.ndarray]:
+    """Sections of notches at the mains' frequencies that lie below half the rate: of width line / ``quality``, or ``half_width`` to each side if that is None."""
+    half = lambda f: f / quality / 2 if quality else half_width
+    return [butterworth_sections(f - half(f), f + half(f), rate, 2, stop=True) for f in lines if f + half(f) < rate / 2]
+
+
+def cleaning_chain(rate: float, low: float = 1.0, high: float = 30.0, quality: float | None = 30.0) -> list[np.ndarray]:
+    """The notches, then the band: sections of what a recording goes through without phase shift."""
+    return [*line_notches(rate, quality=quality), butterworth_sections(low, high, rate)]
+
+
 def zero_phase(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Filtered forwards and backwards, with odd extensions of three filter lengths and steady initial states.
 
@@ -65,7 +154,7 @@ def zero_phase(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
     edge = min(3 * max(len(a), len(b)), len(x) - 1)
     if edge < 1:
         return x.astype(float)
-    padded = np.concatenate([2 * x[0] - x[edge:0:-1], x, 2 * x[-1] - x[-2 : -edge - 2 : -1]])
+    padded = extended(x, edge)
     start = steady_state(b, a).reshape((-1,) + (1,) * (x.ndim - 1))
     for _ in range(2):
         padded = run_filter(b, a, padded, start * padded[0])[0][::-1]

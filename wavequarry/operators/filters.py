@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import dsp
+from .blocks import SIZE, blocks, null_safe, stored
 from .ordered import ordered_fold
 
 
@@ -23,23 +27,110 @@ def causal(df: DataFrame, keys: list[str], order: list[str], value: str, b: np.n
     return ordered_fold(df, keys, order, lambda: dsp.steady_state(b, a) if steady else None, step, schema)
 
 
-def zero_phase_chain(df: DataFrame, keys: list[str], order: list[str], value: str, stages: list[tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """keys, order, filtered: zero-phase filters one after another.
+def _zero_phase(x: np.ndarray, filters: list[dsp.Recursion]) -> np.ndarray:
+    """All filters over a whole recording."""
+    for f in filters:
+        edge = min(f.edge, len(x) - 1)
+        if edge < 1:
+            return x
+        x = dsp.extended(x, edge)
+        for _ in range(2):
+            x = f.run(x, f.steady * x[0])[0][::-1]
+        x = x[edge : len(x) - edge]
+    return x
+
+
+def _passes(filters: list[dsp.Recursion], k: int):
+    """Pass k over blocks: apply direction k - 1 from the state that its start was found to have, then tell what direction k makes of a state.
 
-    They run backwards too, so a recording is held as a whole; cut very long
-    ones into overlapping stretches first.
+    Even directions go forwards over a filter's input, whose ends are extended
+    first; odd ones go back, and take the extensions off.
     """
-    kinds = dict(df.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in (*keys, *order)) + ", filtered double"
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        x = rows[value].to_numpy(float)
-        for b, a in stages:
-            x = dsp.zero_phase(b, a, x)
-        return rows[[*keys, *order]].assign(filtered=x)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            xs, adds, starts = [], [], []
+            for x, z, first, last in zip(batch["x"], batch["z"], batch["first"], batch["last"]):
+                if k:
+                    f, back = filters[(k - 1) // 2], (k - 1) % 2
+                    x = f.run(x[::-1] if back else x, z)[0]
+                    if back:
+                        x = x[::-1][f.edge if first else 0 : len(x) - f.edge if last else None]
+                if k < 2 * len(filters):
+                    f, back = filters[k // 2], k % 2
+                    if not back:
+                        x = dsp.extended(x, f.edge, first, last)
+                    way = x[::-1] if back else x
+                    adds.append(f.run(way)[1].tolist())
+                    starts.append((f.steady * way[0]).tolist() if (last if back else first) else None)
+                else:
+                    adds.append(None)
+                    starts.append(None)
+                xs.append(np.ascontiguousarray(x))
+            yield batch.assign(x=xs, add=adds, start=starts, n=[len(x) for x in xs])
+
+    return run
+
+
+def _states(blocks: DataFrame, keys: list[str], f: dsp.Recursion, back: bool) -> DataFrame:
+    """keys, block, z: the filter's state where each block starts, by composing the maps of the blocks before it."""
+    kinds = dict(blocks.dtypes)
+    powers: dict[int, np.ndarray] = {}
 
-    return df.select(*keys, *order, value).groupBy(*keys).applyInPandas(run, schema)
+    def step(state, rows: pd.DataFrame):
+        found = []
+        for start, add, n in zip(rows["start"], rows["add"], rows["n"]):
+            state = np.array(start, float) if start is not None else state
+            found.append(state.tolist())
+            if n not in powers:
+                powers[n] = f.power(n)
+            state = powers[n] @ state + np.array(add, float)
+        return state, rows[[*keys, "block"]].assign(z=found)
+
+    rows = blocks.select(*keys, "block", "start", "add", "n", (-F.col("block") if back else F.col("block")).alias("_turn"))
+    return ordered_fold(rows, keys, ["_turn"], lambda: None, step, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", block long, z array<double>")
+
+
+def zero_phase_chain(df: DataFrame, keys: list[str], order: list[str], value: str, stages: list[np.ndarray], size: int = SIZE) -> DataFrame:
+    """keys, order, filtered: zero-phase filters one after another, over recordings of any length.
+
+    Recordings are cut into blocks. A filter is an affine map of its state, so
+    for each direction of each filter the blocks tell at once what they make of
+    a state, the maps are composed block after block, a row each, and all
+    blocks filter at once from the right state. Recordings of one block go
+    through all filters in a single pass. Null keys are one recording; ``order``
+    must name a recording's samples; an empty table gives no rows. ``stages``
+    are the filters' sections.
+    """
+    filters = [dsp.Recursion(sections) for sections in stages]
+    size = max([size, *(2 * f.edge for f in filters)])
+    kinds = dict(df.dtypes)
+    cut = stored(blocks(df, keys, order, value, size), "blocks")
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(x=[np.ascontiguousarray(_zero_phase(x, filters)) for x in batch["x"]])
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in keys) + ", block long, x array<double>"
+    done = cut.where("first and last").select(*keys, "block", "x").mapInPandas(whole, schema)
+    long = cut.where("not (first and last)")
+    if not long.isEmpty():
+        now = long.select(*keys, "block", "first", "last", "x", F.lit(None).cast("array<double>").alias("z"))
+        told = ", ".join(f"{c} {kinds[c]}" for c in keys) + ", block long, first boolean, last boolean, x array<double>, z array<double>, add array<double>, start array<double>, n long"
+        for k in range(2 * len(filters) + 1):
+            now = stored(now.mapInPandas(_passes(filters, k), told), "pass")
+            if k < 2 * len(filters):
+                states = _states(now, keys, filters[k // 2], k % 2 == 1)
+                now = null_safe(now.select(*keys, "block", "first", "last", "x"), states, [*keys, "block"])
+        done = done.unionByName(now.select(*keys, "block", "x"))
+    placed = null_safe(cut.select(*keys, "block", "at"), done, [*keys, "block"])
+    rows = placed.select(*keys, F.inline(F.arrays_zip("at", "x")))
+    return rows.select(*keys, *[F.col(f"at.{c}").alias(c) for c in order], F.col("x").alias("filtered"))
+
+
+def from_rest(df: DataFrame, keys: list[str], block: str, order: list[str], value: str, b: np.ndarray, a: np.ndarray) -> DataFrame:
+    """keys, block, order, filtered: each block filtered by itself, from rest, without the state that the one before it left."""
+    return causal(df, [*keys, block], order, value, b, a)
 
 
 def leaky_neuron(df: DataFrame, keys: list[str], order: list[str], drive: str, leak: float = 0.9, threshold: float = 1.0, trace: float = 0.8, rate: float = 0.01) -> DataFrame:

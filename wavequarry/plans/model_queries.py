@@ -53,14 +53,18 @@ def spd4_tangent(spark, sf_dir):
     return rows.select("vec_id", "label", F.transform(M.tangent_at(F.col("c"), _pooled(rows)), lambda v: F.round(v, 5)).alias("v"))
 
 
-def recursion(b, a) -> str:
-    """SQL of a recursive filter over s: r has y of each sample and the filter's state."""
+def recursion(b, a, start=None, keys: tuple[str, ...] = ("user_id",)) -> str:
+    """SQL of a recursive filter over s by ``keys``: r has y of each sample and the filter's state, from rest or from ``start``."""
     n = len(b) - 1
+    start = [0.0] * n if start is None else [float(z) for z in start]
     state = ", ".join(f"z{k}" for k in range(1, n + 1))
+    plus = lambda z: f"{z!r} + " if z else ""
+    y0 = f"({plus(start[0])}{float(b[0])!r} * value)"
     y = f"({float(b[0])!r} * s.value + r.z1)"
-    first = ", ".join(f"{float(b[k])!r} * value - {float(a[k])!r} * ({float(b[0])!r} * value)" for k in range(1, n + 1))
+    first = ", ".join(f"{plus(start[k]) if k < n else ''}{float(b[k])!r} * value - {float(a[k])!r} * {y0}" for k in range(1, n + 1))
     after = ", ".join(f"{f'r.z{k + 1} + ' if k < n else ''}{float(b[k])!r} * s.value - {float(a[k])!r} * {y}" for k in range(1, n + 1))
-    return f"r(user_id, idx, event_id, y, {state}) AS (SELECT user_id, idx, event_id, {float(b[0])!r} * value, {first} FROM s WHERE idx = 0 UNION ALL SELECT s.user_id, s.idx, s.event_id, {y}, {after} FROM r JOIN s ON s.user_id = r.user_id AND s.idx = r.idx + 1)"
+    of, on = ", ".join(keys), " AND ".join(f"s.{k} = r.{k}" for k in keys)
+    return f"r({of}, idx, event_id, y, {state}) AS (SELECT {of}, idx, event_id, {y0}, {first} FROM s WHERE idx = 0 UNION ALL SELECT {', '.join(f's.{k}' for k in keys)}, s.idx, s.event_id, {y}, {after} FROM r JOIN s ON {on} AND s.idx = r.idx + 1)"
 
 
 BAND = recursion(*dsp.butterworth(1.0, 20.0, RATE))
@@ -127,11 +131,51 @@ def causal_iir(spark, sf_dir):
     return filters.causal(samples(spark, sf_dir).select("user_id", "idx", "value"), ["user_id"], ["idx"], "value", b, a).withColumn("filtered", F.round("filtered", 4))
 
 
+def _clean(spark, sf_dir, stages):
+    return filters.zero_phase_chain(samples(spark, sf_dir), ["user_id"], ["idx"], "value", stages).withColumn("filtered", F.round("filtered", 4))
+
+
 @query("filtfilt_bandpass")
 def filtfilt_bandpass(spark, sf_dir):
     """Notch at 16 Hz, then band-pass, both without phase shift."""
-    stages = [dsp.notch(16.0, RATE), dsp.butterworth(1.0, 20.0, RATE, order=2)]
-    return filters.zero_phase_chain(samples(spark, sf_dir), ["user_id"], ["idx"], "value", stages).withColumn("filtered", F.round("filtered", 4))
+    width = 16.0 / 30 / 2
+    return _clean(spark, sf_dir, [dsp.butterworth_sections(16.0 - width, 16.0 + width, RATE, 2, stop=True), dsp.butterworth_sections(1.0, 20.0, RATE, 2)])
+
+
+#: Rate at which both mains' frequencies can be heard.
+FULL_RATE = 250.0
+
+
+@query("cleaning_chain")
+def cleaning_chain(spark, sf_dir):
+    """The whole chain without phase shift: notches at 50 and 60 Hz, a thirtieth wide, then 1 to 30 Hz."""
+    return _clean(spark, sf_dir, dsp.cleaning_chain(FULL_RATE))
+
+
+@query("wearable_chain")
+def wearable_chain(spark, sf_dir):
+    """The same with notches of one hertz to each side, at a rate that leaves out the one at 60 Hz."""
+    return _clean(spark, sf_dir, dsp.cleaning_chain(110.0, quality=None))
+
+
+TASK_BAND = dsp.butterworth(4.0, 40.0, FULL_RATE)
+
+
+@query("clamped_filter", f"WITH RECURSIVE {S}, {recursion(*TASK_BAND, start=dsp.steady_state(*TASK_BAND))} SELECT user_id, idx, round(greatest(-300, least(300, y)), 3) AS filtered FROM r")
+def clamped_filter(spark, sf_dir):
+    """Causal 4 to 40 Hz from the steady state of an input of ones, whatever the first sample is, clamped to 300."""
+    rows = samples(spark, sf_dir).select("user_id", "idx", "value")
+    return filters.causal(rows, ["user_id"], ["idx"], "value", *TASK_BAND, steady=True, clip=300.0).withColumn("filtered", F.round("filtered", 3))
+
+
+WINDOW_BAND = dsp.butterworth(4.0, 40.0, FULL_RATE, order=5)
+
+
+@query("block_filter", f"WITH RECURSIVE {S.replace('s AS', 's0 AS', 1)}, s AS (SELECT user_id, event_id, value, idx // 16 AS block, idx % 16 AS idx FROM s0), {recursion(*WINDOW_BAND, keys=('user_id', 'block'))} SELECT user_id, block * 16 + idx AS idx, round(y, 4) AS filtered FROM r")
+def block_filter(spark, sf_dir):
+    """Causal 4 to 40 Hz of ten poles over windows of 16 samples, each from rest: no state is carried from window to window."""
+    rows = samples(spark, sf_dir).select("user_id", "idx", "value", F.floor(F.col("idx") / 16).alias("block"))
+    return filters.from_rest(rows, ["user_id"], "block", ["idx"], "value", *WINDOW_BAND).select("user_id", "idx", F.round("filtered", 4).alias("filtered"))
 
 
 CH = [f"x{c}" for c in range(CHANNELS)]
