@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import dsp
-from ..streaming import live
+from ..operators import packets
+from ..session import shared_dir
+from ..streaming import live, phases
 from .registry import query
 from .model_queries import BAND
 from .window_queries import S
@@ -111,3 +115,35 @@ def stream_quality_gate(spark, sf_dir):
     """Windows of a live recording whose spread shows no artifact; the others are dropped before they are scored."""
     rows = live.drain(live.emitted(live.event_stream(spark, sf_dir)).where("spread <= 150"))
     return rows.select("user_id", "rn", F.round("mean", 6).alias("mean"))
+
+
+EPOCH_SCORING = phases.Scoring(window=32, advance=16, calibration_ms=3_000, idle_ms=20_000, reference=tuple(0.015 * v for v in phases.Scoring.reference), most=0.45, weights=(-900.0, 300.0, 0.0, 200.0, 500.0, 0.0, -250.0, 700.0, 100.0, 600.0), key="label")
+
+
+@query("stream_live_scores")
+def stream_live_scores(spark, sf_dir):
+    """Epochs of a label as a live recording: three seconds of calibration, then each window's distances to the refined reference and the running mean."""
+    with phases.rocks(spark):
+        return live.drain(phases.scored(live.epoch_stream(spark, sf_dir), EPOCH_SCORING, "1 second"))
+
+
+DAY_MS = 86_400_000
+FRAME_SCORING = phases.Scoring(window=8, advance=4, calibration_ms=5 * DAY_MS, idle_ms=30 * DAY_MS, shrink=0.0, ridge=1e-6, reference=tuple(5000.0 * v for v in phases.Scoring.reference), weights=tuple(w / 5000 for w in (-1.5, -0.5, 2.0, 2.5, -0.2, 0.4, 1.8, -0.1, 0.5, 2.2)), intercept=45.0, band=tuple(tuple(c.tolist()) for c in dsp.butterworth(4.0, 40.0, 250.0)), clip=300.0, key="user_id")
+
+
+def frames_of_events(spark, sf_dir):
+    """user_id, ts, event_id and a frame of four channels for each event; every tenth comes short."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e, x = F.col("event_id"), F.round(F.col("value") * 10).cast("long")
+    channels = [(x * a + e * b) % 600 - 300 for a, b in ((1, 7), (3, 31), (7, 57), (11, 113))]
+    rows = packets.encode_frames(events.select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "value"), e % 256, channels, e * 4000, e % 3)
+    return rows.select("user_id", "ts", "event_id", F.when(e % 10 == 9, F.substring("frame", 1, 13)).otherwise(F.col("frame")).alias("frame"))
+
+
+@query("stream_frame_scores")
+def stream_frame_scores(spark, sf_dir):
+    """Frames decoded, filtered sample by sample, clamped and scored by windows of eight."""
+    folder = f"{shared_dir(spark)}/frames-{uuid.uuid4().hex}"
+    frames_of_events(spark, sf_dir).write.parquet(folder)
+    with phases.rocks(spark):  # these files do not follow one another in time, so one batch has them all
+        return live.drain(phases.scored(live.frame_stream(spark, folder, per_batch=1_000_000), FRAME_SCORING, "1 day"))

@@ -19,6 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import dsp
 from ..operators.aggregates import exact_mean
+from ..operators.packets import decode_frames
 from ..session import shared_dir
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -214,3 +215,21 @@ def onboarded(stream: DataFrame, windows: int = 3, size: int = 8, most: float =
 def against_baseline(stream: DataFrame, baselines: DataFrame) -> DataFrame:
     """Events with how far they lie from their recording's stored baseline (user_id, baseline); a stream-static join."""
     return stream.join(baselines, "user_id").select("user_id", "event_id", (F.col("value") - F.col("baseline")).alias("away"))
+
+
+EPOCHS = "vec_id long, embedding array<float>, label int"
+#: Milliseconds of sixteen samples at 250 Hz.
+EPOCH_MS = 64
+
+
+def epoch_stream(spark: SparkSession, folder: str, files: str = "embeddings*.parquet", per_batch: int = 1) -> DataFrame:
+    """key (label), ts, nth, x of stored epochs as a stream: a label's epochs follow one another as chunks, each at the time of its number."""
+    rows = spark.readStream.schema(EPOCHS).option("pathGlobFilter", files).option("maxFilesPerTrigger", per_batch).parquet(folder)
+    return rows.select(F.col("label").cast("long").alias("key"), F.timestamp_millis(F.lit(1_704_067_200_000) + F.col("vec_id") * EPOCH_MS).alias("ts"), F.col("vec_id").alias("nth"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+
+
+def frame_stream(spark: SparkSession, folder: str, files: str = "*.parquet", per_batch: int = 1) -> DataFrame:
+    """key, ts, nth, x of a folder of files with user_id, ts, event_id and binary frames; frames of another length are dropped."""
+    rows = spark.readStream.schema("user_id long, ts timestamp, event_id long, frame binary").option("pathGlobFilter", files).option("maxFilesPerTrigger", per_batch).parquet(folder)
+    channels = F.array(*[F.col(f"ch{k}").cast("double") for k in range(1, 5)])
+    return decode_frames(rows, "frame").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("nth"), channels.alias("x"))
