@@ -112,21 +112,28 @@ class Recursion:
         return np.linalg.matrix_power(self.matrix, length)
 
     def run(self, x: np.ndarray, state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Output over samples x and the state after them, from ``state`` or from rest."""
-        state = np.zeros(len(self.matrix)) if state is None else np.asarray(state, float)
+        """Output over samples x (samples, or samples by channels) and the state after them, from ``state`` or from rest."""
+        if x.ndim == 1:
+            out, after = self.run(x[:, None], None if state is None else np.asarray(state, float)[:, None])
+            return out[:, 0], after[:, 0]
+        state = np.zeros((len(self.matrix), x.shape[1])) if state is None else np.asarray(state, float)
         whole = len(x) // self.CHUNK * self.CHUNK
-        parts = x[:whole].reshape(-1, self.CHUNK)
-        pushed, states = parts @ self.into_state.T, np.empty((len(parts), len(state)))
+        parts = x[:whole].reshape(-1, self.CHUNK, x.shape[1])
+        pushed, states = self.into_state @ parts, np.empty((len(parts), *state.shape))
         for k, add in enumerate(pushed):
             states[k] = state
             state = self.powers[-1] @ state + add
-        out = [(parts @ self.from_input.T + states @ self.from_state.T).ravel()]
+        out = [(self.from_input @ parts + self.from_state @ states).reshape(whole, x.shape[1])]
         if rest := len(x) - whole:
             tail = x[whole:]
             out.append(self.from_input[:rest, :rest] @ tail + self.from_state[:rest] @ state)
             state = self.powers[rest] @ state + self.into_state[:, -rest:] @ tail
         return np.concatenate(out), state
 
+    def settled(self, sample: np.ndarray) -> np.ndarray:
+        """The state after an endless input of ``sample``."""
+        return np.multiply.outer(self.steady, sample)
+
 
 def extended(x: np.ndarray, edge: int, left: bool = True, right: bool = True) -> np.ndarray:
     """x with ``edge`` samples more at its ends, turned about the end samples."""

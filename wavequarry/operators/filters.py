@@ -35,12 +35,12 @@ def _zero_phase(x: np.ndarray, filters: list[dsp.Recursion]) -> np.ndarray:
             return x
         x = dsp.extended(x, edge)
         for _ in range(2):
-            x = f.run(x, f.steady * x[0])[0][::-1]
+            x = f.run(x, f.settled(x[0]))[0][::-1]
         x = x[edge : len(x) - edge]
     return x
 
 
-def _passes(filters: list[dsp.Recursion], k: int):
+def _passes(filters: list[dsp.Recursion], k: int, channels: int):
     """Pass k over blocks: apply direction k - 1 from the state that its start was found to have, then tell what direction k makes of a state.
 
     Even directions go forwards over a filter's input, whose ends are extended
@@ -51,9 +51,10 @@ def _passes(filters: list[dsp.Recursion], k: int):
         for batch in batches:
             xs, adds, starts = [], [], []
             for x, z, first, last in zip(batch["x"], batch["z"], batch["first"], batch["last"]):
+                x = x.reshape(-1, channels)
                 if k:
                     f, back = filters[(k - 1) // 2], (k - 1) % 2
-                    x = f.run(x[::-1] if back else x, z)[0]
+                    x = f.run(x[::-1] if back else x, z.reshape(-1, channels))[0]
                     if back:
                         x = x[::-1][f.edge if first else 0 : len(x) - f.edge if last else None]
                 if k < 2 * len(filters):
@@ -61,18 +62,18 @@ def _passes(filters: list[dsp.Recursion], k: int):
                     if not back:
                         x = dsp.extended(x, f.edge, first, last)
                     way = x[::-1] if back else x
-                    adds.append(f.run(way)[1].tolist())
-                    starts.append((f.steady * way[0]).tolist() if (last if back else first) else None)
+                    adds.append(f.run(way)[1].ravel().tolist())
+                    starts.append(f.settled(way[0]).ravel().tolist() if (last if back else first) else None)
                 else:
                     adds.append(None)
                     starts.append(None)
-                xs.append(np.ascontiguousarray(x))
-            yield batch.assign(x=xs, add=adds, start=starts, n=[len(x) for x in xs])
+                xs.append(x.ravel())
+            yield batch.assign(x=xs, add=adds, start=starts, n=[len(x) // channels for x in xs])
 
     return run
 
 
-def _states(blocks: DataFrame, keys: list[str], f: dsp.Recursion, back: bool) -> DataFrame:
+def _states(blocks: DataFrame, keys: list[str], f: dsp.Recursion, back: bool, channels: int) -> DataFrame:
     """keys, block, z: the filter's state where each block starts, by composing the maps of the blocks before it."""
     kinds = dict(blocks.dtypes)
     powers: dict[int, np.ndarray] = {}
@@ -80,18 +81,18 @@ def _states(blocks: DataFrame, keys: list[str], f: dsp.Recursion, back: bool) ->
     def step(state, rows: pd.DataFrame):
         found = []
         for start, add, n in zip(rows["start"], rows["add"], rows["n"]):
-            state = np.array(start, float) if start is not None else state
-            found.append(state.tolist())
+            state = np.array(start, float).reshape(-1, channels) if start is not None else state
+            found.append(state.ravel().tolist())
             if n not in powers:
                 powers[n] = f.power(n)
-            state = powers[n] @ state + np.array(add, float)
+            state = powers[n] @ state + np.array(add, float).reshape(-1, channels)
         return state, rows[[*keys, "block"]].assign(z=found)
 
     rows = blocks.select(*keys, "block", "start", "add", "n", (-F.col("block") if back else F.col("block")).alias("_turn"))
     return ordered_fold(rows, keys, ["_turn"], lambda: None, step, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", block long, z array<double>")
 
 
-def zero_phase_chain(df: DataFrame, keys: list[str], order: list[str], value: str, stages: list[np.ndarray], size: int = SIZE) -> DataFrame:
+def zero_phase_chain(df: DataFrame, keys: list[str], order: list[str], value: str, stages: list[np.ndarray], size: int = SIZE, channels: int = 0) -> DataFrame:
     """keys, order, filtered: zero-phase filters one after another, over recordings of any length.
 
     Recordings are cut into blocks. A filter is an affine map of its state, so
@@ -100,8 +101,10 @@ def zero_phase_chain(df: DataFrame, keys: list[str], order: list[str], value: st
     blocks filter at once from the right state. Recordings of one block go
     through all filters in a single pass. Null keys are one recording; ``order``
     must name a recording's samples; an empty table gives no rows. ``stages``
-    are the filters' sections.
+    are the filters' sections. With ``channels``, values are arrays of so many
+    channels, which are filtered side by side.
     """
+    wide = channels or 1
     filters = [dsp.Recursion(sections) for sections in stages]
     size = max([size, *(2 * f.edge for f in filters)])
     kinds = dict(df.dtypes)
@@ -109,7 +112,7 @@ def zero_phase_chain(df: DataFrame, keys: list[str], order: list[str], value: st
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(x=[np.ascontiguousarray(_zero_phase(x, filters)) for x in batch["x"]])
+            yield batch.assign(x=[_zero_phase(x.reshape(-1, wide), filters).ravel() for x in batch["x"]])
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in keys) + ", block long, x array<double>"
     done = cut.where("first and last").select(*keys, "block", "x").mapInPandas(whole, schema)
@@ -118,12 +121,14 @@ def zero_phase_chain(df: DataFrame, keys: list[str], order: list[str], value: st
         now = long.select(*keys, "block", "first", "last", "x", F.lit(None).cast("array<double>").alias("z"))
         told = ", ".join(f"{c} {kinds[c]}" for c in keys) + ", block long, first boolean, last boolean, x array<double>, z array<double>, add array<double>, start array<double>, n long"
         for k in range(2 * len(filters) + 1):
-            now = stored(now.mapInPandas(_passes(filters, k), told), "pass")
+            now = stored(now.mapInPandas(_passes(filters, k, wide), told), "pass")
             if k < 2 * len(filters):
-                states = _states(now, keys, filters[k // 2], k % 2 == 1)
+                states = _states(now, keys, filters[k // 2], k % 2 == 1, wide)
                 now = null_safe(now.select(*keys, "block", "first", "last", "x"), states, [*keys, "block"])
         done = done.unionByName(now.select(*keys, "block", "x"))
     placed = null_safe(cut.select(*keys, "block", "at"), done, [*keys, "block"])
+    if channels:
+        placed = placed.withColumn("x", F.transform(F.sequence(F.lit(0), F.size("at") - 1), lambda k: F.slice("x", k * channels + 1, channels)))
     rows = placed.select(*keys, F.inline(F.arrays_zip("at", "x")))
     return rows.select(*keys, *[F.col(f"at.{c}").alias(c) for c in order], F.col("x").alias("filtered"))
 

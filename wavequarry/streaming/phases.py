@@ -122,6 +122,13 @@ class Session:
         return found
 
 
+def rearm(handle: StatefulProcessorHandle, at: int) -> None:
+    """One timer of the key, at ``at``."""
+    for timer in list(handle.listTimers()):
+        handle.deleteTimer(timer)
+    handle.registerTimer(at)
+
+
 class LiveScorer(StatefulProcessor):
     """``Session`` per key: its numbers, buffer and means as values, its calibration windows as a list, a timer for silence."""
 
@@ -172,9 +179,7 @@ class LiveScorer(StatefulProcessor):
                 session.last = int(at)
                 found += session.take(np.array(chunk, float).reshape(-1, CHANNELS), session.last)
         self._save(session)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(session.last + self.how.idle_ms)
+        rearm(self.handle, session.last + self.how.idle_ms)
         yield self._told(key, found)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
