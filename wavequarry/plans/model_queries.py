@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dsp
 from ..operators import aggregates as A
-from ..operators import filters, models
+from ..operators import filters, kernel, models
 from ..operators import manifold as M
 from ..operators import separation as BS
 from ..session import shared_dir
@@ -466,3 +466,40 @@ def swelling_seeds(spark, sf_dir, seeds: int = 20):
     r = spark.createDataFrame(found, "seed long, ratio double")
     x = F.col("ratio")
     return r.agg(F.count(F.lit(1)).alias("n_seeds"), F.round(F.avg(x), 5).alias("mean_ratio"), F.round(F.stddev_pop(x), 5).alias("std_ratio"), F.round(A.variation(x), 5).alias("cv"), F.round(F.min(x), 5).alias("min_ratio"), F.round(F.max(x), 5).alias("max_ratio"))
+
+
+UPPER = [4 * i + j for i in range(4) for j in range(i, 4)]
+
+
+def raw_view(c: np.ndarray, _) -> np.ndarray:
+    return c[:, UPPER]
+
+
+def contrasts(spark, sf_dir):
+    """label, c (covariance times 64), y (the first channel is stronger than the second), _part (of the label)."""
+    rows = _covariances(spark, sf_dir).select("label", F.transform("c", lambda v: v * 64).alias("c"))
+    return rows.select("label", "c", (F.get("c", F.lit(0)) > F.get("c", F.lit(5))).cast("double").alias("y"), (F.col("label") % 3).cast("int").alias("_part"))
+
+
+def _grid(rows, view: str):
+    references = M.references_without(rows, "label", "c")
+    at = {"raw": raw_view, "tangent": M.tangents}[view]
+    return kernel.kernel_grid(rows, "c", "y", "label", "_part", 3, at, references, standard=view == "raw")
+
+
+@query("kernel_grid")
+def kernel_grid(spark, sf_dir):
+    """All 98 settings of the kernel classifier for each label left out, on standardised covariance triangles."""
+    return _grid(_stored(contrasts(spark, sf_dir)), "raw").withColumns({c: F.round(c, 6) for c in ("inner", "outer")})
+
+
+@query("nested_kernel")
+def nested_kernel(spark, sf_dir):
+    """The best setting of each fold by inner accuracy, on raw and on tangent features; the fold falls back to raw ones where those score better inside."""
+    rows = _stored(contrasts(spark, sf_dir))
+    best = {view: kernel.best_of(_grid(rows, view)) for view in ("raw", "tangent")}
+    named = {v: b.select("fold", *[F.col(c).alias(f"{v}_{c}") for c in ("c", "gamma", "class_weight", "inner", "outer")]) for v, b in best.items()}
+    both = named["raw"].join(named["tangent"], "fold")
+    back = F.col("tangent_inner") < F.col("raw_inner")
+    gated = both.withColumns({"features": F.when(back, "raw").otherwise("tangent"), "gated_outer": F.when(back, F.col("raw_outer")).otherwise(F.col("tangent_outer"))})
+    return gated.withColumns({c: F.round(c, 6) for c in gated.columns if c.endswith(("inner", "outer"))})
