@@ -74,16 +74,48 @@ def test_subscribers_get_every_row_however_many(spark, tmp_path):
 
 def test_a_ledger_keeps_the_last_row_of_a_key(spark, tmp_path):
     ledger = sinks.Ledger(spark, str(tmp_path / "ledger"), ["k"])
-    for rows in ([(1, "a"), (2, "a")], [(2, "b"), (3, "b")], [(1, "c")]):
+    for rows in ([(1, "a"), (2, "a"), (None, "a")], [(2, "b"), (3, "b"), (None, "b")], [(1, "c")]):
         ledger.upsert(spark.createDataFrame(rows, "k int, v string"))
     again = sinks.Ledger(spark, str(tmp_path / "ledger"), ["k"])
-    assert {tuple(r) for r in again.read().collect()} == {(1, "c"), (2, "b"), (3, "b")} and again.version == 2
-
-
-def test_a_baseline_is_an_array_of_doubles(spark, tmp_path):
-    rows = spark.createDataFrame([("REST", [1.0, 0.0, 0.0, 1.0], 5)], "state string, matrix array<double>, n long")
-    sinks.write_baselines(rows, str(tmp_path / "b"), "state")
-    assert sinks.read_baselines(spark, str(tmp_path / "b")).first().matrix == [1.0, 0.0, 0.0, 1.0]
+    assert {tuple(r) for r in again.read().collect()} == {(1, "c"), (2, "b"), (3, "b"), (None, "b")} and again.read().count() == 4 and again.version == 2
+
+
+def test_ten_rows_touch_ten_buckets_at_most(spark, tmp_path):
+    ledger = sinks.Ledger(spark, f"file://{tmp_path}/ledger", ["k", "s"], buckets=200)
+    every = spark.range(5000).select(F.col("id").alias("k"), F.when(F.col("id") % 5 > 0, F.lit("x")).alias("s"), F.lit(0).alias("v"))
+    ledger.upsert(every)
+    before, earlier = ledger.folders(), ledger.read()
+    ledger.upsert(every.where("k < 8").withColumn("v", F.lit(1)).union(spark.createDataFrame([(9001, None, 1), (9002, "x", 1)], "k long, s string, v int")))
+    after = ledger.folders()
+    changed = {b for b in after if after[b] != before.get(b)}
+    assert 1 <= len(changed) <= 10 and len(before) == 200
+    assert {f.split("/_bucket=")[0] for f in ledger._rows(sorted(changed)).inputFiles()}.isdisjoint({p.split("/_bucket=")[0] for p in before.values()})
+    assert ledger.read().where("v = 1").count() == 10 and ledger.read().count() == 5002 and earlier.count() == 5000
+
+
+def test_the_second_of_two_writers_fails_and_changes_nothing(spark, tmp_path):
+    first, second = (sinks.Ledger(spark, str(tmp_path / "ledger"), ["k"]) for _ in range(2))
+    first.upsert(spark.createDataFrame([(1, "first")], "k int, v string"))
+    with pytest.raises(sinks.Conflict):
+        second.upsert(spark.createDataFrame([(1, "second")], "k int, v string"))
+    again = sinks.Ledger(spark, str(tmp_path / "ledger"), ["k"])
+    assert [tuple(r) for r in again.read().collect()] == [(1, "first")]
+    again.upsert(spark.createDataFrame([(1, "second", 5)], "k int, v string, more int"))
+    assert [tuple(r) for r in again.read().collect()] == [(1, "second", 5)]
+    again.upsert(spark.createDataFrame([], "k int, v string, more int"))
+    assert again.read().count() == 1
+
+
+def test_a_baseline_is_an_array_of_doubles_with_its_distances(spark, tmp_path):
+    states = {"REST": np.eye(2), "COGNITIVE": np.diag([np.e, 1.0]), "MOTOR": np.diag([1.0, np.e**2])}
+    rows = spark.createDataFrame([(k, m.ravel().tolist(), 5) for k, m in states.items()], "state string, matrix array<double>, n long")
+    sinks.write_baselines(sinks.state_distances(rows, "state"), str(tmp_path / "b"), "state")
+    found = {r.state: r for r in sinks.read_baselines(spark, str(tmp_path / "b")).collect()}
+    assert found["REST"].matrix == [1.0, 0.0, 0.0, 1.0] and found["REST"].n == 5
+    assert found["REST"].distances == pytest.approx({"COGNITIVE": 1.0, "MOTOR": 2.0}) and found["MOTOR"].distances == pytest.approx({"REST": 2.0, "COGNITIVE": 5**0.5})
+    held = sinks.read_baselines(spark, str(tmp_path / "b"))
+    sinks.write_baselines(held.where("state = 'REST'"), str(tmp_path / "b"), "state")  # read and written over
+    assert [r.state for r in sinks.read_baselines(spark, str(tmp_path / "b")).collect()] == ["REST"] and held.count() == 3
     with pytest.raises(ValueError, match="array of doubles"):
         sinks.write_baselines(rows.withColumn("matrix", F.lit("x")), str(tmp_path / "b"), "state")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dsp
 from ..operators import aggregates as A
-from ..operators import filters, kernel, models
+from ..operators import filters, kernel, mean_tables, models, polynomial
 from ..operators import manifold as M
 from ..operators import separation as BS
 from ..session import shared_dir
@@ -503,3 +503,41 @@ def nested_kernel(spark, sf_dir):
     back = F.col("tangent_inner") < F.col("raw_inner")
     gated = both.withColumns({"features": F.when(back, "raw").otherwise("tangent"), "gated_outer": F.when(back, F.col("raw_outer")).otherwise(F.col("tangent_outer"))})
     return gated.withColumns({c: F.round(c, 6) for c in gated.columns if c.endswith(("inner", "outer"))})
+
+
+#: Sizes of samples as shares of all epochs, and their seeds.
+SHARES, SEEDS = [(k, 60) for k in (1, 3, 5, 8, 10, 15, 20, 30)], 20
+
+
+def _sizes(n: str, share) -> str:
+    return f"greatest(8, {n} * {share[0]} // {share[1]})"
+
+
+@query(
+    "swelling_nested",
+    f"""WITH {C}, m0 AS (SELECT vec_id, {_cells('m')} FROM c GROUP BY 1), m1 AS (SELECT vec_id, ln(m00) AS l, {_reduced(0)} FROM m0), m2 AS (SELECT vec_id, l + ln(m11) AS l, {_reduced(1)} FROM m1), m3 AS (SELECT vec_id, l + ln(m22) + ln(m33 - m23 * m23 / m22) AS l FROM (SELECT vec_id, l, m22, m23, m33 FROM m2)),
+d AS (SELECT vec_id, seed, row_number() OVER (PARTITION BY seed ORDER BY CAST('0x' || substr(md5(seed || '-' || vec_id), 1, 8) AS BIGINT), vec_id) AS place, count(*) OVER (PARTITION BY seed) AS n FROM m0, (SELECT unnest(range(0, {SEEDS})) AS seed)),
+k AS (SELECT vec_id, seed, unnest([{', '.join(_sizes('n', s) for s in SHARES)}]) AS size, place FROM d), g AS (SELECT size, seed, avg(l) AS l, {', '.join(f'avg(m{a}{b}) AS m{a}{b}' for a in range(4) for b in range(a, 4))} FROM k JOIN m0 USING (vec_id) JOIN m3 USING (vec_id) WHERE place <= size GROUP BY ALL),
+g1 AS (SELECT size, seed, l, ln(m00) AS e, {_reduced(0)} FROM g), g2 AS (SELECT size, seed, l, e + ln(m11) AS e, {_reduced(1)} FROM g1), r AS (SELECT size, seed, exp(e + ln(m22) + ln(m33 - m23 * m23 / m22) - l) AS x FROM g2)
+SELECT size, round(avg(x), 4) AS mean_ratio, round(stddev_pop(x), 4) AS std_ratio, round(stddev_pop(x) / avg(x), 4) AS cv, round(min(x), 4) AS min_ratio, round(max(x), 4) AS max_ratio, count(*) AS n_seeds, true AS converged FROM r GROUP BY size""",
+)
+def swelling_nested(spark, sf_dir):
+    """Determinant swelling of nested samples without replacement, eight sizes and twenty seeds, then its spread over the seeds."""
+    rows = _stored(_covariances(spark, sf_dir).select("vec_id", "c"))
+    n = rows.count()
+    sizes = sorted({max(8, n * a // b) for a, b in SHARES})
+    means = mean_tables.geometric_mean_table(mean_tables.nested_samples(rows, "vec_id", sizes, SEEDS).select("size", "seed", "c"), ["size", "seed"], "c")
+    x = F.col("ratio")
+    out = {"mean_ratio": F.avg(x), "std_ratio": F.stddev_pop(x), "cv": A.variation(x), "min_ratio": F.min(x), "max_ratio": F.max(x)}
+    return mean_tables.swelling_table(means).groupBy("size").agg(*[F.round(c, 4).alias(k) for k, c in out.items()], F.count(F.lit(1)).alias("n_seeds"), F.every("converged").alias("converged"))
+
+
+@query("polynomial_ridge")
+def polynomial_ridge(spark, sf_dir):
+    """Tangent features of degree two, the penalty of each fold by generalised cross-validation: accuracy and mean decision on the label left out."""
+    rows = _stored(contrasts(spark, sf_dir))
+    scores, done = polynomial.left_out_polynomial(rows, "c", "y", "label", M.tangents, M.references_without(rows, "label", "c"))
+    best = scores.groupBy(F.col("fold").alias("label")).agg(F.round(F.min("gcv"), 6).alias("gcv"))
+    right = ((F.col("decision") > 0) == (F.col("y") > 0.5)).cast("double")
+    found = done.groupBy("label").agg(F.max("alpha").alias("alpha"), F.count(F.lit(1)).alias("n"), F.round(F.avg(right), 6).alias("accuracy"), F.round(F.avg("decision"), 5).alias("mean_decision"))
+    return found.join(best, "label")
