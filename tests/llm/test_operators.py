@@ -382,6 +382,16 @@ def test_shards_are_full_and_drawn(spark):
         assert (abs(counts[s] - 500 * share) < 5 * variance**0.5).all()
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 50, 4097, 300_000])
+def test_a_permutation_is_one_and_leaves_hardly_an_element_alone(spark, n):
+    size = F.lit(n).cast("long")
+    rows = spark.range(n).select("id", mixing._permuted(F.col("id"), size, F.lit("deal"), 7).alias("to"))
+    r = rows.agg(F.count_distinct("to").alias("all"), F.min("to").alias("low"), F.max("to").alias("high"), F.count_if(F.col("id") == F.col("to")).alias("fixed"), F.corr("id", "to").alias("corr")).first()
+    assert (r["all"], r.low, r.high) == (n, 0, n - 1)
+    if n > 1000:
+        assert r.fixed < 8 and abs(r["corr"]) < 0.06  # one is left alone by a uniform one
+
+
 def test_blocks_are_taken_evenly(spark):
     df = spark.createDataFrame([(k, " ".join(["w"] * 7), "s") for k in range(60)], "doc_id long, text string, source string")
     documents, pieces = mixing.mix(df, block_words=16, share=1.5)

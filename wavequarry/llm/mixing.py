@@ -29,8 +29,8 @@ CHUNKS = 1024
 RUN = 4096
 #: Runs that one task lists, until there are as many tasks as MOST_TASKS.
 TASK_RUNS, MOST_TASKS = 64, 20_000
-#: Rounds of the block permutation.
-ROUNDS = 8
+#: Rounds of a permutation beyond one for each bit of what it permutes: of n elements n / 2^(bits + MORE_ROUNDS), so hardly one, are moved by none.
+MORE_ROUNDS = 4
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -81,14 +81,16 @@ def _permuted(index: Column, size: Column, name: Column, seed: int) -> Column:
     """Pseudorandom bijection of 0..size-1, one per name.
 
     Swap-or-not rounds: x and key - x are partners, and a hash of the larger
-    decides for both whether they change places.
+    decides for both whether they change places. The rounds grow with the
+    logarithm of ``size``, so that hardly an element stays where it was.
     """
+    bits = F.ceil(F.log2(F.greatest(size, F.lit(2)).cast("double"))).cast("int")
 
     def swap_or_not(x: Column, r: Column) -> Column:
         partner = F.pmod(F.pmod(F.xxhash64(name, F.lit(seed), r), size) - x, size)
         return F.when(F.xxhash64(name, F.lit(seed), r, F.greatest(x, partner)) % 2 == 0, partner).otherwise(x)
 
-    return F.aggregate(F.array(*[F.lit(r) for r in range(ROUNDS)]), index, swap_or_not)
+    return F.aggregate(F.sequence(F.lit(1), bits + MORE_ROUNDS), index, swap_or_not)
 
 
 def mix_slots(targets: DataFrame, block_words: int, shard_blocks: int, seed: int) -> DataFrame:
