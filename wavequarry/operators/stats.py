@@ -70,6 +70,26 @@ def bootstrap(values: DataFrame, columns: list[str], draws: int, statistic: Colu
     return picks.join(picked, "pick").groupBy("b").agg(statistic.alias("statistic"))
 
 
+def numbered_by(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Add i from 0 by ``order``, which must name a key's rows, and the key's row count n; no key passes through one task."""
+    counted = running_count(df, [key, *order], F.lit(1).cast("long"), "_at")
+    sizes = counted.groupBy(key).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("n"))
+    return counted.join(sizes, key).withColumn("i", F.col("_at") - F.col("_first")).drop("_at", "_first")
+
+
+def bootstrap_by(values: DataFrame, key: str, order: str, columns: list[str], draws: int, statistics: dict[str, Column]) -> DataFrame:
+    """key, b and statistics over ``columns`` of each of ``draws`` resamples with replacement of each key's rows.
+
+    All keys draw by the same digests of (b, i), which is no matter as keys are
+    looked at one by one. Rows without key are left out.
+    """
+    rows = numbered_by(values.where(F.col(key).isNotNull()), key, [order])
+    picks = drawn(rows.select(key, "i", "n"), draws).select(key, "b", F.shiftright(F.col("draw") * F.col("n"), 32).alias("i"))
+    picked = rows.select(key, "i", *columns)
+    picked = F.broadcast(picked) if values.count() <= FEW_VALUES else picked.hint("shuffle_hash")
+    return picks.join(picked, [key, "i"]).groupBy(key, "b").agg(*[c.alias(name) for name, c in statistics.items()])
+
+
 def bootstrap_means(values: DataFrame, value: str, draws: int) -> DataFrame:
     """b, mean: the means of ``draws`` resamples with replacement of rows (i, n, value)."""
     return bootstrap(values, [value], draws, F.avg(value)).withColumnRenamed("statistic", "mean")
@@ -114,6 +134,20 @@ def mann_whitney(df: DataFrame, value: str, is_a: Column) -> DataFrame:
     return sums.select("n_a", "n_b", u.alias("u"), ((u - a * b / 2) / F.sqrt(variance)).alias("z"))
 
 
+def mann_whitney_by(df: DataFrame, key: str, value: str, is_a: Column) -> DataFrame:
+    """key, n_a, n_b, u, z of each key's rows where ``is_a`` against its others, as ``mann_whitney``; z is null if all values are equal or a side is empty."""
+    counts = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("_t"), F.count_if(is_a).alias("_a"))
+    upto = running_count(counts, [key, value], F.col("_t"), "_upto")
+    first = upto.groupBy(key).agg(F.min(F.col("_upto") - F.col("_t")).alias("_before"))
+    ranked = upto.join(first, key).withColumn("_rank", F.col("_upto") - F.col("_before") - (F.col("_t") - 1) / 2)
+    t = F.col("_t").cast("double")
+    sums = ranked.groupBy(key).agg(F.sum("_a").alias("n_a"), (F.sum("_t") - F.sum("_a")).alias("n_b"), F.sum(F.col("_rank") * F.col("_a")).alias("_r"), F.sum(t * t * t - t).alias("_tied"))
+    a, b = F.col("n_a"), F.col("n_b")
+    n, u = a + b, F.col("_r") - a * (a + 1) / 2
+    spread = F.sqrt(a * b / 12 * (n + 1 - F.col("_tied") / F.nullif(n * (n - 1), F.lit(0))))
+    return sums.select(key, "n_a", "n_b", u.alias("u"), ((u - a * b / 2) / F.nullif(spread, F.lit(0.0))).alias("z"))
+
+
 def binomial_tail(df: DataFrame, k: str, n: str) -> DataFrame:
     """Add ``p``: probability of at least k of n heads.
 
