@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import model_queries, network_queries, quality_queries, report_queries, separation_queries, session_queries, signal_queries, stat_queries, stream_queries, window_queries  # noqa: F401
+from .plans import detail_queries, model_queries, network_queries, quality_queries, report_queries, separation_queries, session_queries, signal_queries, stat_queries, stream_queries, window_queries  # noqa: F401
 from .plans.registry import QUERIES, SQL, Query
 
 

@@ -237,13 +237,14 @@ def linspace_times(spark, sf_dir):
     return rows.join(sizes, "user_id").select("user_id", "idx", F.round(stamp, 6).alias("stamp"))
 
 
-@query(
-    "ew_covariance",
-    f"""WITH RECURSIVE {S}, z AS (SELECT user_id, idx, value AS x, coalesce(lag(value) OVER (PARTITION BY user_id ORDER BY idx), 0) AS y FROM s),
+def ew_covariance_sql() -> str:
+    """SQL of r: each sample's running mean and covariance with the one before it, in the order of operations that the fold has."""
+    return f"""{S}, z AS (SELECT user_id, idx, value AS x, coalesce(lag(value) OVER (PARTITION BY user_id ORDER BY idx), 0) AS y FROM s),
 r(user_id, idx, mx, my, vx, vxy, vy) AS (SELECT user_id, idx, x, y, 0.1::DOUBLE, 0.0::DOUBLE, 0.1::DOUBLE FROM z WHERE idx = 0
-UNION ALL SELECT z.user_id, z.idx, mx + 0.1 * (x - mx), my + 0.1 * (y - my), 0.9 * vx + 0.1 * ((x - mx) * (x - mx)) + 1e-6, 0.9 * vxy + 0.1 * ((x - mx) * (y - my)), 0.9 * vy + 0.1 * ((y - my) * (y - my)) + 1e-6 FROM r JOIN z ON z.user_id = r.user_id AND z.idx = r.idx + 1)
-SELECT user_id, idx, mx AS mean, vx AS var_now, vxy AS cov_lag, vy AS var_before FROM r""",
-)
+UNION ALL SELECT z.user_id, z.idx, mx + 0.1 * (x - mx), my + 0.1 * (y - my), 0.9 * vx + 0.1 * ((x - mx) * (x - mx)) + 1e-6, 0.9 * vxy + 0.1 * ((x - mx) * (y - my)), 0.9 * vy + 0.1 * ((y - my) * (y - my)) + 1e-6 FROM r JOIN z ON z.user_id = r.user_id AND z.idx = r.idx + 1)"""
+
+
+@query("ew_covariance", f"WITH RECURSIVE {ew_covariance_sql()} SELECT user_id, idx, mx AS mean, vx AS var_now, vxy AS cov_lag, vy AS var_before FROM r")
 def ew_covariance(spark, sf_dir):
     """Exponential mean and covariance of each sample and the one before it, unrounded: samples of two digits make means that lie on halves."""
     before = F.coalesce(F.lag("value").over(Window.partitionBy("user_id").orderBy("idx")), F.lit(0.0))

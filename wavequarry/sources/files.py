@@ -39,9 +39,15 @@ def latest_file(spark: SparkSession, path: str, ending: str) -> DataFrame:
     return files.orderBy(F.desc("modificationTime"), F.desc("path")).limit(1)
 
 
-def read_log_blocks(spark: SparkSession, path: str, marker: str) -> DataFrame:
-    """file, block (from 1), line: lines after the first marker line, by the marker before them."""
+def read_log_blocks(spark: SparkSession, path: str, marker: str, required: bool = False) -> DataFrame:
+    """file, block (from 1), line: lines after the first marker line, by the marker before them.
+
+    A file without the marker has no rows, or fails the job if ``required``.
+    """
     whole = spark.read.text(path, wholetext=True).select(file_name().alias("file"), F.split("value", marker).alias("parts"))
+    if required:
+        missing = F.raise_error(F.concat(F.lit("no marker in "), "file"))
+        whole = whole.withColumn("parts", F.when(F.size("parts") > 1, F.col("parts")).otherwise(missing.cast("array<string>")))
     blocks = whole.select("file", F.posexplode("parts").alias("block", "text")).where("block > 0")
     return blocks.select("file", "block", F.explode(F.split("text", r"\r?\n")).alias("line")).where("trim(line) != ''")
 

@@ -169,6 +169,31 @@ def running(stream: DataFrame, alpha: float = 0.1) -> DataFrame:
     return rows.groupBy("user_id").applyInPandasWithState(run, "user_id long, n long, ew double", "n long, ew double", "update", GroupStateTimeout.NoTimeout)
 
 
+def running_covariance(stream: DataFrame, alpha: float = 0.1, ridge: float = 1e-6, start: float = 0.1) -> DataFrame:
+    """user_id, n, mean, var_now, cov_lag, var_before so far, of each sample and the one before it (0 before the first); one update per recording and batch.
+
+    As ``filters.running_moments``: the covariance starts at ``start`` times the
+    identity; a sample adds the product of its distance from the mean before it.
+    """
+
+    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, before, mean, cov = (state.get[0], state.get[1], np.array(state.get[2]), np.array(state.get[3]).reshape(2, 2)) if state.exists else (0, 0.0, None, start * np.eye(2))
+        for v in _in_order(batches)["value"].astype(float):
+            x = np.array([v, before])
+            if mean is None:
+                mean = x
+            else:
+                off = x - mean
+                mean, cov = mean + alpha * off, (1 - alpha) * cov + alpha * np.outer(off, off) + ridge * np.eye(2)
+            n, before = n + 1, float(v)
+        state.update((n, before, mean.tolist(), cov.ravel().tolist()))
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "mean": [mean[0]], "var_now": [cov[0, 0]], "cov_lag": [cov[0, 1]], "var_before": [cov[1, 1]]})
+
+    rows = stream.select("user_id", "ts", "event_id", "value")
+    out = "user_id long, n long, mean double, var_now double, cov_lag double, var_before double"
+    return rows.groupBy("user_id").applyInPandasWithState(run, out, "n long, before double, mean array<double>, cov array<double>", "update", GroupStateTimeout.NoTimeout)
+
+
 def rebaselined(stream: DataFrame, size: int = 10, bound: float = 0.5) -> DataFrame:
     """user_id, block, mean, rebased: means of blocks of ``size`` samples; one that lies over ``bound`` of the baseline away becomes the baseline."""
 
