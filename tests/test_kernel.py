@@ -12,6 +12,7 @@ from wavequarry.plans import model_queries
 
 @pytest.fixture()
 def small(monkeypatch):
+    monkeypatch.setattr(kernel, "LANDMARKS", 12)
     monkeypatch.setattr(kernel, "CS", (0.5, 10.0))
     monkeypatch.setattr(kernel, "GAMMAS", (0.005, 0.1))
 
@@ -69,7 +70,8 @@ def test_landmark_features_are_the_kernel_among_landmarks():
     assert np.allclose(phi @ phi.T, np.exp(-0.3 * ((x[:, None] - x[None]) ** 2).sum(-1)), atol=1e-6)
 
 
-def test_all_98_settings_are_scored_and_the_best_is_kept(spark, sf_dir):
+def test_all_98_settings_are_scored_and_the_best_is_kept(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(kernel, "LANDMARKS", 10)
     scores = catalog.queries()["kernel_grid"](spark, sf_dir)
     rows = scores.collect()
     assert len(rows) == 98 * len({r.fold for r in rows}) and len({(r.c, r.gamma, r.class_weight) for r in rows}) == 98

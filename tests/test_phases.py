@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from wavequarry import catalog
 from wavequarry.functions import dsp
 from wavequarry.plans import stream_queries
-from wavequarry.streaming import live, phases
+from wavequarry.streaming import phases
 
 START = 1_000_000
 HOW = phases.Scoring(window=6, advance=4, calibration_ms=2_000, idle_ms=60_000, recent=3, most=4.0, weights=tuple(np.linspace(-5, 5, 10)), reference=tuple(2 * np.eye(4).ravel()))

@@ -42,6 +42,13 @@ def test_geometric_mean_of_equal_matrices_is_that_matrix(spark):
     assert done and np.allclose(found, m)
 
 
+def test_a_geometric_mean_that_does_not_settle_is_an_error(spark):
+    rows = spark.createDataFrame([(1, m.ravel().tolist()) for m in spd(9)], "k long, c array<double>")
+    with pytest.raises(RuntimeError, match="1 means have not converged in 1 rounds"):
+        manifold.settled_means(rows, "k", "c", most_rounds=1)
+    assert np.allclose(manifold.settled_means(rows, "k", "c")[1], manifold.geometric_means(rows, "k", "c")[1][0])
+
+
 def test_geometric_mean_balances_tangents_and_has_the_mean_logdet(spark):
     ms = spd(12)
     df = spark.createDataFrame([(k % 2, m.ravel().tolist()) for k, m in enumerate(ms)], "k long, c array<double>")

@@ -139,7 +139,7 @@ def _added(df: DataFrame, keys: list[str], salts: int = 16) -> DataFrame:
     return parts.groupBy(*keys).applyInPandas(lambda rows: add(rows)[[*keys, "s"]], f"{schema}, s binary")
 
 
-def kernel_grid(df: DataFrame, raw: str, target: str, group: str, part: str, parts: int, at: Callable, references: dict, standard: bool, landmarks: int = LANDMARKS, rounds: int = 30, tolerance: float = 1e-6) -> DataFrame:
+def kernel_grid(df: DataFrame, raw: str, target: str, group: str, part: str, parts: int, at: Callable, references: dict, standard: bool, landmarks: int | None = None, rounds: int = 30, tolerance: float = 1e-6) -> DataFrame:
     """fold, c, gamma, class_weight, inner, outer, n_inner, n_outer: all settings for each fold.
 
     A fold leaves a group out; ``references`` has for each what ``at(raw,
@@ -147,10 +147,11 @@ def kernel_grid(df: DataFrame, raw: str, target: str, group: str, part: str, par
     ``parts`` - 1) must be the same for all rows of a group. inner is the
     accuracy over the parts, each predicted without it; outer that over the
     group left out, by a fit to all parts. A round is a pass for all settings;
-    a fit whose objective rose goes half the way.
+    a fit whose objective rose goes half the way. A fold has LANDMARKS
+    ``landmarks`` unless told otherwise.
     """
     df = df.select(raw, target, group, part)
-    folds = _folds(df, raw, target, group, part, at, references, standard, parts, landmarks)
+    folds = _folds(df, raw, target, group, part, at, references, standard, parts, landmarks or LANDMARKS)
     kind = dict(df.dtypes)[group]
     sizes = {k: len(f.landmarks) + 1 for k, f in folds.items()}
     keys = [(k, g) for k in folds for g in GAMMAS]

@@ -141,6 +141,14 @@ def geometric_means(df: DataFrame, key: str, cov: str, most_rounds: int = 50, to
     return {k: (m, rounds[k], k in done) for k, m in means.items()}
 
 
+def settled_means(df: DataFrame, key: str, cov: str, most_rounds: int = 500) -> dict:
+    """Key -> geometric mean; an error if one has not converged, so that none is used which is not there yet."""
+    found = geometric_means(df, key, cov, most_rounds)
+    if still := [k for k, (_, _, done) in found.items() if not done]:
+        raise RuntimeError(f"{len(still)} means have not converged in {most_rounds} rounds, the first of key {still[0]!r}")
+    return {k: m for k, (m, _, _) in found.items()}
+
+
 def distance_to(cov: Column, reference: np.ndarray) -> Column:
     @F.pandas_udf("double")
     def distance(c: pd.Series) -> pd.Series:

@@ -86,8 +86,7 @@ SELECT label, count(*) AS n, round(avg(l + ln(m33)), 4) AS logdet FROM m3 GROUP
 def spd4_frechet(spark, sf_dir):
     """Log determinant of each label's geometric mean, which is the mean log determinant."""
     rows = _stored(_covariances(spark, sf_dir).select("label", "c"))
-    found = M.geometric_means(rows, "label", "c")
-    table = {k: float(np.linalg.slogdet(m)[1]) for k, (m, _, _) in found.items()}
+    table = {k: float(np.linalg.slogdet(m)[1]) for k, m in M.settled_means(rows, "label", "c").items()}
     logdet = F.create_map(*[F.lit(x) for kv in table.items() for x in kv]) if table else F.lit(None).cast("map<long,double>")
     return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumn("logdet", F.round(logdet[F.col("label")], 4))
 
@@ -106,7 +105,7 @@ def transport_align(spark, sf_dir):
     """Covariances carried from each label's mean to the pooled one: the mean distance that is left, before and after."""
     rows = _stored(_covariances(spark, sf_dir).select("vec_id", "label", "c"))
     target = _pooled(rows)
-    means = {k: m for k, (m, _, _) in M.geometric_means(rows, "label", "c").items()}
+    means = M.settled_means(rows, "label", "c")
     after = M.transport(rows, "label", "c", means, target)
     d = lambda df, name: df.groupBy("label").agg(F.round(F.avg(M.distance_to(F.col("c"), target)), 5).alias(name))
     return d(rows, "before").join(d(after, "after"), "label")
@@ -461,8 +460,8 @@ def swelling_seeds(spark, sf_dir, seeds: int = 20):
     noisy = F.transform("x", lambda v, i: v * (1 + 0.3 * generators.unit_noise(F.col("vec_id") * 64 + i, F.col("seed"))))
     rows = rows.select("seed", M.epoch_covariance(noisy).alias("c"))
     rows = _stored(rows)
-    arithmetic, geometric = M.arithmetic_means(rows, "seed", "c"), M.geometric_means(rows, "seed", "c")
-    found = [(k, float(M.swelling(arithmetic[k], m)[0])) for k, (m, _, _) in geometric.items()]
+    arithmetic, geometric = M.arithmetic_means(rows, "seed", "c"), M.settled_means(rows, "seed", "c")
+    found = [(k, float(M.swelling(arithmetic[k], m)[0])) for k, m in geometric.items()]
     r = spark.createDataFrame(found, "seed long, ratio double")
     x = F.col("ratio")
     return r.agg(F.count(F.lit(1)).alias("n_seeds"), F.round(F.avg(x), 5).alias("mean_ratio"), F.round(F.stddev_pop(x), 5).alias("std_ratio"), F.round(A.variation(x), 5).alias("cv"), F.round(F.min(x), 5).alias("min_ratio"), F.round(F.max(x), 5).alias("max_ratio"))
