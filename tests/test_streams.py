@@ -12,7 +12,7 @@ from wavequarry.operators import ordered, stats
 from wavequarry.sources import sinks
 from wavequarry.streaming import live
 
-STREAMS = sorted(q for q in catalog.queries() if q.startswith("stream_"))
+STREAMS = sorted(q for q in catalog.oracle_sql() if q.startswith("stream_"))
 
 
 @pytest.fixture(scope="module")
