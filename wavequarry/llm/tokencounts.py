@@ -27,7 +27,7 @@ from tokenizers import Tokenizer
 from .common import cut
 
 #: Pre-tokens that are sent to the tasks, at most: those that would be hot keys of the join, which has all others at any size of corpus.
-FREQUENT = 1 << 12
+FREQUENT = 1 << 15
 #: Distinct pre-tokens that a task holds before it hands them on.
 HELD = 1 << 18
 #: Texts with other characters take the library's own way: here ``re`` and the library agree on case, letters, digits and spaces.
