@@ -118,7 +118,9 @@ def beta_alpha_ratio(spark, sf_dir):
 
 @query("blink_clench", f"WITH {S}, w AS (SELECT user_id, idx // 8 AS win, max(value) AS peak, var_pop(value) AS v FROM s GROUP BY 1, 2) SELECT user_id, count(*) FILTER (peak > 150 AND v <= 2500) AS blinks, count(*) FILTER (v > 2500) AS clenches FROM w GROUP BY 1")
 def blink_clench(spark, sf_dir):
-    w = samples(spark, sf_dir).groupBy("user_id", F.floor(F.col("idx") / 8)).agg(F.max("value").alias("peak"), F.var_pop("value").alias("v"))
+    """Windows of eight samples: a variance on the bound depends on the order of its sum, which is the samples' order."""
+    ordered = F.filter(F.array_sort(F.collect_list(F.struct("idx", "value")))["value"], lambda v: v.isNotNull())
+    w = samples(spark, sf_dir).groupBy("user_id", F.floor(F.col("idx") / 8)).agg(F.max("value").alias("peak"), A.running_variance(ordered).alias("v"))
     return w.groupBy("user_id").agg(F.count_if((F.col("peak") > 150) & (F.col("v") <= 2500)).alias("blinks"), F.count_if(F.col("v") > 2500).alias("clenches"))
 
 
