@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dsp
 from ..operators import packets
+from ..operators.aggregates import ordered_mean
 from ..session import shared_dir
 from ..streaming import live, phases
 from .registry import query
@@ -101,7 +102,7 @@ def stream_onboarding(spark, sf_dir):
 @query("stream_static_baseline", "WITH b AS (SELECT user_id, floor(avg(value)) AS baseline FROM events WHERE event_type = 'view' GROUP BY 1) SELECT user_id, event_id, round(value - baseline, 2) AS away FROM events JOIN b USING (user_id)")
 def stream_static_baseline(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    baselines = events.where("event_type = 'view'").groupBy("user_id").agg(F.floor(F.avg("value")).alias("baseline"))
+    baselines = events.where("event_type = 'view'").groupBy("user_id").agg(F.floor(ordered_mean(F.col("value"))).alias("baseline"))
     return live.drain(live.against_baseline(live.event_stream(spark, sf_dir), baselines)).withColumn("away", F.round("away", 2))
 
 
