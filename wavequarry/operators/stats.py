@@ -2,14 +2,19 @@
 
 Draws are 32 bits of the MD5 of (draw, position), so that any engine can repeat
 them and neither neighbouring draws nor neighbouring positions have to do with
-one another. Draws times positions rows are made and reduced by partial
-aggregation; no resample passes through one task as a whole.
+one another. Up to FEW_VALUES values a task has them all and makes resamples by
+itself, array by array; beyond, draws times positions rows are made, joined and
+reduced by partial aggregation. Sign flips need a task's own rows only.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from hashlib import md5
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +26,8 @@ BOUND = 1 << 32
 LANES = 4
 #: Rows up to which resampled values are broadcast; beyond, they and the picks are shuffled.
 FEW_VALUES = 1_000_000
+#: Digests that one task makes, some seconds' work.
+TASK_DIGESTS = 4_000_000
 
 
 def drawn(rows: DataFrame, draws: int) -> DataFrame:
@@ -32,6 +39,16 @@ def drawn(rows: DataFrame, draws: int) -> DataFrame:
     return found.withColumn("draw", F.conv("hex", 16, 10).cast("long")).drop("hex")
 
 
+def _lanes(block: int, positions: list[bytes]) -> np.ndarray:
+    """The draws of ``drawn`` of a block's LANES at each of some positions (decimal), uint32."""
+    head = b"%d-" % block
+    return np.frombuffer(b"".join([md5(head + p, usedforsecurity=False).digest() for p in positions]), ">u4").reshape(-1, LANES)
+
+
+def _tasks(df: DataFrame, digests: int) -> int:
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-digests // TASK_DIGESTS))
+
+
 def scattered(number: Column) -> Column:
     """A number below BOUND for each long: 32 bits of the MD5 of its decimal text."""
     return F.conv(F.substring(F.md5(number.cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
@@ -61,15 +78,48 @@ def numbered(df: DataFrame, order: list[str]) -> DataFrame:
     return counted.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("n"))))  # one row
 
 
-def bootstrap(values: DataFrame, columns: list[str], draws: int, statistic: Column) -> DataFrame:
-    """b, statistic: any aggregate over ``columns`` of each of ``draws`` resamples with replacement of rows (i, n, columns)."""
+def _resampled(values: DataFrame, columns: list[str], draws: int, of_arrays: Callable[..., float | None]) -> DataFrame:
+    """b, statistic: ``of_arrays`` of each resample's columns, for values that a task can have whole."""
+    spark = values.sparkSession
+    table = values.select("i", *columns).toArrow().sort_by("i")
+    n, blocks = table.num_rows, -(-draws // LANES)
+    held = spark.sparkContext.broadcast([table.column(c).to_numpy() for c in columns])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        positions = [b"%d" % i for i in range(n)]
+        for batch in batches:
+            for block in batch["id"]:
+                picks = (_lanes(block, positions).astype(np.uint64) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+                lanes = range(min(LANES, draws - block * LANES))
+                yield pd.DataFrame({"b": [block * LANES + k for k in lanes], "statistic": pd.array([of_arrays(*[x[picks[:, k]] for x in held.value]) for k in lanes], "Float64")})
+
+    return spark.range(0, blocks if n else 0, 1, min(_tasks(values, n * blocks), blocks)).mapInPandas(run, "b long, statistic double")
+
+
+def bootstrap(values: DataFrame, columns: list[str], draws: int, statistic: Column, of_arrays: Callable[..., float | None] | None = None) -> DataFrame:
+    """b, statistic: any aggregate over ``columns`` (without nulls) of each of ``draws`` resamples with replacement of rows (i, n, columns).
+
+    ``of_arrays`` gives the same of arrays; without it, or where there are too
+    many values for a task, rows are joined to the picks and aggregated.
+    """
+    few = values.count() <= FEW_VALUES
+    if few and of_arrays:
+        return _resampled(values, columns, draws, of_arrays)
     picks = drawn(values.select("i", "n"), draws).select("b", F.shiftright(F.col("draw") * F.col("n"), 32).alias("pick"))
     picked = values.select(F.col("i").alias("pick"), *columns)
     # Spark takes the picks for as few as the values, and would broadcast them.
-    picked = F.broadcast(picked) if values.count() <= FEW_VALUES else picked.hint("shuffle_hash")
+    picked = F.broadcast(picked) if few else picked.hint("shuffle_hash")
     return picks.join(picked, "pick").groupBy("b").agg(statistic.alias("statistic"))
 
 
+def correlation(a: np.ndarray, c: np.ndarray) -> float | None:
+    """Pearson's; None if a side has one value only."""
+    if a.min() == a.max() or c.min() == c.max():
+        return None
+    a, c = a - a.mean(), c - c.mean()
+    return float(a @ c / np.sqrt((a @ a) * (c @ c)))
+
+
 def numbered_by(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Add i from 0 by ``order``, which must name a key's rows, and the key's row count n; no key passes through one task."""
     counted = running_count(df, [key, *order], F.lit(1).cast("long"), "_at")
@@ -92,13 +142,34 @@ def bootstrap_by(values: DataFrame, key: str, order: str, columns: list[str], dr
 
 def bootstrap_means(values: DataFrame, value: str, draws: int) -> DataFrame:
     """b, mean: the means of ``draws`` resamples with replacement of rows (i, n, value)."""
-    return bootstrap(values, [value], draws, F.avg(value)).withColumnRenamed("statistic", "mean")
+    return bootstrap(values, [value], draws, F.avg(value), np.mean).withColumnRenamed("statistic", "mean")
 
 
 def sign_flip_means(values: DataFrame, value: str, draws: int) -> DataFrame:
-    """b, mean: means with every value's sign drawn anew."""
-    sign = F.when(F.col("draw") >= BOUND // 2, 1.0).otherwise(-1.0)
-    return drawn(values.select("i", value), draws).groupBy("b").agg(F.avg(sign * F.col(value)).alias("mean"))
+    """b, mean: means with every value's sign drawn anew.
+
+    A task sums its own rows for all draws. Values of four places or fewer are
+    summed as whole numbers, so that means that are equal come out equal.
+    """
+    n, blocks = values.count(), -(-draws // LANES)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((blocks, LANES))
+        for batch in batches:
+            positions, v = [b"%d" % i for i in batch["i"]], batch["v"].to_numpy(float)
+            whole = np.rint(v * 1e4)
+            v = np.where(whole / 1e4 == v, whole, v * 1e4)
+            total = v.sum()
+            for block in range(blocks if len(v) else 0):
+                sums[block] += 2 * (v @ (_lanes(block, positions) >> 31).astype(float)) - total
+        if sums.any():
+            yield pd.DataFrame({"b": np.arange(draws), "s": sums.ravel()[:draws]})
+
+    rows = values.select("i", F.col(value).cast("double").alias("v")).where("v is not null").repartition(_tasks(values, n * blocks), "i")
+    sums = rows.mapInPandas(run, "b long, s double")
+    every = values.sparkSession.range(draws).select(F.col("id").alias("b"), F.lit(0.0).alias("s"))
+    known = values.agg(F.count(value).alias("_n")).where("_n > 0")  # one row
+    return sums.union(every).groupBy("b").agg(F.sum("s").alias("s")).crossJoin(F.broadcast(known)).select("b", (F.col("s") / 1e4 / F.col("_n")).alias("mean"))
 
 
 def average_ranks(df: DataFrame, value: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -177,7 +178,7 @@ SELECT round(avg(m), 6) AS mean, round(quantile_cont(m, 0.05), 6) AS lo, round(q
 )
 def bootstrap_median_ci(spark, sf_dir):
     """Interval of any statistic of resamples, here of the median."""
-    found = ST.bootstrap(ST.numbered(_differences(spark, sf_dir), ["user_id"]), ["d"], 500, F.median("d"))
+    found = ST.bootstrap(ST.numbered(_differences(spark, sf_dir), ["user_id"]), ["d"], 500, F.median("d"), np.median)
     p = lambda q: F.round(F.percentile("statistic", F.lit(q)), 6)
     return found.agg(F.round(F.avg("statistic"), 6).alias("mean"), p(0.05).alias("lo"), p(0.95).alias("hi"))
 
