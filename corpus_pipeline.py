@@ -60,7 +60,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts whose five-word shingles are 0.8 alike the document with the smallest id.
 
-    Null and empty texts are one group. Of rows that share an id one stays;
+    Texts meet by SimHash and pivot tables, and by MinHash cells for what those
+    do not reach; the shingle sets decide. Null and empty texts are one group. Of rows that share an id one stays;
     rows without id stay if their group has none. Texts of under five words are
     one shingle; long ones count as a whole; an empty table stays empty.
     """

@@ -1,11 +1,13 @@
-"""Near copies by the exact Jaccard similarity of word shingles.
+"""Near copies: SimHash with pivot tables, reached further by MinHash cells, decided by the exact Jaccard similarity of word shingles.
 
-SimHash cannot reach a similarity of 0.8: such texts differ by about ten of 64
-bits, and as many differ by chance in a large corpus. So texts meet in cells
-named by MinHash bands, and in a cell the shingle sets themselves are compared.
-Two texts as similar as ``SIMILARITY`` miss all cells with a probability of
-(1 - SIMILARITY ** ROWS) ** BANDS, three in a million; texts less similar are
-never linked.
+Texts are fingerprinted over their five-word shingles and linked by the pivot
+tables of ``simhash``; a link counts if the shingle sets are as similar as
+``SIMILARITY``. Fingerprints alone cannot reach a similarity of 0.8: such texts
+differ by about ten of 64 bits, and as many differ by chance in a large corpus.
+For those, texts also meet in cells named by MinHash bands, and in a cell the
+shingle sets themselves are compared. Two texts as similar as ``SIMILARITY``
+miss all cells with a probability of (1 - SIMILARITY ** ROWS) ** BANDS, three
+in a million; texts less similar are never linked.
 
 Cells with the same members are compared once. A cell returns a spanning forest
 of its links, so a group of near copies yields a row per text, and members that
@@ -23,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, join_keys
-from .simhash import components, shingle_hashes
+from .simhash import components, fingerprint_of, shingle_hashes
+from .simhash import links as print_links
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -54,15 +57,19 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
 
 
 def _cells_arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text_hash, text -> text_hash and the cells of texts that have words."""
+    """text_hash, text -> of texts that have words, text_hash and either a cell or the fingerprint."""
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
-            texts, sets = part.column(0).to_numpy(), [shingle_set(t) for t in part.column(1).to_pylist()]
-            keys = [band_keys(s) for s in sets if len(s)]
-            owners = texts[[len(s) > 0 for s in sets]]
+            texts, hashes = part.column(0).to_numpy(), [shingle_hashes(t, SHINGLE) for t in part.column(1).to_pylist()]
+            owners = texts[[len(h) > 0 for h in hashes]]
+            hashes = [h for h in hashes if h]
+            keys = [band_keys(np.unique(np.array(h, dtype=np.uint64))) for h in hashes]
             cells = np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(owners, BANDS)), pa.array(cells)], ["text_hash", "cell"])
+            prints = np.array([fingerprint_of(h) for h in hashes], np.uint64).view(np.int64)
+            cell = pa.concat_arrays([pa.array(cells), pa.nulls(len(prints), pa.int64())])
+            fp = pa.concat_arrays([pa.nulls(len(cells), pa.int64()), pa.array(prints)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.repeat(owners, BANDS), owners])), cell, fp], ["text_hash", "cell", "fp"])
 
 
 def _sets_arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,13 +130,50 @@ def _links_arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links()
 
 
+def _similar_arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, the shingles of each) -> those of at least SIMILARITY."""
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column(2), batch.column(3)):
+            x, y = (np.frombuffer(v.as_py(), "<u8") for v in (x, y))
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(common >= SIMILARITY * (len(x) + len(y) - common) - 1e-9)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def print_pairs(prints: DataFrame) -> DataFrame:
+    """a, b: texts (text_hash, fp) whose fingerprints the pivot tables link; of those with one fingerprint each is paired with the first.
+
+    At most a pair for each text and for each link of the spanning forests.
+    """
+    first = cut(prints.groupBy("fp").agg(F.min("text_hash").alias("first"), F.count(F.lit(1)).alias("n")), "prints")
+    same = join_keys(prints, first.where("n > 1"), "fp", "n", prints.count()).where("text_hash != first").select(F.col("text_hash").alias("a"), F.col("first").alias("b"))
+    found = print_links(first.select("fp"))
+    end = lambda c: first.select(F.col("fp").alias(c), F.col("first").alias(f"text_{c}"))
+    near = found.join(end("a"), "a").join(end("b"), "b").select(F.col("text_a").alias("a"), F.col("text_b").alias("b"))
+    return same.union(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose shingles (text_hash, shingles) are at least as similar as SIMILARITY."""
+    total = pairs.count()
+    for side in ("a", "b"):
+        asked = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("_n"))
+        known = asked.join(sets.select(F.col("text_hash").alias(side), F.col("shingles").alias(f"shingles_{side}")), side)
+        pairs = join_keys(pairs, cut(known, "asked"), side, "_n", total, 100).drop("_n")
+    return pairs.select("a", "b", "shingles_a", "shingles_b").mapInArrow(_similar_arrow, "a long, b long")
+
+
 def links(texts: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """a, b: links whose components are those of all pairs of SIMILARITY that share a cell; ``texts`` has text_hash and text."""
-    cells = cut(texts.mapInArrow(_cells_arrow, "text_hash long, cell long").distinct(), "cells")
+    """a, b: links whose components are those of all pairs of SIMILARITY that share a cell or that fingerprints link; ``texts`` has text_hash and text."""
+    told = cut(texts.mapInArrow(_cells_arrow, "text_hash long, cell long, fp long").distinct(), "cells")
+    pairs = cut(print_pairs(told.where("fp is not null").select("text_hash", "fp")), "pairs")
+    cells = told.where("cell is not null").select("text_hash", "cell")
     shared = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("text_hash").cast("decimal(20,0)")).alias("members")).where("n > 1")
     shared = cut(shared.groupBy("n", "members").agg(F.min("cell").alias("cell")).select("cell", "n"), "shared")
     cells = cut(cells.join(shared, "cell"), "members")
-    met = texts.join(cut(cells.select("text_hash").distinct(), "met"), "text_hash", "left_semi")
+    of_pairs = pairs.select(F.explode(F.array("a", "b")).alias("text_hash"))
+    met = texts.join(cut(cells.select("text_hash").union(of_pairs).distinct(), "met"), "text_hash", "left_semi")
     sets = cut(met.mapInArrow(_sets_arrow, "text_hash long, shingles binary").dropDuplicates(["text_hash"]), "sets")
     chunks = F.ceil(F.col("n") / cell_rows).cast("int")
     cells = cells.withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("text_hash"), F.col("chunks")).cast("int"))
@@ -138,7 +182,7 @@ def links(texts: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     cells = cells.select("cell", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "text_hash")
     tasks = max(texts.sparkSession.sparkContext.defaultParallelism, -(-cells.count() // TASK_ROWS))
     rows = cells.join(sets, "text_hash").select(*key, "text_hash", "shingles").repartition(tasks, *key).sortWithinPartitions(*key)
-    return rows.mapInArrow(_links_arrow, "a long, b long").distinct()
+    return rows.mapInArrow(_links_arrow, "a long, b long").union(_similar(pairs, sets)).distinct()
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -67,19 +67,18 @@ def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> list[int]:
     return [digest(line[a : b - 1], 42) for a, b in zip(starts, starts[shingle:])]
 
 
+def fingerprint_of(h: list[int]) -> int:
+    """A bit is 1 if set in over half of the hashes; 0 without hashes."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(h), 1 << 15):
+        part = np.array(h[at : at + (1 << 15)], dtype="<u8")
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
+    return int(np.packbits(2 * counts > len(h), bitorder="little").view("<u8")[0])
+
+
 def fingerprint_batch(texts: list[str | None]) -> np.ndarray:
     """uint64 fingerprints: a bit is 1 if set in over half of the text's hashes; 0 without words."""
-    out = np.zeros(len(texts), np.uint64)
-    for k, text in enumerate(texts):
-        h = shingle_hashes(text)
-        if not h:
-            continue
-        counts = np.zeros(64, np.int64)
-        for at in range(0, len(h), 1 << 15):
-            part = np.array(h[at : at + (1 << 15)], dtype="<u8")
-            counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
-        out[k] = np.packbits(2 * counts > len(h), bitorder="little").view("<u8")[0]
-    return out
+    return np.array([fingerprint_of(shingle_hashes(text)) for text in texts], np.uint64)
 
 
 def _fingerprint_arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
