@@ -62,7 +62,9 @@ def from_upper(v: np.ndarray) -> np.ndarray:
 
 def along(a: np.ndarray, b: np.ndarray, share: float) -> np.ndarray:
     """The point at ``share`` of the geodesic from A to B."""
-    r, w = root(a), inverse_root(a)
+    values, vectors = np.linalg.eigh(a)
+    values, back = np.sqrt(np.maximum(values, CLIP))[..., None, :], np.swapaxes(vectors, -1, -2)
+    r, w = (vectors * values) @ back, (vectors * (1 / values)) @ back
     m = r @ of_eigenvalues(w @ b @ w, lambda v: np.maximum(v, CLIP) ** share) @ r
     return (m + np.swapaxes(m, -1, -2)) / 2
 
