@@ -104,6 +104,29 @@ def test_fits_over_blocks_equal_those_over_whole_recordings(spark):
             assert found[k].converged and np.allclose(found[k].mean, mean) and np.allclose(np.reshape(found[k].unmixing, (4, 4)), w, atol=1e-6)
 
 
+@pytest.mark.parametrize("whole", [1 << 26, 800 * 4 * 8, 0])
+def test_rounds_cost_jobs_of_long_recordings_only(spark, monkeypatch, whole):
+    """Recordings that fit a task cost a few jobs whatever their rounds; beyond, a round is one job, a few recordings at a time. The fits are the same."""
+    monkeypatch.setattr(K, "WHOLE", whole)
+    monkeypatch.setattr(K, "HELD", 2)
+    rng = np.random.default_rng(6)
+    mix = rng.normal(size=(4, 4))
+    data = {k: np.column_stack([np.sin(np.arange(n) / 7), np.sign(np.sin(np.arange(n) / 3)), rng.laplace(size=n), np.sin(np.arange(n) / 2.3) ** 3]) @ mix for k, n in ((1, 900), (2, 130), (None, 700), (4, 1000), (5, 198))}
+    data[6] = np.random.default_rng(12).normal(size=(800, 4))  # takes 28 rounds
+    df = spark.createDataFrame([(k, t, row.tolist()) for k, x in data.items() for t, row in enumerate(x)], "k long, t long, x array<double>").repartition(5)
+    cut = blocks.stored(blocks.blocks(df, ["k"], ["t"], "x", 64), "blocks")
+    so_far = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    before = so_far()
+    found = {r.k: r for r in K.fast_ica_by_recording(cut, ["k"], 4).collect()}
+    jobs = so_far() - before
+    assert len(found) == len(data) and found[6].rounds > 20
+    assert jobs < 20 if whole == 1 << 26 else jobs > found[6 if whole == 0 else 1].rounds
+    for k, x in data.items():
+        mean, w, done, n = plain_ica(x)
+        assert (found[k].converged, found[k].rounds) == (done, n)
+        assert np.allclose(found[k].mean, mean) and (not done or np.allclose(np.reshape(found[k].unmixing, (4, 4)), w, atol=1e-5))
+
+
 def test_a_recording_shorter_than_the_lags(spark):
     df = spark.createDataFrame([(1, t, [float(t % 2), float(t % 3), t * 0.5, 1.0 / (t + 1)]) for t in range(5)], "k long, t long, x array<double>")
     r = K.sobi_by_recording(blocks.blocks(df, ["k"], ["t"], "x"), ["k"], 4).first()

@@ -2,13 +2,16 @@
 
 A recording's lagged covariances, and the moments that FastICA asks for in a
 round, are sums over its blocks. Fits are rows (mean, unmixing matrix) that are
-joined to the blocks, so neither recordings nor fits pass through the driver.
-Recordings of one block are fitted where they are.
+joined to the blocks, so no recordings pass through the driver, and fits only
+of those that are too long for a task. Recordings of one block are fitted where
+they are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import batched
 
 import numpy as np
 import pandas as pd
@@ -20,6 +23,9 @@ from .separation import _whitener, joint_diagonalizer
 
 FIT = "mean array<double>, unmixing array<double>, rounds long, converged boolean"
 
+#: Bytes of samples up to which a task fits a recording by itself; of longer recordings, how many fits the driver holds at a time.
+WHOLE, HELD = 1 << 26, 256
+
 
 def _keyed(df: DataFrame, keys: list[str]) -> str:
     kinds = dict(df.dtypes)
@@ -98,12 +104,71 @@ def _step(s: np.ndarray, n: float, w: np.ndarray) -> tuple[np.ndarray, float]:
     return new, float(np.abs(np.abs((new * w).sum(1)) - 1).max())
 
 
+def _turned(parts: list[np.ndarray], w: np.ndarray, rounds: int, tolerance: float) -> tuple[np.ndarray, int, bool]:
+    """The unmixing of a recording's white samples from ``w`` on, the rounds it took, and whether it came to rest."""
+    size = sum(map(len, parts))
+    for n in range(1, rounds + 1):  # noqa: B007
+        w, turned = _step(sum(_contrast_sums(z, w) for z in parts), size, w)
+        if turned < tolerance:
+            break
+    return w, n, turned < tolerance
+
+
+def _moments(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([[len(x)], x.sum(0), (x.T @ x).ravel()])
+
+
+def _centred(s: np.ndarray, channels: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and whitening matrix from the sums of ``_moments``."""
+    mean = s[1 : channels + 1] / s[0]
+    return mean, _whitener(s[channels + 1 :].reshape(channels, channels) / s[0] - np.outer(mean, mean))
+
+
+def _fitted_by_jobs(blocks: DataFrame, held: list[tuple], keys: list[str], first: np.ndarray, rounds: int, tolerance: float) -> DataFrame:
+    """Fits of the recordings whose keys are ``held``: the driver turns their matrices, a job a round sums over their blocks."""
+    spark, k, own = blocks.sparkSession, len(first), _keyed(blocks, keys)
+    places = spark.createDataFrame([(*key, i) for i, key in enumerate(held)], f"{own}, place long")
+    tasks = spark.sparkContext.defaultParallelism
+    rows = null_safe(blocks, F.broadcast(places), keys).repartition(tasks, "place", "block").sortWithinPartitions("place", "block")
+    rows = stored(rows.select("place", "x"), "places")
+
+    def totals(open_: list[int], of: Callable[[int, np.ndarray], np.ndarray]) -> dict[int, np.ndarray]:
+        """Sums of ``of`` over the blocks of each place: a task adds up its own and gives a row a place."""
+
+        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            found: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for i, x in zip(batch["place"], batch["x"]):
+                    found[i] = found.get(i, 0.0) + of(i, x.reshape(-1, k))
+            if found:
+                yield pd.DataFrame({"place": list(found), "s": [s.tolist() for s in found.values()]})
+
+        whole: dict[int, np.ndarray] = {}
+        for r in rows.where(F.col("place").isin(open_)).coalesce(tasks).mapInPandas(sums, "place long, s array<double>").collect():
+            whole[r.place] = whole.get(r.place, 0.0) + np.array(r.s)
+        return whole
+
+    sizes = totals(list(range(len(held))), lambda i, x: _moments(x))
+    centre = {i: _centred(s, k) for i, s in sizes.items()}
+    w, taken, open_ = dict.fromkeys(sizes, first), dict.fromkeys(sizes, (0, False)), list(sizes)
+    for n in range(1, rounds + 1):
+        if not open_:
+            break
+        now = {i: (*centre[i], w[i]) for i in open_}
+        for i, s in totals(open_, lambda i, x, now=now: _contrast_sums((x - now[i][0]) @ now[i][1].T, now[i][2])).items():
+            w[i], turned = _step(s, sizes[i][0], w[i])
+            taken[i] = n, turned < tolerance
+        open_ = [i for i in open_ if not taken[i][1]]
+    return spark.createDataFrame([(*held[i], centre[i][0].tolist(), (w[i] @ centre[i][1]).ravel().tolist(), *taken[i]) for i in sizes], f"{own}, {FIT}")
+
+
 def fast_ica_by_recording(blocks: DataFrame, keys: list[str], channels: int, rounds: int = 200, tolerance: float = 1e-4, seed: int = 42) -> DataFrame:
     """keys, mean, unmixing, rounds, converged: symmetric FastICA with the log-cosh contrast for each recording of ``blocks``.
 
-    Recordings of one block are fitted at once. For the others a round is a
-    pass over the blocks of those that have not converged; the driver sees
-    their number. Who has not converged after ``rounds`` says so.
+    Recordings of one block are fitted where they are, others of up to ``WHOLE``
+    bytes in a task each, so that their rounds cost no jobs. For longer ones,
+    ``HELD`` at a time, a round is one job of sums over their blocks. Blocks are
+    added up in order. Who has not converged after ``rounds`` says so.
     """
     k, own = channels, _keyed(blocks, keys)
     first = _orthogonal(np.random.default_rng(seed).normal(size=(k, k)))
@@ -113,59 +178,28 @@ def fast_ica_by_recording(blocks: DataFrame, keys: list[str], channels: int, rou
             found = []
             for x in batch["x"]:
                 x = x.reshape(-1, k)
-                mean, white, w = x.mean(0), _whitener(np.cov(x.T, bias=True).reshape(k, k)), first
-                z = (x - mean) @ white.T
-                for n in range(1, rounds + 1):  # noqa: B007
-                    w, turned = _step(_contrast_sums(z, w), len(z), w)
-                    if turned < tolerance:
-                        break
-                found.append((mean.tolist(), (w @ white).ravel().tolist(), n, turned < tolerance))
+                mean, white = x.mean(0), _whitener(np.cov(x.T, bias=True).reshape(k, k))
+                w, n, done = _turned([(x - mean) @ white.T], first, rounds, tolerance)
+                found.append((mean.tolist(), (w @ white).ravel().tolist(), n, done))
             yield batch[keys].assign(**dict(zip(("mean", "unmixing", "rounds", "converged"), map(list, zip(*found)))))
 
+    def gathered(recording: pd.DataFrame) -> pd.DataFrame:
+        parts = [x.reshape(-1, k) for x in recording.sort_values("block")["x"]]
+        mean, white = _centred(sum(map(_moments, parts)), k)
+        w, n, done = _turned([(x - mean) @ white.T for x in parts], first, rounds, tolerance)
+        return recording[keys].head(1).assign(mean=[mean.tolist()], unmixing=[(w @ white).ravel().tolist()], rounds=n, converged=done)
+
     done = blocks.where("first and last").select(*keys, "x").mapInPandas(whole, f"{own}, {FIT}")
-    long = blocks.where("not (first and last)").select(*keys, "x")
-    if long.isEmpty():
+    several = blocks.where("not (first and last)").select(*keys, "block", "x")
+    sizes = stored(several.groupBy(*keys).agg((F.sum(F.size("x")) * 8).alias("bytes")), "sizes")
+    if sizes.isEmpty():
         return done
-
-    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            parts = [x.reshape(-1, k) for x in batch["x"]]
-            yield batch[keys].assign(s=[np.concatenate([[len(x)], x.sum(0), (x.T @ x).ravel()]).tolist() for x in parts])
-
-    def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            means, whites = [], []
-            for s in batch["s"]:
-                mean = s[1 : k + 1] / s[0]
-                means.append(mean.tolist())
-                whites.append(_whitener(s[k + 1 :].reshape(k, k) / s[0] - np.outer(mean, mean)).ravel().tolist())
-            yield batch[keys].assign(n=[s[0] for s in batch["s"]], mean=means, white=whites, w=[first.ravel().tolist()] * len(batch), rounds=0, converged=False)
-
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [_contrast_sums((x.reshape(-1, k) - m) @ v.reshape(k, k).T, w.reshape(k, k)).tolist() for x, m, v, w in zip(batch["x"], batch["mean"], batch["white"], batch["w"])]
-            yield batch[keys].assign(s=found)
-
-    def turn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            steps = [_step(s, n, w.reshape(k, k)) for s, n, w in zip(batch["s"], batch["n"], batch["w"])]
-            yield batch.drop(columns="s").assign(w=[w.ravel().tolist() for w, _ in steps], rounds=batch["rounds"] + 1, converged=[d < tolerance for _, d in steps])
-
-    state = f"{own}, n double, mean array<double>, white array<double>, w array<double>, rounds long, converged boolean"
-    fits = stored(summed(long.mapInPandas(moments, f"{own}, s array<double>"), keys, "s").mapInPandas(begin, state), "fits")
-    for _ in range(rounds):
-        open_ = fits.where("not converged")
-        if open_.isEmpty():
-            break
-        parts = null_safe(long, open_.select(*keys, "mean", "white", "w"), keys).mapInPandas(sums, f"{own}, s array<double>")
-        turned = null_safe(open_, summed(parts, keys, "s"), keys).mapInPandas(turn, state)
-        fits = stored(fits.where("converged").unionByName(turned), "fits")
-
-    def end(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.drop(columns=["n", "white", "w"]).assign(unmixing=[(w.reshape(k, k) @ v.reshape(k, k)).ravel().tolist() for w, v in zip(batch["w"], batch["white"])])
-
-    return done.unionByName(fits.mapInPandas(end, f"{own}, {FIT}"))
+    tasks = 4 * sizes.sparkSession.sparkContext.defaultParallelism
+    parts = null_safe(several, sizes.where(F.col("bytes") <= WHOLE).select(*keys), keys).repartition(tasks, *keys)
+    found = [done, parts.groupBy(*keys).applyInPandas(gathered, f"{own}, {FIT}")]
+    for held in batched(map(tuple, sizes.where(F.col("bytes") > WHOLE).select(*keys).toLocalIterator()), HELD):
+        found.append(_fitted_by_jobs(several, list(held), keys, first, rounds, tolerance))
+    return reduce(DataFrame.union, found)
 
 
 def components(x: Column, mean: Column, unmixing: Column, channels: int) -> Column:
